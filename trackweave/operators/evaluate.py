@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackweave.functions.geometry import distance
 from trackweave.operators.quantiles import exact_quantiles
 from trackweave.operators.series import CHUNK_FRAMES, FRAME, VIDEO, running
+from trackweave.session import materialize
 
 CENTRE = ("center_x", "center_y")
 
@@ -105,7 +106,7 @@ def track_error_report(
     track: DataFrame, truth: DataFrame, *, threshold: float = 50.0, keys: Sequence[str] = VIDEO,
 ) -> DataFrame:
     """Per video: error statistics, share within the threshold and detection rate, in percent."""
-    errors = centre_errors(track, truth, keys=keys)
+    errors = materialize(centre_errors(track, truth, keys=keys).select(*keys, "error"))
     out = distribution(
         errors, "error", keys, probs={"median": 0.5, "p90": 0.9, "p95": 0.95},
         extra={

@@ -12,6 +12,7 @@ from trackweave.functions.geometry import centre_proximity, distance, with_box_g
 from trackweave.operators.evaluate import distribution
 from trackweave.operators.quantiles import exact_quantiles
 from trackweave.operators.series import CHUNK_FRAMES, FRAME, VIDEO, islands, running, with_position
+from trackweave.session import materialize
 
 TRACK = "track_id"
 SCORE_BIN = 0.01  # ranks are computed inside score bins, so no video is sorted in one task
@@ -176,7 +177,7 @@ def nearest_candidate(
 
 def longest_same_track(picks: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
     """Longest run of one track id over the ordered rows; a null id is a run of its own."""
-    stepped = running(picks, prevs={"_prev": F.col(TRACK)}, chunk=chunk)
+    stepped = running(materialize(picks.select("video_id", FRAME, TRACK)), prevs={"_prev": F.col(TRACK)}, chunk=chunk)
     breaks = F.col(TRACK).isNull() | F.col("_prev").isNull() | (F.col(TRACK) != F.col("_prev"))
     runs = islands(stepped, breaks, "_run", chunk=chunk).groupBy("video_id", "_run").agg(
         F.count(F.lit(1)).alias("len"), F.count(TRACK).alias("ids"))
@@ -199,6 +200,7 @@ def detection_report(
         truth.select("video_id", FRAME).join(near, ["video_id", FRAME], "left")
         .join(counts, ["video_id", FRAME], "left").join(chosen, ["video_id", FRAME], "left")
     )
+    rows = materialize(rows)
     multi = F.col("persons") > 1
     stats = distribution(
         rows, "dist", probs={"median": 0.5, "p90": 0.9, "p95": 0.95},

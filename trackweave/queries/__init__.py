@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("accuracy", "tracks")
+MODULES = ("accuracy", "tracks", "motion", "intervals")
 
 
 def load():

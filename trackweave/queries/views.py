@@ -71,6 +71,10 @@ FROM (SELECT *, (frame_id - fa)::DOUBLE / (fb - fa) AS t FROM
       FROM frames f LEFT JOIN track t ON f.video_id = t.video_id AND f.frame_id = t.frame_id
       WINDOW a AS (PARTITION BY f.video_id ORDER BY f.frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              b AS (PARTITION BY f.video_id ORDER BY f.frame_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) w) q"""),
+    "trace": (("frames",), """
+SELECT video_id, frame_id, CAST(280 + frame_id + (video_id * 13 + frame_id * 7) % 41 - 20 AS DOUBLE) AS trace_x,
+       CAST(160 + (frame_id * 2) % 600 + (frame_id * 11) % 31 - 15 AS DOUBLE) AS trace_y
+FROM frames"""),
     "pred_jumps": ((), """
 SELECT CAST(floor(CAST(o_custkey AS DOUBLE) / 100) AS BIGINT) AS video_id, o_orderkey AS jump_id,
        CAST(o_orderkey * 3 + (o_orderkey * 7) % 11 AS BIGINT) AS start_frame,
@@ -179,10 +183,10 @@ def oracle(body: str, *names: str) -> str:
     body = body.strip()
     if not sql:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {sql},\n{body[5:]}"
     if body[:15].upper() == "WITH RECURSIVE ":
         return f"WITH RECURSIVE {sql},\n{body[15:]}"
+    if body[:5].upper() == "WITH ":
+        return f"WITH {sql},\n{body[5:]}"
     return f"WITH {sql}\n{body}"
 
 
