@@ -72,8 +72,8 @@ def main() -> None:
 
     sf_dir, parts = sys.argv[1], sys.argv[2:]
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.log.level": "ERROR"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.log.level": "OFF"})
     con = connect(sf_dir)
     sqls = entry.oracle_sql()
     failed = 0
