@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackweave.operators.gapfill import fill_linear
 
@@ -132,6 +133,8 @@ SELECT l_returnflag AS config, CAST(floor(CAST(l_suppkey AS DOUBLE) / 10) AS BIG
 FROM {lineitem}"""),
 }
 
+ALIAS = {"poses": "pose_points"}
+
 DIALECT = {
     "spark": {
         "frame_col": "s.frame_id",
@@ -158,6 +161,7 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     wanted: set[str] = set()
 
     def add(name: str) -> None:
+        name = ALIAS.get(name, name)
         for dep in VIEWS[name][0]:
             add(dep)
         wanted.add(name)
@@ -194,11 +198,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def poses(embeddings: DataFrame) -> DataFrame:
+    """One row per frame with 2D keypoints `kp` and 3D joints `pose`."""
+    at = lambda j, k: F.element_at("embedding", j * 3 + k).cast("double")
+    joints = F.sequence(F.lit(0), F.lit(16))
+    return embeddings.select(
+        F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_id"),
+        F.transform(joints, lambda j: F.struct(
+            at(j, 1).alias("x"), at(j, 2).alias("y"), F.least(F.abs(at(j, 3)), F.lit(1.0)).alias("conf"))).alias("kp"),
+        F.transform(joints, lambda j: F.struct(at(j, 1).alias("x"), at(j, 2).alias("y"), at(j, 3).alias("z"))).alias("pose"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "dense":  # the library's own gap filling; SQL only for the check
         return fill_linear(view(spark, sf_dir, "track"), view(spark, sf_dir, "videos")).select(
             "video_id", "frame_id", "detected", "interpolated", "confidence", "x1", "y1", "x2", "y2",
             "gap_len", "fa", "fb")
+    if name == "poses":  # nested form of pose_points
+        return poses(table(spark, sf_dir, "embeddings"))
     sql = f"WITH {_ctes((name,), 'spark')}\nSELECT * FROM {name}"
     used = {base: table(spark, sf_dir, base) for base in BASE if "{%s}" % base in sql}
     return spark.sql(sql, **used)
