@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("accuracy", "tracks", "motion", "intervals", "venue", "pose")
+MODULES = ("accuracy", "tracks", "motion", "intervals", "venue", "pose", "sequential")
 
 
 def load():
