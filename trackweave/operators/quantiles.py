@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 BINS_PER_UNIT = 4096
 
 
+def value_bin(value: Column) -> Column:
+    """Monotone, data-independent bin of a number: even steps near zero, even ratios far from it."""
+    v = value.cast("double")
+    return F.floor(F.signum(v) * F.asinh(F.abs(v)) * F.lit(BINS_PER_UNIT)).cast("long")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float | Callable[[Column], Column]],
 ) -> DataFrame:
@@ -27,7 +33,7 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_bin", F.floor(F.asinh("_v") * F.lit(BINS_PER_UNIT)).cast("long"))
+        .withColumn("_bin", value_bin(F.col("_v")))
     )
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     hist = (

@@ -83,14 +83,17 @@ def choose_threshold(competing: DataFrame, params: SelectionParams = SelectionPa
 
 def select_tracks(competing: DataFrame, params: SelectionParams = SelectionParams()) -> DataFrame:
     """All competing tracks with `selected`: over the threshold, else the single best one."""
-    limits = choose_threshold(competing, params)
-    best = competing.groupBy("video_id").agg(
+    return over_threshold(competing.join(choose_threshold(competing, params), "video_id"))
+
+
+def over_threshold(scored: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
+    """Selection by a `threshold` column, constant per key group."""
+    best = scored.groupBy(*keys).agg(
         F.max(F.struct("score", -F.col("first_seen.frame_id"), -F.col("first_seen.det_no"), TRACK)).alias("b")
-    ).select("video_id", F.col("b.score").alias("top_score"), F.col(f"b.{TRACK}").alias("top_track"))
-    joined = competing.join(limits, "video_id").join(best, "video_id")
+    ).select(*keys, F.col("b.score").alias("top_score"), F.col(f"b.{TRACK}").alias("top_track"))
     over = F.col("score") >= F.col("threshold")
     used_fallback = F.col("top_score") < F.col("threshold")
-    return joined.withColumns({
+    return scored.join(best, list(keys)).withColumns({
         "over": over,
         "used_fallback": used_fallback,
         "selected": over | (used_fallback & (F.col(TRACK) == F.col("top_track"))),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("accuracy", "tracks", "motion", "intervals", "venue", "pose", "sequential")
+MODULES = ("accuracy", "tracks", "motion", "intervals", "venue", "pose", "sequential", "scoring", "tables")
 
 
 def load():
