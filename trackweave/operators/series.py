@@ -151,6 +151,7 @@ def islands(
 
 
 Fold = Callable[[dict, pd.DataFrame], pd.DataFrame]
+BUCKETS_PER_PARTITION = 8
 
 
 def ordered_scan(
@@ -163,6 +164,9 @@ def ordered_scan(
     until the series ends; it returns the output rows.  Only one batch is held at a time, so a long
     series costs time in its task but never memory.  Callers pass the finest keys at which the
     state restarts, so that one long video is still spread over many tasks.
+
+    Series are hashed into buckets and a bucket is one streamed group: grouping makes the whole-series
+    placement a requirement of the plan, which a bare `repartition` before a map is not.
     """
     keys = list(keys)
 
@@ -172,16 +176,21 @@ def ordered_scan(
         for rows in batches:
             if not len(rows):
                 continue
+            rows = rows.drop(columns="_bucket")
             block = rows[keys]
             starts = (block != block.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
             if not starts or starts[0] != 0:
                 starts = [0, *starts]
             bounds = [*starts, len(rows)]
+            done = []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 here = tuple(block.iloc[lo])
                 if here != current:
                     current, state = here, {}
-                yield fold(state, rows.iloc[lo:hi])
+                done.append(fold(state, rows.iloc[lo:hi]))
+            yield pd.concat(done, ignore_index=True) if len(done) > 1 else done[0]
 
-    ranked = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ranked.mapInPandas(run, schema)
+    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    ranked = placed.repartition("_bucket").sortWithinPartitions("_bucket", *keys, *order)
+    return ranked.groupBy("_bucket").applyInPandas(run, schema)

@@ -28,19 +28,28 @@ def write_documents(rows: DataFrame, record: Column, path: str, *, order: str, h
     Elements are written as lines in order, so a document is streamed to its file and a long video
     is never held as one value.  `header` has one row per video with further top-level columns.
     """
-    key = "video"
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    comma = F.when(F.col(order) == F.col("_first"), "").otherwise(",")
-    body = rows.join(first, key).select(key, F.lit(1).alias("_part"), F.col(order).alias("_at"), F.concat(comma, F.to_json(record, {"ignoreNullFields": "false"})).alias("value"))
-    videos = rows.select(key).distinct() if header is None else header
-    fields = [c for c in videos.columns if c != key]
-    top = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}) if fields else F.lit("{}")
-    opened = F.concat(F.regexp_replace(top, r"\}$", ""), F.lit("" if not fields else ","), F.lit(f'"{array}":['))
-    head = videos.select(key, F.lit(0).alias("_part"), F.lit(None).cast(body.schema["_at"].dataType).alias("_at"), opened.alias("value"))
-    tail = videos.select(key, F.lit(2).alias("_part"), F.lit(None).cast(body.schema["_at"].dataType).alias("_at"), F.lit("]}").alias("value"))
-    lines = head.unionByName(body).unionByName(tail)
-    lines = lines.repartition(key).sortWithinPartitions(key, "_part", "_at")
-    lines.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+    bounds = rows.groupBy("video").agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    body = rows.select("video", F.col(order).alias("_at"), F.to_json(record, {"ignoreNullFields": "false"}).alias("_line"))
+    body = body.join(bounds, "video")
+    if header is None:
+        top, joined = F.lit("{"), body
+    else:
+        fields = [c for c in header.columns if c != "video"]
+        # a video of the header without rows still gets its empty document
+        joined = header.join(body, "video", "left")
+        top = F.concat(F.regexp_replace(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), r"\}$", ""), F.lit(","))
+    empty = F.col("_at").isNull()
+    opened = F.when(empty | (F.col("_at") == F.col("_first")), F.concat(top, F.lit(f'"{array}":[')))
+    line = F.when(~empty, F.concat(F.when(F.col("_at") == F.col("_first"), "").otherwise(","), F.col("_line")))
+    closed = F.when(empty | (F.col("_at") == F.col("_last")), F.lit("]}"))
+    _write_lines(joined.select("video", "_at", F.array(opened, line, closed).alias("_lines")), path)
+
+
+def _write_lines(rows: DataFrame, path: str) -> None:
+    """One text file per video from rows of lines, ordered by `_at` and place in the row."""
+    lines = rows.select("video", "_at", F.posexplode("_lines").alias("_n", "value")).where("value IS NOT NULL")
+    lines = lines.repartition("video").sortWithinPartitions("video", "_at", "_n")
+    lines.select("video", "value").write.mode("overwrite").partitionBy("video").text(path)
 
 
 def track_record() -> Column:
@@ -87,11 +96,11 @@ def jump_rows(annotations: DataFrame) -> DataFrame:
 def write_annotations(rows: DataFrame, path: str, *, order: str = "frame_id", comment_header: bool = True) -> None:
     """One CSV file per video, sorted, its header as a comment line."""
     columns = [c for c in rows.columns if c != "video"]
-    text = rows.select("video", F.lit(1).alias("_part"), F.col(order).alias("_at"), F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("value"))
     title = ("# " if comment_header else "") + ",".join(columns)
-    head = rows.select("video").distinct().select("video", F.lit(0).alias("_part"), F.lit(None).cast(text.schema["_at"].dataType).alias("_at"), F.lit(title).alias("value"))
-    lines = head.unionByName(text).repartition("video").sortWithinPartitions("video", "_part", "_at")
-    lines.select("video", "value").write.mode("overwrite").partitionBy("video").text(path)
+    first = rows.groupBy("video").agg(F.min(order).alias("_first"))
+    text = rows.select("video", F.col(order).alias("_at"), F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("_line")).join(first, "video")
+    head = F.when(F.col("_at") == F.col("_first"), F.lit(title))
+    _write_lines(text.select("video", "_at", F.array(head, F.col("_line")).alias("_lines")), path)
 
 
 def stub_rows(expected: DataFrame, present: DataFrame, reason: str) -> DataFrame:
