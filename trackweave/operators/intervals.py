@@ -11,6 +11,7 @@ from trackweave.operators.series import CHUNK_FRAMES, FRAME, VIDEO, islands, ord
 from trackweave.session import materialize
 
 INTERVAL_BUCKET = 4096
+COMPONENTS_PER_BLOCK = 1024
 
 
 def jump_intervals(velocity: DataFrame, *, threshold: float = 3.0, min_airtime: int = 5, vx: str = "comp_dx", vy: str = "comp_dy", chunk: int = CHUNK_FRAMES) -> DataFrame:
@@ -92,25 +93,29 @@ def with_component(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
 def greedy_matches(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
     """One-to-one matches, best IoU first; ties go to the larger truth and then prediction id.
 
-    The pairs of a component stream through in that order; only the ids taken so far are held.
+    Components share no interval, so they are matched independently; neighbouring ones are handed
+    over together, and only the ids taken so far are held.
     """
 
     def fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        gts, preds = state.setdefault("g", set()), state.setdefault("p", set())
         keep = []
-        for g, p in zip(rows["gt_id"].tolist(), rows["pred_id"].tolist()):
+        for c, g, p in zip(rows["component"].tolist(), rows["gt_id"].tolist(), rows["pred_id"].tolist()):
+            if c != state.get("component"):
+                state.update(component=c, g=set(), p=set())
+            gts, preds = state["g"], state["p"]
             free = g not in gts and p not in preds
             if free:
                 gts.add(g)
                 preds.add(p)
             keep.append(free)
-        return rows[keep]
+        return rows.loc[keep, columns]
 
-    ready = with_component(pairs, chunk=chunk).select(*VIDEO, "component", "gt_id", "pred_id", "g0", "g1", "p0", "p1", "iou")
+    columns = [*VIDEO, "component", "gt_id", "pred_id", "g0", "g1", "p0", "p1", "iou"]
+    ready = with_component(pairs, chunk=chunk).select(*columns, F.floor(F.col("component") / COMPONENTS_PER_BLOCK).alias("_block"))
     schema = "video_id long, component long, gt_id long, pred_id long, g0 long, g1 long, p0 long, p1 long, iou double"
     matched = ordered_scan(
-        ready, fold, schema, keys=(*VIDEO, "component"),
-        order=(F.col("iou").desc(), F.col("gt_id").desc(), F.col("pred_id").desc()))
+        ready, fold, schema, keys=(*VIDEO, "_block"),
+        order=("component", F.col("iou").desc(), F.col("gt_id").desc(), F.col("pred_id").desc()))
     return matched.select(
         *VIDEO, "gt_id", "pred_id", "iou", F.abs(F.col("p0") - F.col("g0")).alias("start_err"), F.abs(F.col("p1") - F.col("g1")).alias("end_err"))
 

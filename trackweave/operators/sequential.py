@@ -428,7 +428,9 @@ def _carry_fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
     """Move a box along the flow, rounded and kept inside the image at every step."""
     out = []
     for r in rows.itertuples(index=False):
-        box = state.get("box") or [r.sx1, r.sy1, r.sx2, r.sy2]
+        if r.gap_at != state.get("gap"):
+            state.update(gap=r.gap_at, box=[r.sx1, r.sy1, r.sx2, r.sy2])
+        box = state["box"]
         if not math.isnan(r.dx):
             x1, y1, x2, y2 = round(box[0] + r.dx), round(box[1] + r.dy), round(box[2] + r.dx), round(box[3] + r.dy)
             x1, y1 = max(0, min(x1, r.img_w - 1)), max(0, min(y1, r.img_h - 1))
@@ -443,7 +445,7 @@ def fill_by_flow(
 ) -> DataFrame:
     """One box per frame; long gaps follow the flow from both anchors, blended by distance.
 
-    Only the frames of long gaps leave the JVM, and every gap is a series of its own.  Before the
+    Only the frames of long gaps leave the JVM, and every gap starts from its own anchors.  Before the
     first and after the last observation the box follows the flow for `extrapolate` frames and then
     stays.  `flow` columns as in `flow_trace`.
     """
@@ -463,11 +465,11 @@ def fill_by_flow(
 
     def carried(side: Column, direction: DataFrame, order: Column, tag: str) -> DataFrame:
         start = steps.where(side.isNotNull()).select(
-            *VIDEO, FRAME, side[FRAME].alias("_gap"), "img_w", "img_h", *[side[c].alias(f"s{c}") for c in BOX])
+            *VIDEO, FRAME, side[FRAME].alias("gap_at"), F.floor(side[FRAME] / chunk).alias("_block"), "img_w", "img_h", *[side[c].alias(f"s{c}") for c in BOX])
         moved = ordered_scan(
             start.join(direction, [*VIDEO, FRAME], "left"), _carry_fold,
             "video_id long, frame_id long, x1 long, y1 long, x2 long, y2 long, dx double, dy double",
-            keys=(*VIDEO, "_gap"), order=(order,))
+            keys=(*VIDEO, "_block"), order=("gap_at", order))
         return moved.select(*VIDEO, FRAME, *[F.col(c).alias(f"{tag}{c}") for c in (*BOX, "dx", "dy")])
 
     moved = steps.join(carried(a, forward_flow, frame.asc(), "p_"), [*VIDEO, FRAME], "left")
