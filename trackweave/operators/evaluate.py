@@ -25,10 +25,9 @@ def bracket(
     """
     keys = list(keys)
     anchor = F.struct(F.col(order).alias(order), *[F.col(v) for v in values])
-    side = keyframes.select(*keys, order, anchor.alias("_k"), F.lit(False).alias("_f"))
-    spine = frames.select(*keys, order).distinct().withColumn("_k", F.lit(None).cast(side.schema["_k"].dataType))
-    both = spine.withColumn("_f", F.lit(True)).unionByName(side)
-    merged = both.groupBy(*keys, order).agg(F.max("_k").alias("_k"), F.max("_f").alias("_f"))
+    side = keyframes.select(*keys, order, anchor.alias("_k"))
+    spine = frames.select(*keys, order, F.lit(True).alias("_f"))
+    merged = spine.join(side, [*keys, order], "full")
     around = running(
         merged, keys=keys, order=order, lasts={"_a": F.col("_k")}, firsts={"_b": F.col("_k")}, chunk=chunk
     )

@@ -551,55 +551,94 @@ class KalmanParams:
 KALMAN_OUT = "video_id long, frame_id long, x1 long, y1 long, x2 long, y2 long, vx double, vy double, _chunk long"
 
 
+VELOCITY_NOISE = 10.0
+
+
 def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_run: np.ndarray, p: KalmanParams) -> np.ndarray:
-    """Constant-acceleration filter and backward smoother over (cx, cy, w, h); returns the 8 states.
+    """Constant-acceleration filter and backward smoother over (cx, cy, w, h).
 
     `flow` rows are velocity measurements where either component is above 0.01; `missing_run` is the
-    number of undetected frames just before each row.
+    number of undetected frames just before each row.  All noise is diagonal, so the eight-state filter
+    falls apart into two axes of (position, velocity, acceleration) that share one 3x3 covariance and
+    two sizes that share one variance.  Returns columns cx, cy, vx, vy, ax, ay, w, h.
     """
     n = len(obs)
-    trans = np.eye(8)
-    trans[[0, 1, 2, 3], [2, 3, 4, 5]] = 1.0
-    trans[[0, 1], [4, 5]] = 0.5
-    noise = np.diag([1, 1, 4, 4, 8, 8, 0.5, 0.5]) * max(1.0, float(p.window))
-    seen = np.array([0, 1, 6, 7])
-    r_det = np.diag([p.r_detected, p.r_detected, 8.0, 8.0])
-    r_int = np.diag([p.r_interpolated, p.r_interpolated, 16.0, 16.0])
-    start = np.diag([5.0, 5, 25, 25, 100, 100, 10, 10])
-    eye = np.eye(8)
-
-    def state_of(i: int) -> np.ndarray:
-        return np.array([obs[i, 0], obs[i, 1], flow[i, 0], flow[i, 1], 0, 0, obs[i, 2], obs[i, 3]])
-
-    def update(x, cov, rows, z, r):
-        gain = np.linalg.solve(cov[np.ix_(rows, rows)] + r, cov[rows]).T
-        h = np.zeros((len(rows), 8))
-        h[np.arange(len(rows)), rows] = 1.0
-        return x + gain @ (z - x[rows]), (eye - gain @ h) @ cov
-
-    xs, covs = np.empty((n, 8)), np.empty((n, 8, 8))
-    x_pred, cov_pred = np.empty((n, 8)), np.empty((n, 8, 8))
-    xs[0], covs[0] = state_of(0), start
-    restarted = np.zeros(n, bool)
+    scale = max(1.0, float(p.window))
+    q0, q1, q2, qs = scale, 4 * scale, 8 * scale, 0.5 * scale
+    cxs, cys, ws, hs = (c.tolist() for c in obs.T)
+    us, vs = (c.tolist() for c in flow.T)
+    seen, gaps, top = detected.tolist(), np.asarray(missing_run).tolist(), p.max_acceleration
+
+    x, y = [cxs[0], us[0], 0.0], [cys[0], vs[0], 0.0]
+    size = [ws[0], hs[0]]
+    c00, c01, c02, c11, c12, c22, cs = 5.0, 0.0, 0.0, 25.0, 0.0, 100.0, 10.0
+    kept = [(x, y, size, (c00, c01, c02, c11, c12, c22, cs), None)]
     for i in range(1, n):
-        x = trans @ xs[i - 1]
-        cov = trans @ covs[i - 1] @ trans.T + noise
-        x[4:6] = np.clip(x[4:6], -p.max_acceleration, p.max_acceleration)
-        x_pred[i], cov_pred[i] = x, cov
-        if p.reinit_gap > 0 and detected[i] and missing_run[i] >= p.reinit_gap:
-            x, cov = state_of(i), start
-            restarted[i] = True
-        x, cov = update(x, cov, seen, obs[i], r_det if detected[i] else r_int)
-        if abs(flow[i, 0]) > 0.01 or abs(flow[i, 1]) > 0.01:
-            x, cov = update(x, cov, np.array([2, 3]), flow[i], np.diag([10.0, 10.0]))
-        xs[i], covs[i] = x, cov
-    smooth = xs.copy()
+        x = [x[0] + x[1] + 0.5 * x[2], x[1] + x[2], max(-top, min(top, x[2]))]
+        y = [y[0] + y[1] + 0.5 * y[2], y[1] + y[2], max(-top, min(top, y[2]))]
+        # rows of F P, then F P F' + Q
+        a0, a1, a2 = c00 + c01 + 0.5 * c02, c01 + c11 + 0.5 * c12, c02 + c12 + 0.5 * c22
+        b1, b2 = c11 + c12, c12 + c22
+        c00, c01, c02 = a0 + a1 + 0.5 * a2 + q0, a1 + a2, a2
+        c11, c12, c22 = b1 + b2 + q1, b2, c22 + q2
+        cs += qs
+        ahead = (x, y, size, (c00, c01, c02, c11, c12, c22, cs))
+        restart = p.reinit_gap > 0 and seen[i] and gaps[i] >= p.reinit_gap
+        if restart:
+            x, y, size = [cxs[i], us[i], 0.0], [cys[i], vs[i], 0.0], [ws[i], hs[i]]
+            c00, c01, c02, c11, c12, c22, cs = 5.0, 0.0, 0.0, 25.0, 0.0, 100.0, 10.0
+        r = p.r_detected if seen[i] else p.r_interpolated
+        k0, k1, k2 = c00 / (c00 + r), c01 / (c00 + r), c02 / (c00 + r)
+        dx, dy = cxs[i] - x[0], cys[i] - y[0]
+        x = [x[0] + k0 * dx, x[1] + k1 * dx, x[2] + k2 * dx]
+        y = [y[0] + k0 * dy, y[1] + k1 * dy, y[2] + k2 * dy]
+        c11, c12, c22 = c11 - k1 * c01, c12 - k1 * c02, c22 - k2 * c02
+        c00, c01, c02 = c00 - k0 * c00, c01 - k0 * c01, c02 - k0 * c02
+        ks = cs / (cs + (8.0 if seen[i] else 16.0))
+        size = [size[0] + ks * (ws[i] - size[0]), size[1] + ks * (hs[i] - size[1])]
+        cs -= ks * cs
+        if abs(us[i]) > 0.01 or abs(vs[i]) > 0.01:
+            s = c11 + VELOCITY_NOISE
+            k0, k1, k2 = c01 / s, c11 / s, c12 / s
+            dx, dy = us[i] - x[1], vs[i] - y[1]
+            x = [x[0] + k0 * dx, x[1] + k1 * dx, x[2] + k2 * dx]
+            y = [y[0] + k0 * dy, y[1] + k1 * dy, y[2] + k2 * dy]
+            c00, c02, c22 = c00 - k0 * c01, c02 - k0 * c12, c22 - k2 * c12
+            c01, c11, c12 = c01 - k0 * c11, c11 - k1 * c11, c12 - k1 * c12
+        kept.append((x, y, size, (c00, c01, c02, c11, c12, c22, cs), None if restart else ahead))
+
+    out = np.empty((n, 8))
+    sx, sy, ss = kept[-1][:3]
+    out[-1] = (sx[0], sy[0], sx[1], sy[1], sx[2], sy[2], *ss)
     for i in range(n - 2, -1, -1):
-        if restarted[i + 1]:
-            continue
-        gain = np.linalg.solve(cov_pred[i + 1], trans @ covs[i]).T
-        smooth[i] = xs[i] + gain @ (smooth[i + 1] - x_pred[i + 1])
-    return smooth
+        fx, fy, fs, (c00, c01, c02, c11, c12, c22, cs), _ = kept[i]
+        ahead = kept[i + 1][4]
+        if ahead is None:  # never smooth across a restart
+            sx, sy, ss = fx, fy, fs
+        else:
+            px, py, ps, (m00, m01, m02, m11, m12, m22, ms) = ahead
+            # inverse of the predicted covariance, by cofactors
+            i00, i01, i02 = m11 * m22 - m12 * m12, m02 * m12 - m01 * m22, m01 * m12 - m02 * m11
+            i11, i12, i22 = m00 * m22 - m02 * m02, m01 * m02 - m00 * m12, m00 * m11 - m01 * m01
+            det = m00 * i00 + m01 * i01 + m02 * i02
+            if det:
+                # rows of P F'
+                rows = (
+                    (c00 + c01 + 0.5 * c02, c01 + c02, c02), (c01 + c11 + 0.5 * c12, c11 + c12, c12), (c02 + c12 + 0.5 * c22, c12 + c22, c22))
+                moved = []
+                for f, s, q in ((fx, sx, px), (fy, sy, py)):
+                    d0, d1, d2 = s[0] - q[0], s[1] - q[1], s[2] - q[2]
+                    e0 = (i00 * d0 + i01 * d1 + i02 * d2) / det
+                    e1 = (i01 * d0 + i11 * d1 + i12 * d2) / det
+                    e2 = (i02 * d0 + i12 * d1 + i22 * d2) / det
+                    moved.append([f[j] + rows[j][0] * e0 + rows[j][1] * e1 + rows[j][2] * e2 for j in range(3)])
+                sx, sy = moved
+                g = cs / ms
+                ss = [fs[0] + g * (ss[0] - ps[0]), fs[1] + g * (ss[1] - ps[1])]
+            else:
+                sx, sy, ss = fx, fy, fs
+        out[i] = (sx[0], sy[0], sx[1], sy[1], sx[2], sy[2], *ss)
+    return out
 
 
 def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, chunk: int = 8192, halo: int = 512) -> DataFrame:

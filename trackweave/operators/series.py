@@ -24,6 +24,10 @@ def _names(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
+def _has_map(df: DataFrame, column: str) -> bool:
+    return "map<" in df.schema[column].dataType.simpleString()
+
+
 def chunk_of(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("long")
 
@@ -45,7 +49,8 @@ def running(
 
     sums: running sum including the row.  lasts / firsts: nearest non-null value at or before /
     at or after the row.  prevs / nexts: value of the neighbouring row.  prior_maxes: maximum over
-    the rows strictly before.  The first order column must be numeric; it defines the chunks.
+    the rows strictly before.  The first order column must be numeric; it defines the chunks.  Rows
+    without a key or a place in the order belong to no series and are left out.
     """
     sums, lasts, firsts = dict(sums or {}), dict(lasts or {}), dict(firsts or {})
     prevs, nexts, prior_maxes = dict(prevs or {}), dict(nexts or {}), dict(prior_maxes or {})
@@ -94,10 +99,15 @@ def running(
         carry.append(F.max(f"_s_{name}").over(carry_asc).alias(f"_c_{name}"))
         final[name] = F.greatest(f"_l_{name}", f"_c_{name}")
 
-    carried = src.groupBy(*keys, "_chunk").agg(*summary).select(*keys, "_chunk", *carry)
+    # both uses of `src` read one shuffle: the checksum keeps the optimizer from giving the summary a
+    # narrower exchange of its own, which would compute everything upstream a second time
+    src = src.repartition(*keys, "_chunk")
+    whole = F.bit_xor(F.xxhash64(*[c for c in src.columns if not _has_map(src, c)])).alias("_all")
+    carried = src.groupBy(*keys, "_chunk").agg(*summary, whole).select(*keys, "_chunk", "_all", *carry)
+    carried = carried.where(F.col("_all").isNotNull()).drop("_all")
     stepped = src.select("*", *[expr.alias(name) for name, expr in local])
     kept = [c for c in df.columns if c not in final]
-    return stepped.join(carried, [*keys, "_chunk"], "left").select(
+    return stepped.join(carried, [*keys, "_chunk"]).select(
         *kept, *[expr.alias(name) for name, expr in final.items()]
     )
 

@@ -179,7 +179,7 @@ def predict(flow: DataFrame, points: DataFrame, *, limits: Sequence[float], chun
     points = materialize(points.select(*VIDEO, "cum_dx", "cum_dy", *VENUE))
     anchors, fit = calibrate(points, chunk=chunk)
     carried = [*VENUE, *[f"m_{v}" for v in VENUE]]
-    around = bracket(flow, anchors, carried, order="cum_dy", chunk=chunk).where("_a IS NOT NULL AND _b IS NOT NULL")
+    around = bracket(flow.select(*VIDEO, "cum_dy").distinct(), anchors, carried, order="cum_dy", chunk=chunk).where("_a IS NOT NULL AND _b IS NOT NULL")
     inner = around.select(*VIDEO, "cum_dy", *[spline_between(v, "cum_dy").alias(f"_s_{v}") for v in VENUE])
     rows = flow.join(fit, list(VIDEO)).join(inner, [*VIDEO, "cum_dy"], "left")
     inside = F.col("spline_ok") & F.col("cum_dy").between(F.col("lo"), F.col("hi"))
