@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trackweave.functions import geometry as g
-from trackweave.functions.geometry import r6
+from trackweave.functions.geometry import r6, settled
 from trackweave.operators import evaluate as ev
 from trackweave.operators import gapfill as gf
 from trackweave.operators import kinematics as kin
@@ -157,7 +157,7 @@ def _(flow):
 WITH s AS (SELECT video_id, frame_id, coalesce(sqrt((cx - lag(cx) OVER w)^2 + (cy - lag(cy) OVER w)^2), 0) AS d FROM track WINDOW w AS (PARTITION BY video_id ORDER BY frame_id))
 SELECT video_id, frame_id, round(sum(d) OVER (PARTITION BY video_id ORDER BY frame_id), 4) + 0.0 AS arc FROM s""")
 def _(track):
-    return kin.arc_length(track, "cx", "cy", chunk=CHUNK).select("video_id", "frame_id", (F.round("arc", 4) + F.lit(0.0)).alias("arc"))
+    return kin.arc_length(track, "cx", "cy", chunk=CHUNK).select("video_id", "frame_id", (settled("arc", 4)).alias("arc"))
 
 
 @query("w19_running_mean_error", "track", "frames", "gt_centers", sql=f"""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trackweave.functions import pose as px
-from trackweave.functions.geometry import r6
+from trackweave.functions.geometry import r6, settled
 from trackweave.operators import experiments as ex
 from trackweave.operators import learn as ln
 from trackweave.operators import metrics as me
@@ -20,7 +20,7 @@ WITH {ERR_SQL}, m AS (SELECT video_id, round(avg(error), 6) + 0.0 AS v FROM erro
 SELECT count(*) AS n_videos, round(avg(v), 5) + 0.0 AS mean, min(v) AS min, arg_min(video_id, struct_pack(v := v, i := video_id)) AS min_video, max(v) AS max, arg_max(video_id, struct_pack(v := v, i := -video_id)) AS max_video FROM m WHERE v IS NOT NULL""")
 def _(track, frames, gt):
     out = me.macro_summary(track_report(track, frames, gt), "mean_error")
-    return out.withColumn("mean", F.round("mean", 5) + F.lit(0.0))
+    return out.withColumn("mean", settled("mean", 5))
 
 
 METRIC_SQL = """rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY score_true) + (count(*) OVER (PARTITION BY model, score_true) - 1) / 2.0::DOUBLE AS rt,
@@ -29,7 +29,7 @@ met AS (SELECT model, round(corr(rt, rp), 6) + 0.0 AS spearman_rho, round(avg(ab
 
 
 def _metrics(df):
-    return rounded(df, "spearman_rho", "relative_l2").withColumn("mae", F.round("mae", 4) + F.lit(0.0))
+    return rounded(df, "spearman_rho", "relative_l2").withColumn("mae", settled("mae", 4))
 
 
 @query("a20_score_metrics", "scores", sql=f"WITH {METRIC_SQL.format(src='scores')} SELECT * FROM met")
@@ -69,7 +69,7 @@ m AS (SELECT p.*, (SELECT min(score_true) FROM lo WHERE lo.model = p.model AND r
 SELECT model, stem, low, high, round((score_true - low) / (high - low + 1e-8), 6) + 0.0 AS scaled, round((score_true - low) / (high - low + 1e-8) * (high - low + 1e-8) + low, 4) + 0.0 AS restored FROM m""")
 def _(scores):
     out = me.minmax_scaled(ex.fold_ranges(ex.fold_plan(scores)), "score_true", "low", "high")
-    return out.select("model", "stem", "low", "high", r6(F.col("scaled")).alias("scaled"), (F.round("restored", 4) + F.lit(0.0)).alias("restored"))
+    return out.select("model", "stem", "low", "high", r6(F.col("scaled")).alias("scaled"), (settled("restored", 4)).alias("restored"))
 
 
 @query("a29_ms_per_frame", "run_results", sql="""
@@ -111,7 +111,7 @@ WITH {SWEEP_SQL} SELECT threshold, round(avg(mean_error), 5) + 0.0 AS mean_error
 def _(detections, videos, frames, gt):
     truth = ev.interpolate_keyframes(frames, gt, chunk=CHUNK)
     out = ex.sweep_means(ex.selection_sweep(detections, videos, truth, SWEEP, 0.5))
-    return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("mean_error", "mean_error_delta")})
+    return out.withColumns({c: settled(c, 5) for c in ("mean_error", "mean_error_delta")})
 
 
 COMBINED_SQL = HOTA_SQL + "," + NEAR_SQL[len(GT_SQL) + 1:] + """,
@@ -125,14 +125,14 @@ WITH {COMBINED_SQL}
 SELECT coalesce(dr.video_id, tr.video_id) AS video_id, det_error, det_ids, trk_error, trk_hota, round((1 - trk_error / det_error) * 100, 5) + 0.0 AS improvement FROM dr FULL JOIN tr ON dr.video_id = tr.video_id LEFT JOIN ho ON ho.video_id = tr.video_id""")
 def combined(d, t, frames, gt):
     out = me.combined_report(detection_report(d, t, frames, gt), track_report(t, frames, gt), hota_report(t, frames, gt))
-    return out.select("video_id", "det_error", "det_ids", "trk_error", "trk_hota", (F.round("improvement", 5) + F.lit(0.0)).alias("improvement"))
+    return out.select("video_id", "det_error", "det_ids", "trk_error", "trk_hota", (settled("improvement", 5)).alias("improvement"))
 
 
 @query("p22_average_improvement", "detections", "track", "frames", "gt_centers", sql=f"""
 WITH {COMBINED_SQL} SELECT round(avg(det_error), 5) + 0.0 AS det_error, round(avg(trk_error), 5) + 0.0 AS trk_error, round(avg(trk_hota), 5) + 0.0 AS trk_hota FROM dr FULL JOIN tr ON dr.video_id = tr.video_id LEFT JOIN ho ON ho.video_id = tr.video_id""")
 def _(d, t, frames, gt):
     out = me.averages(combined(d, t, frames, gt), ("det_error", "trk_error", "trk_hota"))
-    return out.select(*[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in out.columns])
+    return out.select(*[(settled(c, 5)).alias(c) for c in out.columns])
 
 
 def _records(poses):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trackweave.functions import geometry as g
-from trackweave.functions.geometry import r6
+from trackweave.functions.geometry import r6, settled
 from trackweave.operators import evaluate as ev
 from trackweave.operators import interpolate as ip
 from trackweave.operators import kinematics as kin
@@ -159,7 +159,7 @@ SELECT video_id, frame_id, round(arc, 4) + 0.0 AS arc FROM r WHERE rn = 1""")
 def _(gt, track, frames):
     middle = frames.groupBy("video_id").agg(F.floor((F.max("frame_id") + 1) / 2).alias("frame_id"))
     out = ip.nearest_arc(middle, kin.arc_length(track, "cx", "cy", chunk=CHUNK), chunk=CHUNK)
-    return out.select("video_id", "frame_id", (F.round("arc", 4) + F.lit(0.0)).alias("arc"))
+    return out.select("video_id", "frame_id", (settled("arc", 4)).alias("arc"))
 
 
 @query("p18_evenly_spaced_keyframes", "gt_venue", sql="""

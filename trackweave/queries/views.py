@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.functions.geometry import NUDGE
 from trackweave.operators.gapfill import fill_linear
 
 IMG_W, IMG_H = 1920, 1080
@@ -179,12 +180,33 @@ def _ctes(names: tuple[str, ...], dialect: str) -> str:
     return ",\n".join(f"{name} AS ({_text(name, dialect)}\n)" for name in _needed(names))
 
 
+def nudged(sql: str) -> str:
+    """`round(x, n) + 0.0` with the nudge the Spark side uses, for n of 4 to 6."""
+    out, at = [], 0
+    while True:
+        start = sql.find("round(", at)
+        if start < 0:
+            return "".join([*out, sql[at:]])
+        depth, end = 0, start + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if not depth:
+                break
+            end += 1
+        inner = sql[start + 6:end]
+        if inner[-3:] in (", 4", ", 5", ", 6") and sql[end + 1:end + 7] == " + 0.0":
+            out.append(f"{sql[at:start]}round(({nudged(inner[:-3])}) + {NUDGE}, {inner[-1]})")
+        else:
+            out.append(f"{sql[at:start]}round({nudged(inner)})")
+        at = end + 1
+
+
 def oracle(body: str, *names: str) -> str:
     """DuckDB statement with the views it needs in front; `body` may open with further CTEs."""
     sql = _ctes(names, "duckdb")
     for base in BASE:
         sql = sql.replace("{%s}" % base, base)
-    body = body.strip()
+    body = nudged(body.strip())
     if not sql:
         return body
     if body[:15].upper() == "WITH RECURSIVE ":
