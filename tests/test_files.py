@@ -77,7 +77,7 @@ def test_poses_meta_region_and_catalogue(spark, root):
     put(root, "Cup Men_2_0_B", "poses_3d.json", {"frames": []})
     put(root, "Cup Men_3_91_C", "poses_3d.json", {"frames": []})
     put(root, "Cup Men_4_70_D", "other.json", {})
-    put(root, "Ski_1_70_E", "poses_3d.json", {"frames": []})
+    put(root, "Run_1_70_E", "poses_3d.json", {"frames": []})
     assert [(r.video, r.score) for r in rd.catalogue(spark, f"{root}/*/poses_3d.json", "Cup Men").collect()] == [("Cup Men_3_91_C", 91.0), ("Cup Men_1_80.5_A", 80.5)]
     assert rd.read_poses_3d(spark, f"{root}/*/poses_3d.json").select(F.col("pose")[16]["z"]).first()[0] == 3.0
     put(root, "v", "poses_2d.json", {"keypoint_names": ["nose"], "frames": [{"keypoints": [[1, 2, 0.5]] * 17}, {"frame_id": 9, "keypoints": [[1, 2, 0.5]] * 17}]})
