@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackweave.queries.views import oracle, view
+from trackweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +18,7 @@ def query(name: str, *views: str, sql: str | None = None):
 
     def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return build(*[view(spark, sf_dir, v) for v in views])
 
         if name in QUERIES:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +23,39 @@ def build_session(app: str = "trackweave", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that they need not find it in their working folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="trackweave-"), "trackweave.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("trackweave", os.path.relpath(full, package)))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private temporary one only where none is named (tests)."""
+    """The cluster's shared folder; a private temporary one only where none is named and all tasks run in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="trackweave-")
     spark.sparkContext.setCheckpointDir(made)
     return made
