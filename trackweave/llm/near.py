@@ -6,8 +6,8 @@ that share one of `SKETCHES` sketches are candidates; a candidate is a link wher
 shingles is shared and the banded alignment of the words needs edits for at most 0.2 of the longer text.
 
 Equal word sequences collapse first, so copies cost one row.  Within a bucket of equal sketches nobody is paired with
-everybody: members are compared with pivots, again with other pivots while a bucket still spans several classes and the last
-round found a link.  At similarity 0.8 a pair shares none of 12 sketches with a probability below 1e-5.
+everybody: members are compared with the most central one (the text that shares most sketches with others, as the original of
+edited copies does) and one in hash order, and where a bucket still spans several classes once more with others.  At similarity 0.8 a pair shares none of 12 sketches with a probability below 1e-5.
 
 Defined cases: texts without words are classes of their own; texts of fewer than five words match only equal word sequences;
 a null doc_id is a document (its class_id is null unless the class holds an id); repeated rows are copies.
@@ -191,34 +191,48 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = 6) -> DataFrame:
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` after further links: only the links between roots need following."""
+    def root(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    higher = components(between.where("a <> b")).withColumnsRenamed({"node": "n4", "root": "r4"})
+    every = roots.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("node").agg(F.min("root").alias("root"))
+    return materialize(every.join(higher, F.col("root") == F.col("n4"), "left").select("node", F.coalesce("r4", "root").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = 2) -> DataFrame:
     """One row per row of `docs`: KEY, HASH, class_id, n_links (of its distinct text, to different texts) and kept (the least row key of its class)."""
     keyed = with_key(docs.select("doc_id", "text")).select(KEY, HASH, "text")
     table = materialize(keyed.mapInArrow(_sketch_rows(sketches), f"{KEY} long, {HASH} long, c1 long, c2 long, n_words long, sketches array<long>"))
     rank = F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash"))
     texts = materialize(table.where("n_words > 0").groupBy("c1", "c2").agg(F.min(rank).alias("name"), F.any_value("sketches").alias("sketches")))
     each = texts.select("name", F.posexplode("sketches").alias("j", "value"))
-    shared = each.groupBy("j", "value").agg(F.count("*").alias("n")).where("n > 1").select("j", "value")
-    member = materialize(each.join(shared, ["j", "value"], "left_semi"))
+    shared = each.groupBy("j", "value").agg(F.count("*").alias("n")).where("n > 1")
+    member = materialize(each.join(shared, ["j", "value"]))
     involved = member.select("name").distinct()
     named = keyed.withColumn("name", F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash")))
     body = materialize(named.join(involved, [named["name"].id.eqNullSafe(involved["name"].id), named["name"].hash == involved["name"].hash], "left_semi")
                        .select(F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"), "text"))
-    member = member.select("j", "value", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
+    member = member.select("j", "value", "n", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
+    # the original of many edited copies shares sketches with most of them: the sum of its buckets' sizes is the largest
+    central = member.groupBy("node").agg(F.sum("n").alias("shares"))
+    member = materialize(member.select("j", "value", "node").join(central, "node"))
 
     tried = links = roots = None
     for r in range(rounds):
         now = member.withColumn("root", F.col("node")) if roots is None else (
-            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", F.coalesce("root", "node").alias("root")))
+            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", "shares", F.coalesce("root", "node").alias("root")))
         turn = F.xxhash64("node", F.col("j") % 3, F.lit(r))
+        weight = F.col("shares") if r == 0 else F.col("shares") * (1024 + F.pmod(turn, F.lit(1024)))
+        lead = F.max(F.struct(weight.alias("w"), turn.alias("t"), "node", "root"))
         ends = now.groupBy("j", "value").agg(
-            F.min(F.struct(turn.alias("t"), "node", "root")).alias("low"), F.max(F.struct(turn.alias("t"), "node", "root")).alias("high"),
-            F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value", F.array("low", "high").alias("pivots"))
+            F.min(F.struct(turn.alias("t"), "node", "root")).alias("low"), lead.alias("lead"),
+            F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value", F.array(F.struct("low.node", "low.root"), F.struct("lead.node", "lead.root")).alias("pivots"))
         pair = now.join(ends, ["j", "value"]).select("node", "root", F.explode("pivots").alias("p")).where("root <> p.root")
         pair = pair.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         pair = materialize(pair if tried is None else pair.join(tried, ["a", "b"], "left_anti"))
-        if not pair.limit(1).count():
-            break
         with_a = pair.join(body.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         with_b = with_a.join(body.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
         found = materialize(with_b.mapInArrow(_verified(least), "a long, b long"))
@@ -226,7 +240,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
             break
         tried = pair if tried is None else tried.union(pair)
         links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = components(found) if roots is None else merged(roots, found)
 
     names = texts.select("c1", "c2", "name", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
     if links is None:

@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, langid, near, substring
-from trackweave.llm.rows import KEY, documents
+from trackweave.llm import bytebpe, decontaminate, fertility, langid, near, substring, toxicity
+from trackweave.llm.rows import KEY, documents, materialize
 from trackweave.session import ship
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"), ~langid.held_out(5))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out(5).alias("held_out"), "score", "predicted")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.drop_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -43,7 +49,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col(KEY).alias("doc_id"), "class_id", "n_links", F.col("kept").alias("is_first"))
 
 
+def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = materialize(fertility.measure(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text"))
+    return fertility.judge(measured, fertility.bands(measured))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir))
-    for f in (op4_substring_dedup, op5_byte_bpe, op6_decontamination, op8_language_id, op9_near_duplicates)}
+    for f in (op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op8_language_id, op9_near_duplicates, op10_fertility)}
 ORACLES: dict[str, str] = {}
