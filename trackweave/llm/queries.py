@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, fertility, langid, near, substring, toxicity
+from trackweave.llm import bytebpe, decontaminate, fertility, langid, lm, near, substring, suffix, toxicity
 from trackweave.llm.rows import KEY, documents, materialize
 from trackweave.session import ship
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_passages(documents(spark, sf_dir))
+    return found.select(F.col(KEY).alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir), langid.held_out(10))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"), ~langid.held_out(5))
@@ -56,5 +65,5 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir))
-    for f in (op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op8_language_id, op9_near_duplicates, op10_fertility)}
+    for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op8_language_id, op9_near_duplicates, op10_fertility)}
 ORACLES: dict[str, str] = {}
