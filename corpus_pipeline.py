@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import bytebpe, decontaminate, langid, near, substring
-from trackweave.llm.rows import documents, materialize
-from trackweave.session import ship
+from trackweave.llm.rows import documents, materialize, prepare
 
 LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose best language scores below `LEAST_LANGUAGE_SCORE`."""
-    ship(spark)
+    prepare(spark)
     labels, network = langid.train(docs, F.col("lang"), ~langid.held_out(5))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     marked = langid.predict_language(docs.select("text", row), labels, network)
@@ -27,13 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each class."""
-    ship(spark)
+    prepare(spark)
     return near.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a text that loses words has the rest joined by single spaces, one of which nothing is left goes."""
-    ship(spark)
+    prepare(spark)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     out = substring.drop_repeated_windows(docs.select("doc_id", "text", F.struct(*others).alias("row"), *[F.col(c).alias("chars") for c in docs.columns if c == "n_chars"]))
     lost = F.col("n_removed") > 0
@@ -45,13 +44,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a test item."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, their number, and whether decoding them gives the text back."""
-    ship(spark)
+    prepare(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bytebpe.encode(docs, path, public_tokenizers.PATTERN, offsets=False)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")

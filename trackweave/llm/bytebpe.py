@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from trackweave.llm.words import Remembered, slices, span_hashes, text_buffer
 
-KNOWN = 1 << 19
+KNOWN = 1 << 17
 
 
 def byte_alphabet() -> list[str]:
@@ -77,14 +77,10 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _encoded(path: str, pattern: str, offsets: bool):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, cut = tokenizer(path), regex.compile(pattern)
-        pieces: dict[str, list[int]] = {}
-
         def work(strings: list[bytes]) -> list[list[int]]:
-            if len(pieces) > KNOWN:
-                pieces.clear()
             parts = [cut.findall(s.decode()) for s in strings]
-            new = list({p for own in parts for p in own}.difference(pieces))
-            pieces.update(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False))))
+            distinct = list({p for own in parts for p in own})
+            pieces = dict(zip(distinct, (e.ids for e in model.encode_batch_fast(distinct, add_special_tokens=False))))
             return [pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]] for own in parts]
 
         known = Remembered(work, KNOWN)

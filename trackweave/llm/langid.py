@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.words import LOWER, Words, slices
 
 LANGUAGES, PER_LANGUAGE, SNIPPET = 64, 500, 600
-HIDDEN, STEPS, BATCH, PIECE, KNOWN = 16, 400, 256, 24, 1 << 20
+HIDDEN, STEPS, BATCH, PIECE, KNOWN = 16, 400, 256, 24, 1 << 19
 UNKNOWN = "und"
 
 
@@ -203,7 +203,7 @@ def _predicted(labels: list[str], network: Network):
         known, value = np.zeros(0, np.uint64), np.zeros((0, classes + 1), np.float32)
         for text in texts:
             names, scores = [], []
-            for part in slices(pa.record_batch({"text": text}), limit=8 << 20):
+            for part in slices(pa.record_batch({"text": text}), limit=4 << 20):
                 words = Words(part.column("text"))
                 buf = folded(words.buf)
                 h, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, fertility, langid, lm, near, substring, suffix, toxicity
-from trackweave.llm.rows import KEY, documents, materialize
-from trackweave.session import ship
+from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, substring, suffix, toxicity
+from trackweave.llm.rows import KEY, documents, materialize, prepare
+from trackweave.session import shared_dir
 
 
 def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col(KEY).alias("doc_id"), "item_id", "score", "start_word", "end_word")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    idfile.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
+    return idfile.documents_of(spark, path)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels, network = langid.train(docs, F.col("lang"), ~langid.held_out(5))
@@ -64,6 +71,6 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir))
-    for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op8_language_id, op9_near_duplicates, op10_fertility)}
+    f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir))
+    for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op7_token_files, op8_language_id, op9_near_duplicates, op10_fertility)}
 ORACLES: dict[str, str] = {}

@@ -6,13 +6,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.session import materialize
+from trackweave.session import materialize, ship
 
-__all__ = ["documents", "materialize", "with_key", "on_key", "KEY", "HASH", "cut"]
+__all__ = ["documents", "materialize", "with_key", "on_key", "prepare", "KEY", "HASH", "cut"]
 
 KEY, HASH = "__tw_doc", "__tw_hash"
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Sends the package to the workers, and texts to Python a thousand at a time where the session leaves that at its default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship(spark)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -179,9 +179,9 @@ def covered(count: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Remembered:
     """Lists of integers per distinct byte string, worked out once each; at most about `limit` strings are remembered.
 
-    Strings are told apart by their 64-bit hash: with a million remembered, two share one with a probability of 3e-8."""
+    Strings are told apart by their 64-bit hash: with a quarter of a million remembered, two share one with a probability of 2e-9."""
 
-    def __init__(self, work, limit: int = 1 << 20):
+    def __init__(self, work, limit: int = 1 << 18):
         self.work, self.limit = work, limit
         self.clear()
 
