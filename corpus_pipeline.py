@@ -52,9 +52,10 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, their number, and whether decoding them gives the text back."""
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bytebpe.encode(docs, path, public_tokenizers.PATTERN, offsets=False)
+    out = bytebpe.encode(docs, path, public_tokenizers.PATTERN, offsets=False, back=True)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select(*[c for c in docs.columns if c != "ids"], "ids", F.size("ids").cast("long").alias("n_tokens"), (bytebpe.decode("ids", path) == text).alias("round_trip"))
+    made = {"n_tokens": F.size("ids").cast("long"), "round_trip": F.col("decoded") == text}
+    return out.withColumns(made).select(*[c for c in docs.columns if c not in ("ids", *made)], "ids", *made)
 
 
 STAGES = [

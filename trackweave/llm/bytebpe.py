@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from trackweave.llm.words import Remembered, slices, span_hashes, text_buffer
+from trackweave.llm.words import Remembered, encoded, slices, span_hashes, text_buffer
 
 KNOWN = 1 << 17
 
@@ -74,13 +74,13 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, np.append(start[1:], len(buf))[:len(start)], np.searchsorted(offsets, start, "right") - 1
 
 
-def _encoded(path: str, pattern: str, offsets: bool):
+def _encoded(path: str, pattern: str, offsets: bool, back: bool = False):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, cut = tokenizer(path), regex.compile(pattern)
         def work(strings: list[bytes]) -> list[list[int]]:
             parts = [cut.findall(s.decode()) for s in strings]
             distinct = list({p for own in parts for p in own})
-            pieces = dict(zip(distinct, (e.ids for e in model.encode_batch_fast(distinct, add_special_tokens=False))))
+            pieces = dict(zip(distinct, encoded(model, distinct)))
             return [pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]] for own in parts]
 
         known = Remembered(work, KNOWN)
@@ -97,10 +97,12 @@ def _encoded(path: str, pattern: str, offsets: bool):
                     cuts = np.append(0, np.cumsum(count))
                     chars += [char_starts(path, ids[a:b], t) for a, b, t in zip(cuts[:-1], cuts[1:], part.column("text").to_pylist())]
             at = np.append(0, np.cumsum(np.concatenate(counts) if counts else [])).astype(np.int32)
-            out = [pa.ListArray.from_arrays(at, np.concatenate(values))]
+            out = {"ids": pa.ListArray.from_arrays(at, np.concatenate(values))}
             if offsets:
-                out.append(pa.ListArray.from_arrays(at, np.concatenate(chars)))
-            yield pa.StructArray.from_arrays(out, names=["ids", "char_start"][:len(out)])
+                out["char_start"] = pa.ListArray.from_arrays(at, np.concatenate(chars))
+            if back:
+                out["decoded"] = decoded_lists(path, out["ids"])
+            yield pa.StructArray.from_arrays(list(out.values()), names=list(out))
     return run
 
 
@@ -112,36 +114,42 @@ def char_starts(path: str, ids: np.ndarray, text: str | None) -> np.ndarray:
     return (np.cumsum((raw & 0xC0) != 0x80) - 1)[first].astype(np.int32) if len(ids) else np.zeros(0, np.int32)
 
 
+def decoded_lists(path: str, column: pa.Array) -> pa.Array:
+    """The bytes of every list of ids, about a million ids at a time."""
+    data, start = byte_table(path)
+    column = pc.fill_null(column, [])
+    ids, bounds = np.asarray(column.flatten()), np.asarray(column.offsets).astype(np.int64)
+    bounds = bounds - bounds[0]
+    out, a = [], 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1)
+        own = ids[bounds[a]:bounds[b]].astype(np.int64)
+        size = start[own + 1] - start[own]
+        total = np.append(0, np.cumsum(size))
+        raw = data[np.arange(total[-1]) + np.repeat(start[own] - total[:-1], size)].tobytes()
+        edge = total[bounds[a:b + 1] - bounds[a]]
+        out += [raw[x:y] for x, y in zip(edge[:-1], edge[1:])]
+        a = b
+    return pa.array(out, pa.binary())
+
+
 def _decoded(path: str):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        data, start = byte_table(path)
         for column in columns:
-            column = pc.fill_null(column, [])
-            ids, bounds = np.asarray(column.flatten()), np.asarray(column.offsets)
-            ids, bounds = ids.astype(np.int64), (bounds - bounds[0]).astype(np.int64)
-            out, a = [], 0
-            while a < len(column):  # about a million ids at a time
-                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + (1 << 20), "right")) - 1)
-                own = ids[bounds[a]:bounds[b]]
-                size = start[own + 1] - start[own]
-                total = np.append(0, np.cumsum(size))
-                raw = data[np.arange(total[-1]) + np.repeat(start[own] - total[:-1], size)].tobytes()
-                edge = total[bounds[a:b + 1] - bounds[a]]
-                out += [raw[x:y] for x, y in zip(edge[:-1], edge[1:])]
-                a = b
-            yield pa.array(out, pa.binary())
+            yield decoded_lists(path, column)
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", offsets: bool = True) -> DataFrame:
-    """All rows and columns of `docs` with ids (array of int) and, if asked for, char_start (array of int)."""
-    names = ["ids", "char_start"] if offsets else ["ids"]
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", offsets: bool = True, back: bool = False) -> DataFrame:
+    """All rows and columns of `docs` with ids (array of int) and, if asked for, char_start (array of int) and, decoded from the
+    ids in the same task, decoded (binary)."""
+    types = {"ids": "array<int>"} | ({"char_start": "array<int>"} if offsets else {}) | ({"decoded": "binary"} if back else {})
 
     def read(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _encoded(path, pattern, offsets)(it)
+        yield from _encoded(path, pattern, offsets, back)(it)
 
-    done = F.arrow_udf(read, f"struct<{', '.join(f'{n}: array<int>' for n in names)}>")
-    return docs.withColumn("__tw_ids", done(column)).select(*[c for c in docs.columns if c not in names], *[F.col(f"__tw_ids.{n}").alias(n) for n in names])
+    done = F.arrow_udf(read, f"struct<{', '.join(f'{n}: {t}' for n, t in types.items())}>")
+    return docs.withColumn("__tw_ids", done(column)).select(*[c for c in docs.columns if c not in types], *[F.col(f"__tw_ids.{n}").alias(n) for n in types])
 
 
 def decode(ids: Column | str, path: str) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackweave.llm.rows import HASH, KEY, with_key
-from trackweave.llm.words import Remembered, Words, slices
+from trackweave.llm.words import Remembered, Words, encoded, slices
 
 BLOCK, LANES, END_ID = 2048, 4096, 1
 TWO, ONE, LOW = 1 << 10, 1 << 10, 16 << 8
@@ -177,7 +177,7 @@ def _block_rows(path: str):
     """Documents come in order; a row per block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
-        known = Remembered(lambda strings: [e.ids for e in model.encode_batch_fast([s.decode() for s in strings], add_special_tokens=False)])
+        known = Remembered(lambda strings: list(encoded(model, [s.decode() for s in strings])))
         part = TaskContext.get().partitionId()
         held, docs, waiting, number, before = [], [], 0, 0, 0
 

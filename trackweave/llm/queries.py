@@ -36,10 +36,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bytebpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN, offsets=False)
+    ids = bytebpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN, offsets=False, back=True)
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bytebpe.decode("ids", path), 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ equal in every process.  Nothing here depends on Spark.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+SLICE_BYTES = 2 << 20
 BLOCK = 1 << 18
 U = np.uint64
 P = 0x9E3779B97F4A7C15
@@ -217,3 +220,9 @@ class Remembered:
         row = row[back]
         size = self.size[row]
         return size, self.values[np.arange(size.sum()) + np.repeat(self.start[row] - (np.cumsum(size) - size), size)]
+
+
+def encoded(model, strings: list[str], some: int = 4096) -> Iterator[list[int]]:
+    """Each string's ids by a model of the tokenizers library, a few at a time: what it returns for each is large."""
+    for a in range(0, len(strings), some):
+        yield from (e.ids for e in model.encode_batch_fast(strings[a:a + some], add_special_tokens=False))
