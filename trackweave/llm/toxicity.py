@@ -148,9 +148,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         return Model({}, [], None)
 
     def odds(counted: DataFrame) -> DataFrame:
+        """Log odds of a word's texts, and how sure they are: the signed root of twice the log likelihood ratio."""
+        def part(seen: Column, of: int, rest: Column) -> Column:
+            expected = rest * of / (bad + good)
+            return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+        with_word, without = F.col("bad") + F.col("good"), F.lit(bad + good) - F.col("bad") - F.col("good")
+        ratio = part(F.col("bad"), bad, with_word) + part(F.col("good"), good, with_word) + part(bad - F.col("bad"), bad, without) + part(good - F.col("good"), good, without)
         weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         return counted.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("weight", weight).withColumn(
-            "z", F.col("weight") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)))
+            "z", F.signum("weight") * F.sqrt(F.greatest(2 * ratio, F.lit(0.0))))
 
     names = "word string, bad long, good long"
     found = odds(rows.mapInArrow(_words_of, names)).where((F.col("z") >= SURE) & (F.col("bad") >= LEAST)).orderBy(F.desc("z"), "word").limit(lexicon)
