@@ -171,6 +171,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
     keyed = with_key(docs.select("doc_id", "text")).select(KEY, HASH, "text")
     seeds = keyed.select("text").mapInArrow(_seed_rows(window, seed_words), "seed long, n long")
     seeds = seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+    seeds = materialize(seeds)  # as a table of its own, so that the join can split a seed that many rows share
     names = f"{KEY} long, {HASH} long, start int, windows int, seed long, content long"
     hits = materialize(keyed.mapInArrow(_super_kmer_rows(window, seed_words), names).join(seeds, "seed", "left_semi"))
 

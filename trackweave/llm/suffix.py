@@ -118,13 +118,14 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     head = passage - SPREAD + 1
     keyed = with_key(docs.select("doc_id", "text")).select(KEY, HASH, "text")
     heads = keyed.select("text").mapInArrow(_head_rows(head), "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head")
+    heads = materialize(heads)  # as a table of its own, so that the join can split a head that many rows share
     suffixes = materialize(keyed.mapInArrow(_suffix_rows(head), f"{KEY} long, {HASH} long, at int, ordinal int, head long").join(heads, "head", "left_semi"))
 
     own = Window.partitionBy(KEY, HASH).orderBy("at")
     near = suffixes.distinct().withColumns({"was": F.lag("ordinal").over(own), "next": F.lead("ordinal").over(own)})
     near = near.select("*", F.coalesce(F.col("was") != F.col("ordinal") - 1, F.lit(True)).alias("opens"), F.coalesce(F.col("next") != F.col("ordinal") + 1, F.lit(True)).alias("closes"))
     near = materialize(near.select(KEY, HASH, "at", "head", "opens", "closes"))
-    ends = near.where("opens OR closes").select("head").distinct()
+    ends = materialize(near.where("opens OR closes").select("head").distinct())
     wanted = near.join(ends, "head", "left_semi").groupBy(KEY, HASH).agg(F.collect_list(F.struct("at", "head")).alias("wanted"))
     contexts = keyed.join(wanted, on_key(keyed, wanted)).select(keyed[KEY], keyed[HASH], keyed["text"], "wanted")
     contexts = materialize(contexts.mapInArrow(_context_rows(head, SPREAD), f"{KEY} long, {HASH} long, head long, at int, right string, left string"))
