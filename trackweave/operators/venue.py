@@ -250,6 +250,9 @@ def calibrate_from_matches(
     pool = materialize(calibration_pool(good, anchors, best_by_score(sky), min_dark=min_dark))
     kept = top_with_forced(pool, top).drop("votes")
     steady = keep_consistent(consistency_votes(kept, chunk=chunk))
+    # a frame is one calibration point: of its dark and its sky match the later one in order of score
+    later = F.max_by(F.struct("athlete_vx", "athlete_vy"), F.struct(-F.col("score"), "is_sky"))
+    steady = steady.groupBy(*VIDEO, FRAME).agg(later.alias("m")).select(*VIDEO, FRAME, "m.*")
     flow = materialize(flow.select(*VIDEO, FRAME, "cum_dx", "cum_dy"))
     points = steady.join(flow, [*VIDEO, FRAME]).select(
         *VIDEO, FRAME, "cum_dx", "cum_dy", F.col("athlete_vx").alias("venue_x"), F.col("athlete_vy").alias("venue_y"))

@@ -100,8 +100,8 @@ def track_videos(
 ) -> DataFrame:
     """Selection, conflict resolution, guard, gap filling, smoothing and crop windows.
 
-    Exactly one row per frame of every video that has a track; videos without track ids come from
-    `passthrough`.
+    Exactly one row per frame: of every video that has a track, and, from `passthrough` and without velocities, of
+    every video none of whose detections has a track id.
     """
     observations, _, _ = choose_observations(detections, videos, flow, params, chunk=chunk)
     if params.guard:
@@ -111,14 +111,22 @@ def track_videos(
     else:
         filled = fill_linear(observations, videos, chunk=chunk).withColumns(
             {"flow_vx": F.lit(None).cast("double"), "flow_vy": F.lit(None).cast("double")})
+    still = {"vx": F.lit(None).cast("double"), "vy": F.lit(None).cast("double")}
     if params.smooth_window <= 0:
-        smooth = filled.withColumns({"vx": F.lit(None).cast("double"), "vy": F.lit(None).cast("double")})
+        smooth = filled.withColumns(still)
     elif flow is not None and params.flow_fill:
+        # the Kalman smoother is for videos with flow velocities; one without a gap to fill has none
         filled = materialize(filled)
-        moved = sq.smooth_kalman(filled, params.kalman)
-        smooth = filled.drop(*BOX).join(moved, [*VIDEO, FRAME])
+        moving = filled.where("flow_vx IS NOT NULL").select(*VIDEO).distinct()
+        by_flow = filled.join(moving, list(VIDEO), "left_semi")
+        moved = sq.smooth_kalman(by_flow, params.kalman)
+        plain = sq.smooth_ema(filled.join(moving, list(VIDEO), "left_anti"), params.smooth_window).withColumns(still)
+        smooth = by_flow.drop(*BOX).join(moved, [*VIDEO, FRAME]).unionByName(plain)
     else:
-        smooth = sq.smooth_ema(filled, params.smooth_window).withColumns({"vx": F.lit(None).cast("double"), "vy": F.lit(None).cast("double")})
+        smooth = sq.smooth_ema(filled, params.smooth_window).withColumns(still)
+    has_ids = detections.where(F.col("track_id").isNotNull()).select(*VIDEO).distinct()
+    bare = passthrough(detections, videos.join(has_ids, list(VIDEO), "left_anti"))
+    smooth = smooth.unionByName(bare.withColumns(still), allowMissingColumns=True)
     cropped = with_crop(smooth, width=params.crop_width, height=params.crop_height, padding=params.padding)
     tracked = cropped.select(
         *VIDEO, FRAME, *BOX, *[F.col(f"crop_{c}").cast("long").alias(f"crop_{c}") for c in BOX], "confidence", "detected", "interpolated",
