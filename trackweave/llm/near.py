@@ -5,9 +5,10 @@ A k-mer is `K` consecutive words together with the number of times it has occurr
 that share one of `SKETCHES` sketches are candidates; a candidate is a link where at least 0.8 of the two sets of five-word
 shingles is shared and the banded alignment of the words needs edits for at most 0.2 of the longer text.
 
-Equal word sequences collapse first, so copies cost one row.  Within a bucket of equal sketches nobody is paired with
-everybody: members are compared with the most central one (the text that shares most sketches with others, as the original of
-edited copies does) and one in hash order, and where a bucket still spans several classes once more with others.  At similarity 0.8 a pair shares none of 12 sketches with a probability below 1e-5.
+Equal word sequences collapse first, so copies cost one row.  A large group is not paired within itself: in each bucket of
+equal sketches the members are first compared with a central one (the text that shares most sketches with others, as the
+original of edited copies does), twice.  What then shares a bucket and still is in different classes is compared without exception, but for pairs ruled out by their lengths or an outline of 256 least-shingle bits.  At similarity 0.8 a pair
+shares none of 12 sketches with a probability below 1e-5.
 
 Defined cases: texts without words are classes of their own; texts of fewer than five words match only equal word sequences;
 a null doc_id is a document (its class_id is null unless the class holds an id); repeated rows are copies.
@@ -147,14 +148,16 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray, k: int = K, least: float = SIMILARITY) -> bool:
-    """Word hashes of two texts: enough shingles in common, and aligned with few enough edits."""
+def similar(a: np.ndarray, b: np.ndarray, s: np.ndarray, t: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Word hashes of two texts and their sets of shingles: enough shingles in common, and aligned with few enough edits."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    if len(a) < k or len(b) < k:
+    if len(a) < K or len(b) < K:
         return np.array_equal(a, b)
-    s, t = np.unique(window_hashes(a, k)), np.unique(window_hashes(b, k))
-    both = len(np.intersect1d(s, t, assume_unique=True))
+    if min(len(s), len(t)) < least * max(len(s), len(t)):
+        return False
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    both = int((t[at] == s).sum())
     if both < least * (len(s) + len(t) - both):
         return False
     limit = int((1 - least) * max(len(a), len(b)) + 1e-9)
@@ -165,9 +168,15 @@ def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a"):
-                one, two = Words(part.column("text_a")), Words(part.column("text_b"))
-                h, g = one.hashes(), two.hashes()
-                keep = [similar(h[one.first[i]:one.first[i + 1]], g[two.first[i]:two.first[i + 1]], least=least) for i in range(part.num_rows)]
+                sides = []
+                for node, text in (("a", "text_a"), ("b", "text_b")):  # a text that many pairs share is taken apart once
+                    _, first, back = np.unique(np.asarray(part.column(node)), return_index=True, return_inverse=True)
+                    words = Words(part.column(text).take(pa.array(first)))
+                    h = words.hashes()
+                    each = [h[words.first[i]:words.first[i + 1]] for i in range(len(first))]
+                    sides.append((each, [np.unique(window_hashes(x, K)) for x in each], back))
+                (one, sets_a, at_a), (two, sets_b, at_b) = sides
+                keep = [similar(one[i], two[j], sets_a[i], sets_b[j], least) for i, j in zip(at_a, at_b)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -202,45 +211,104 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.join(higher, F.col("root") == F.col("n4"), "left").select("node", F.coalesce("r4", "root").alias("root")))
 
 
+def pivot_pairs(now: DataFrame, r: int) -> DataFrame:
+    """Every member of a bucket of several classes with the bucket's lead: the most central member, in later rounds one of the central ones."""
+    turn = F.xxhash64("node", F.col("j") % 3, F.lit(r))
+    weight = F.col("shares") if r == 0 else F.col("shares") * (1024 + F.pmod(turn, F.lit(1024)))
+    lead = F.max(F.struct(weight.alias("w"), turn.alias("t"), "node", "root"))
+    ends = now.groupBy("j", "value").agg(lead.alias("p"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value", "p")
+    pair = now.join(ends, ["j", "value"]).where("root <> p.root")
+    return pair.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def still_divided(now: DataFrame) -> DataFrame:
+    """Per node that has them: its buckets of several classes."""
+    ends = now.groupBy("j", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value")
+    return now.join(ends, ["j", "value"]).groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("n_words").alias("n_words"), F.collect_list(F.xxhash64("j", "value")).alias("keys"))
+
+
+def outlines(words: Words, k: int = K, bits: int = 256) -> np.ndarray:
+    """Per text one bit of the least shingle under each of `bits` hashes, 64 in a number: texts of similarity s agree in (1 + s) / 2 of them."""
+    count = np.maximum(words.count - k + 1, 0)
+    has = np.flatnonzero(count)
+    out = np.zeros((len(count), bits // 64), np.uint64)
+    if len(has):
+        value = window_hashes(words.hashes(), k)[window_starts(words.count, words.first, k)]
+        head = np.cumsum(count[has]) - count[has]
+        odd = mix(np.arange(1, bits + 1, dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+        for i in range(bits):
+            bit = mix(np.minimum.reduceat(mixed_by(value, odd[i]), head)) & np.uint64(1)
+            out[has, i // 64] |= bit << np.uint64(i % 64)
+    return out.view(np.int64)
+
+
+def mixed_by(value: np.ndarray, odd: np.uint64) -> np.ndarray:
+    return (value ^ (odd >> np.uint64(7))) * odd
+
+
+def _outline_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            bits = outlines(Words(part.column("text")))
+            yield pa.record_batch({"node": part.column("node")} | {f"o{i}": bits[:, i] for i in range(bits.shape[1])})
+
+
+def rest_pairs(own: DataFrame, body: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """All pairs of nodes of different classes that share a sketch, but for those that length or outline rule out.
+
+    In each bucket the members outside the largest class meet all others, in blocks of
+    about `block`, so a large class costs its size times the few that are not in it.  An outline differs in (1 - s) / 2 of
+    its 256 bits, give or take; five standard deviations are allowed for."""
+    apart = (1 - least) / 2
+    most_bits = int(256 * apart + 5 * (256 * apart * (1 - apart)) ** 0.5)
+    seen = body.join(own.select("node"), "node", "left_semi").mapInArrow(_outline_rows, "node long, o0 long, o1 long, o2 long, o3 long")
+    each = own.join(seen, "node").select(F.explode("keys").alias("key"), "node", "root", "n_words", "o0", "o1", "o2", "o3")
+    each = materialize(each)
+    per_class = each.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = per_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    largest = largest.select("key", "most", F.ceil(F.col("others") / block).cast("int").alias("blocks"))
+    each = materialize(each.join(largest, "key"))
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    minor = each.where("root <> most").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    minor = minor.select("key", "block", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n_words", "o0", "o1", "o2", "o3")]).repartition(tasks, "key", "block")
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "key", "block")
+    differ = sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"o{i}_u"))) for i in range(4)), F.lit(0))
+    meet = each.join(minor, ["key", "block"]).where(
+        (F.col("root") != F.col("root_u")) & (F.least("n_words", "n_words_u") >= least * F.greatest("n_words", "n_words_u")) & (differ <= most_bits))
+    return meet.select(F.least("node", "node_u").alias("a"), F.greatest("node", "node_u").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = 2) -> DataFrame:
-    """One row per row of `docs`: KEY, HASH, class_id, n_links (of its distinct text, to different texts) and kept (the least row key of its class)."""
+    """One row per row of `docs`: KEY, HASH, class_id, n_links (those verified from its distinct text to different texts; enough to span the class, not all there are) and kept (the least row key of its class)."""
     keyed = with_key(docs.select("doc_id", "text")).select(KEY, HASH, "text")
     table = materialize(keyed.mapInArrow(_sketch_rows(sketches), f"{KEY} long, {HASH} long, c1 long, c2 long, n_words long, sketches array<long>"))
     rank = F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash"))
-    texts = materialize(table.where("n_words > 0").groupBy("c1", "c2").agg(F.min(rank).alias("name"), F.any_value("sketches").alias("sketches")))
-    each = texts.select("name", F.posexplode("sketches").alias("j", "value"))
+    texts = materialize(table.where("n_words > 0").groupBy("c1", "c2").agg(F.min(rank).alias("name"), F.any_value("n_words").alias("n_words"), F.any_value("sketches").alias("sketches")))
+    each = texts.select("name", "n_words", F.posexplode("sketches").alias("j", "value"))
     shared = each.groupBy("j", "value").agg(F.count("*").alias("n")).where("n > 1")
     member = materialize(each.join(shared, ["j", "value"]))
     involved = member.select("name").distinct()
     named = keyed.withColumn("name", F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash")))
     body = materialize(named.join(involved, [named["name"].id.eqNullSafe(involved["name"].id), named["name"].hash == involved["name"].hash], "left_semi")
                        .select(F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"), "text"))
-    member = member.select("j", "value", "n", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
+    member = member.select("j", "value", "n", "n_words", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
     # the original of many edited copies shares sketches with most of them: the sum of its buckets' sizes is the largest
     central = member.groupBy("node").agg(F.sum("n").alias("shares"))
-    member = materialize(member.select("j", "value", "node").join(central, "node"))
+    member = materialize(member.select("j", "value", "node", "n_words").join(central, "node"))
 
     tried = links = roots = None
-    for r in range(rounds):
+    for r in range(rounds + 1):
         now = member.withColumn("root", F.col("node")) if roots is None else (
-            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", "shares", F.coalesce("root", "node").alias("root")))
-        turn = F.xxhash64("node", F.col("j") % 3, F.lit(r))
-        weight = F.col("shares") if r == 0 else F.col("shares") * (1024 + F.pmod(turn, F.lit(1024)))
-        lead = F.max(F.struct(weight.alias("w"), turn.alias("t"), "node", "root"))
-        ends = now.groupBy("j", "value").agg(
-            F.min(F.struct(turn.alias("t"), "node", "root")).alias("low"), lead.alias("lead"),
-            F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value", F.array(F.struct("low.node", "low.root"), F.struct("lead.node", "lead.root")).alias("pivots"))
-        pair = now.join(ends, ["j", "value"]).select("node", "root", F.explode("pivots").alias("p")).where("root <> p.root")
-        pair = pair.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", "n_words", "shares", F.coalesce("root", "node").alias("root")))
+        pair = pivot_pairs(now, r) if r < rounds else rest_pairs(materialize(still_divided(now)), body, least)
         pair = materialize(pair if tried is None else pair.join(tried, ["a", "b"], "left_anti"))
         with_a = pair.join(body.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         with_b = with_a.join(body.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
         found = materialize(with_b.mapInArrow(_verified(least), "a long, b long"))
-        if not found.limit(1).count():
-            break
         tried = pair if tried is None else tried.union(pair)
-        links = found if links is None else links.union(found)
-        roots = components(found) if roots is None else merged(roots, found)
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            roots = components(found) if roots is None else merged(roots, found)
 
     names = texts.select("c1", "c2", "name", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
     if links is None:
