@@ -7,7 +7,7 @@ shingles is shared and the banded alignment of the words needs edits for at most
 
 Equal word sequences collapse first, so copies cost one row.  A large group is not paired within itself: in each bucket of
 equal sketches the members are first compared with a central one (the text that shares most sketches with others, as the
-original of edited copies does), twice.  What then shares a bucket and still is in different classes is compared without exception, but for pairs ruled out by their lengths or an outline of 256 least-shingle bits.  At similarity 0.8 a pair
+original of edited copies does).  What then shares a bucket and still is in different classes is compared without exception, but for pairs ruled out by their lengths or an outline of 256 least-shingle bits.  At similarity 0.8 a pair
 shares none of 12 sketches with a probability below 1e-5.
 
 Defined cases: texts without words are classes of their own; texts of fewer than five words match only equal word sequences;
@@ -278,7 +278,7 @@ def rest_pairs(own: DataFrame, body: DataFrame, least: float, block: int = 256)
     return meet.select(F.least("node", "node_u").alias("a"), F.greatest("node", "node_u").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, rounds: int = 1) -> DataFrame:
     """One row per row of `docs`: KEY, HASH, class_id, n_links (those verified from its distinct text to different texts; enough to span the class, not all there are) and kept (the least row key of its class)."""
     keyed = with_key(docs.select("doc_id", "text")).select(KEY, HASH, "text")
     table = materialize(keyed.mapInArrow(_sketch_rows(sketches), f"{KEY} long, {HASH} long, c1 long, c2 long, n_words long, sketches array<long>"))
