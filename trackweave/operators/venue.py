@@ -142,14 +142,16 @@ def calibration_pool(matches: DataFrame, anchors: DataFrame, sky_best: DataFrame
 
 
 def top_with_forced(pool: DataFrame, n: int = 20) -> DataFrame:
-    """The n best by score.  A missing anchor takes the last place, then a missing best sky match does."""
+    """The n best by score.  A missing anchor frame takes the last place, then a missing frame of the best sky match does; one frame in both kinds counts as the anchor."""
     order = Window.partitionBy(*VIDEO).orderBy(F.col("score").desc(), "is_sky", FRAME)
     ranked = pool.withColumn("_r", F.row_number().over(order))
     top = ranked.where(F.col("_r") <= n)
     forced = pool.where(F.col("is_anchor") | F.col("is_sky"))
-    # at most n + 2 rows per video from here on
-    mine = top.select(*pool.columns, "_r").unionByName(
-        forced.join(top.select(*VIDEO, FRAME, "is_sky"), [*VIDEO, FRAME, "is_sky"], "left_anti").withColumn("_r", F.lit(n + 1)))
+    # a frame that is among the best in either kind is not missing; at most n + 2 rows per video from here on
+    missing = forced.join(top.select(*VIDEO, FRAME).distinct(), [*VIDEO, FRAME], "left_anti")
+    missing = missing.groupBy(*VIDEO, FRAME).agg(F.max_by(F.struct(*[c for c in pool.columns if c not in (*VIDEO, FRAME)]), "is_anchor").alias("_m"))
+    missing = missing.select(*VIDEO, FRAME, "_m.*").select(*pool.columns)
+    mine = top.select(*pool.columns, "_r").unionByName(missing.withColumn("_r", F.lit(n + 1)))
     state = mine.groupBy(*VIDEO).agg(
         F.max((F.col("is_anchor") & (F.col("_r") > n)).cast("int")).alias("_add_anchor"),
         F.max((F.col("is_sky") & (F.col("_r") > n)).cast("int")).alias("_add_sky"))

@@ -109,10 +109,11 @@ def _(poses):
 
 @query("h8_padded_training_sample", "poses", sql="""
 WITH r AS (SELECT DISTINCT video_id, frame_id FROM pose_points), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_id) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n FROM r)
-SELECT video_id, frame_id, pos AS slot FROM k UNION ALL SELECT video_id, frame_id, unnest(range(n, 1024)) AS slot FROM k WHERE pos = n - 1""")
+SELECT video_id, frame_id, pos AS slot FROM k UNION ALL SELECT video_id, frame_id, unnest(range(n, (SELECT max(n) FROM k))) AS slot FROM k WHERE pos = n - 1""")
 def _(poses):
-    # longer than any video here, so every video is padded and no random crop takes part
-    return ps.fixed_length(poses, 1024, chunk=POSE_CHUNK).select("video_id", "frame_id", "slot")
+    # as long as the longest video, so no random crop takes part
+    longest = poses.groupBy("video_id").count().agg(F.max("count")).first()[0] or 1
+    return ps.fixed_length(poses, longest, chunk=POSE_CHUNK).select("video_id", "frame_id", "slot")
 
 
 @query("h8_cropped_training_sample", "poses")

@@ -317,8 +317,11 @@ def _(m, c):
 
 @query("k5_top_with_forced", "venue_matches", "venue_candidates", sql=f"""
 WITH {POOL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, is_sky, frame_id) AS rn FROM pool),
-s AS (SELECT *, max(CASE WHEN is_anchor AND rn > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS aa, max(CASE WHEN is_sky AND rn > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id) AS ak FROM r)
-SELECT video_id, frame_id, score, is_anchor, is_sky FROM s WHERE rn < 20 OR (rn = 20 AND aa + ak = 0) OR (rn > 20 AND is_anchor AND ak = 0) OR (rn > 20 AND is_sky)""")
+best AS (SELECT video_id, frame_id FROM r WHERE rn <= 20),
+miss AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY is_anchor DESC) AS k FROM r WHERE (is_anchor OR is_sky) AND NOT EXISTS (SELECT 1 FROM best WHERE best.video_id = r.video_id AND best.frame_id = r.frame_id)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY is_sky DESC) AS pick FROM miss WHERE k = 1) q WHERE pick = 1)
+SELECT video_id, frame_id, score, is_anchor, is_sky FROM r WHERE rn < 20 OR (rn = 20 AND video_id NOT IN (SELECT video_id FROM last))
+UNION ALL SELECT video_id, frame_id, score, is_anchor, is_sky FROM last""")
 def _(m, c):
     return vn.top_with_forced(pool(m, c), 20).select("video_id", "frame_id", "score", "is_anchor", "is_sky")
 
