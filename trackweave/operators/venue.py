@@ -142,22 +142,25 @@ def calibration_pool(matches: DataFrame, anchors: DataFrame, sky_best: DataFrame
 
 
 def top_with_forced(pool: DataFrame, n: int = 20) -> DataFrame:
-    """The n best by score.  A missing anchor frame takes the last place, then a missing frame of the best sky match does; one frame in both kinds counts as the anchor."""
+    """The n best by score.  A missing anchor frame takes the last place, then a missing frame of the best sky match does; of one frame in both kinds the better comes."""
     order = Window.partitionBy(*VIDEO).orderBy(F.col("score").desc(), "is_sky", FRAME)
     ranked = pool.withColumn("_r", F.row_number().over(order))
     top = ranked.where(F.col("_r") <= n)
     forced = pool.where(F.col("is_anchor") | F.col("is_sky"))
     # a frame that is among the best in either kind is not missing; at most n + 2 rows per video from here on
     missing = forced.join(top.select(*VIDEO, FRAME).distinct(), [*VIDEO, FRAME], "left_anti")
-    missing = missing.groupBy(*VIDEO, FRAME).agg(F.max_by(F.struct(*[c for c in pool.columns if c not in (*VIDEO, FRAME)]), "is_anchor").alias("_m"))
+    missing = missing.groupBy(*VIDEO, FRAME).agg(F.max_by(F.struct(*[c for c in pool.columns if c not in (*VIDEO, FRAME)]), F.struct("score", ~F.col("is_sky"))).alias("_m"))
     missing = missing.select(*VIDEO, FRAME, "_m.*").select(*pool.columns)
     mine = top.select(*pool.columns, "_r").unionByName(missing.withColumn("_r", F.lit(n + 1)))
-    state = mine.groupBy(*VIDEO).agg(
+    sky = pool.where("is_sky").select(*VIDEO, F.col(FRAME).alias("_sky_frame"))
+    state = mine.join(sky, list(VIDEO), "left").groupBy(*VIDEO).agg(
+        # a sky frame in the last place does not give way to the anchor
+        F.max(((F.col("_r") == n) & F.col(FRAME).eqNullSafe(F.col("_sky_frame"))).cast("int")).alias("_stays"),
         F.max((F.col("is_anchor") & (F.col("_r") > n)).cast("int")).alias("_add_anchor"),
         F.max((F.col("is_sky") & (F.col("_r") > n)).cast("int")).alias("_add_sky"))
     joined = mine.join(state, list(VIDEO))
-    keep_top = (F.col("_r") < n) | ((F.col("_r") == n) & (F.col("_add_anchor") + F.col("_add_sky") == 0))
-    keep_anchor = (F.col("_r") > n) & F.col("is_anchor") & (F.col("_add_sky") == 0)
+    keep_top = (F.col("_r") < n) | ((F.col("_r") == n) & ((F.col("_add_anchor") + F.col("_add_sky") == 0) | (F.col("_stays") == 1)))
+    keep_anchor = (F.col("_r") > n) & F.col("is_anchor") & (F.col("_add_sky") == 0) & (F.col("_stays") == 0)
     keep_sky = (F.col("_r") > n) & F.col("is_sky")
     return joined.where(keep_top | keep_anchor | keep_sky).select(*pool.columns)
 

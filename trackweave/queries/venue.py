@@ -318,8 +318,9 @@ def _(m, c):
 @query("k5_top_with_forced", "venue_matches", "venue_candidates", sql=f"""
 WITH {POOL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, is_sky, frame_id) AS rn FROM pool),
 best AS (SELECT video_id, frame_id FROM r WHERE rn <= 20),
-miss AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY is_anchor DESC) AS k FROM r WHERE (is_anchor OR is_sky) AND NOT EXISTS (SELECT 1 FROM best WHERE best.video_id = r.video_id AND best.frame_id = r.frame_id)),
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY is_sky DESC) AS pick FROM miss WHERE k = 1) q WHERE pick = 1)
+miss AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY score DESC, is_sky) AS k FROM r WHERE (is_anchor OR is_sky) AND NOT EXISTS (SELECT 1 FROM best WHERE best.video_id = r.video_id AND best.frame_id = r.frame_id)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY is_sky DESC) AS pick FROM miss WHERE k = 1) q
+  WHERE pick = 1 AND video_id NOT IN (SELECT r.video_id FROM r JOIN sky ON r.video_id = sky.video_id AND r.frame_id = sky.frame_id WHERE rn = 20))
 SELECT video_id, frame_id, score, is_anchor, is_sky FROM r WHERE rn < 20 OR (rn = 20 AND video_id NOT IN (SELECT video_id FROM last))
 UNION ALL SELECT video_id, frame_id, score, is_anchor, is_sky FROM last""")
 def _(m, c):
