@@ -241,3 +241,12 @@ def test_pipeline(spark, docs):
     cut = corpus_pipeline.substring_dedup(spark, docs, "")
     assert cut.schema == docs.schema and cut.where("text = ''").count() == docs.where("text = ''").count()
     assert corpus_pipeline.byte_bpe(spark, docs, "").where("NOT round_trip").count() == 0
+
+
+def test_lm_spells_frequent_tokens(monkeypatch):
+    spelled = []
+    monkeypatch.setattr(lm, "spell", lambda words, table, weights: spelled.extend(words.word(i) for i in range(len(words))) or np.full(len(words), -1.0))
+    texts = pa.table({"doc_id": [1], "text": ["Common rare common new"], "held_out": [False]})
+    counts = pa.table({"token": ["common", "rare"], "by_topic": [[100] + [0] * 15, [1] + [0] * 15]})
+    out = lm._scored(None, None, [110] + [0] * 15, [9] + [0] * 15, 3)(texts, counts)
+    assert sorted(spelled) == [b"common", b"new", b"rare"] and out.column("n_known").to_pylist() == [4]
