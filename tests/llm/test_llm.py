@@ -250,3 +250,10 @@ def test_lm_spells_frequent_tokens(monkeypatch):
     counts = pa.table({"token": ["common", "rare"], "by_topic": [[100] + [0] * 15, [1] + [0] * 15]})
     out = lm._scored(None, None, [110] + [0] * 15, [9] + [0] * 15, 3)(texts, counts)
     assert sorted(spelled) == [b"common", b"new", b"rare"] and out.column("n_known").to_pylist() == [4]
+
+
+def test_lm_learns_from_all_training_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEARN", 50)
+    words = spark.createDataFrame([(f"w{i * i}", 1 + i % 9) for i in range(300)], "token string, c long")
+    weights, seen = lm.mixing_weights(words, np.zeros(lm.ORDERS * lm.SLOTS * 2, np.float32), 300)
+    assert seen == 300 and np.isfinite(weights).all()
