@@ -257,3 +257,16 @@ def test_lm_learns_from_all_training_tokens(spark, monkeypatch):
     words = spark.createDataFrame([(f"w{i * i}", 1 + i % 9) for i in range(300)], "token string, c long")
     weights, seen = lm.mixing_weights(words, np.zeros(lm.ORDERS * lm.SLOTS * 2, np.float32), 300)
     assert seen == 300 and np.isfinite(weights).all()
+
+
+def test_fertility_rejects_planted_junk(spark):
+    rnd = random.Random(6)
+    word = {lang: ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(400)] for lang, parts in PARTS.items()}
+    clean = [(i, " ".join(rnd.choices(word[lang], k=rnd.randint(100, 180))), lang) for i in range(240) for lang in [["en", "de"][i % 2]]]
+    noise = [(1000 + i, " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(rnd.randint(3, 9))) for _ in range(60)), "en") for i in range(4)]
+    few = [(2000 + i, " ".join(rnd.choice(word["de"][:6]) for _ in range(130)), "de") for i in range(4)]
+    docs = spark.createDataFrame(clean + noise + few, "doc_id long, text string, lang string")
+    measured = fertility.measure(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("base_failed", F.lit(False))  # the bands alone
+    got = {r.doc_id: r.kept for r in fertility.judge(measured, fertility.bands(measured)).collect()}
+    assert not any(got[i] for i, _, _ in noise + few)
+    assert all(got[i] for i, _, _ in clean)

@@ -2,8 +2,10 @@
 
 A sentence-piece vocabulary with byte fallback encodes every distinct word of a task once.  Per text: characters per token, share
 of fallback bytes, and the entropy of its tokens relative to that of as many different ones.  All texts that pass the plain rules
-set the bands of their script: the quartiles of each figure (from counts in fixed bins), widened by `WIDE` interquartile
-ranges, at least by `LEAST`.  A text outside a band of its script is rejected.
+set the bands of their group: the quartiles of each figure (from counts in fixed bins), widened by `NEAR` interquartile ranges, at
+least by `CLOSE`.  A group is a script, a language (column lang, where there is one) and a length in powers of two, since the
+entropy falls with length.  Under `ENOUGH` texts of one language, all texts of that script and length set the bands; if they are
+too few as well, all of the script, and then `WIDE` and `LEAST` hold.  A text outside a band is rejected.
 
 Plain figures: words, code points in words, symbols, lines equal to an earlier line, words in three-word windows that occur twice.
 
@@ -22,11 +24,13 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.llm.rows import materialize
 from trackweave.llm.words import Remembered, Words, mix, slices, span_hashes, window_hashes, window_starts
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 FIGURES = ("chars_per_token", "fallback_share", "relative_entropy")
 BINS, WIDE, LEAST = 512, 6.0, {"chars_per_token": 0.5, "fallback_share": 0.05, "relative_entropy": 0.1}
+ENOUGH, NEAR, CLOSE = 20, 3.0, {"chars_per_token": 0.1, "fallback_share": 0.02, "relative_entropy": 0.05}
 RANGE = {"chars_per_token": 16.0, "fallback_share": 1.0, "relative_entropy": 1.0}
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other")
 SHAPE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_fallback long, script string, "
@@ -135,24 +139,46 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return done.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _group(measured: DataFrame) -> dict:
+    """What a text is compared within: its script, its language where the table has one, and its length in powers of two."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in measured.columns else F.lit("")
+    return {"__tw_script": F.col("script"), "__tw_lang": lang, "__tw_size": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")}
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Per script and figure the lowest and highest value that is kept; a row per script and bin is the most that meets in a task."""
-    each = measured.where("NOT base_failed").select("script", F.posexplode(F.array(*FIGURES)).alias("figure", "value"))
-    width = F.element_at(F.array(*[F.lit(RANGE[f] / BINS) for f in FIGURES]), F.col("figure") + 1)
-    counted = each.withColumn("bin", F.least(F.floor(F.col("value") / width), F.lit(BINS - 1))).groupBy("script", "figure", "bin").agg(F.count("*").alias("n"))
-    group = Window.partitionBy("script", "figure")
+    """Per group and figure the lowest and highest value that is kept; a row per group and bin is the most that meets in a task."""
+    keys = ["__tw_script", "__tw_lang", "__tw_size"]
+    each = measured.where("NOT base_failed").withColumns(_group(measured)).select(*keys, F.posexplode(F.array(*FIGURES)).alias("figure", "value"))
+    width, close, least = (F.element_at(F.array(*[F.lit(v(f)) for f in FIGURES]), F.col("figure") + 1) for v in (lambda f: RANGE[f] / BINS, CLOSE.get, LEAST.get))
+    counted = each.withColumn("bin", F.least(F.floor(F.col("value") / width), F.lit(BINS - 1))).groupBy(*keys, "figure", "bin").agg(F.count("*").alias("n"))
+    script, lang, size = (F.col(k) for k in keys)
+    levels = [(0, lang, size), (1, F.lit(""), size), (2, F.lit(""), F.lit(-1))]
+    of = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), a.alias("lang"), b.alias("size")) for level, a, b in levels]))
+    counted = counted.select(script.alias("script"), "figure", "bin", "n", of.alias("of")).select("script", "of.*", "figure", "bin", "n")
+    own = ["level", "script", "lang", "size"]
+    counted = counted.groupBy(*own, "figure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*own, "figure")
     counted = counted.withColumns({"below": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
-    low = counted.groupBy("script", "figure").agg(
-        F.min(F.when(F.col("below") * 4 >= F.col("all"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("below") * 4 >= F.col("all") * 3, F.col("bin") + 1)).alias("q3"))
-    least = F.element_at(F.array(*[F.lit(LEAST[f]) for f in FIGURES]), F.col("figure") + 1)
-    reach = F.greatest((F.col("q3") - F.col("q1")) * width * WIDE, least)
-    return low.select("script", "figure", (F.col("q1") * width - reach).alias("low"), (F.col("q3") * width + reach).alias("high"))
+    low = counted.groupBy(*own, "figure").agg(
+        F.first("all").alias("all"), F.min(F.when(F.col("below") * 4 >= F.col("all"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("below") * 4 >= F.col("all") * 3, F.col("bin") + 1)).alias("q3"))
+    spread = (F.col("q3") - F.col("q1")) * width
+    reach = F.when(F.col("level") < 2, F.greatest(spread * NEAR, close)).otherwise(F.greatest(spread * WIDE, least))
+    low = low.withColumn("enough", (F.col("level") == 2) | (F.col("all") >= ENOUGH))
+    sides = {"low": F.when(F.col("enough"), F.col("q1") * width - reach), "high": F.when(F.col("enough"), F.col("q3") * width + reach)}
+    names = [(side, i) for side in sides for i in range(len(FIGURES))]
+    wide = materialize(low.groupBy(*own).agg(*[F.max(F.when(F.col("figure") == i, sides[side])).alias(f"{side}_{i}") for side, i in names]))
+    first, second, third = (wide.where(F.col("level") == level).alias(f"l{level}") for level in range(3))
+    found = first.join(second, (F.col("l0.script") == F.col("l1.script")) & (F.col("l0.size") == F.col("l1.size")))
+    found = found.join(third, F.col("l0.script") == F.col("l2.script"))
+    return found.select(*[F.col(f"l0.{k[5:]}").alias(k) for k in keys], *[F.coalesce(*[f"l{level}.{side}_{i}" for level in range(3)]).alias(f"__tw_{side}_{i}") for side, i in names])
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """`measured` with kept.  Few different tokens are bad and many are not; the other figures have two sides."""
-    wide = limits.groupBy("script").agg(*[F.max(F.when(F.col("figure") == i, F.col(side))).alias(f"__tw_{side}_{i}") for i in range(len(FIGURES)) for side in ("low", "high")])
-    joined = measured.join(wide.withColumnRenamed("script", "__tw_script"), F.col("script") == F.col("__tw_script"), "left")
+    match = F.lit(True)
+    for key, value in _group(measured).items():
+        match &= value == limits[key]
+    joined = measured.join(limits, match, "left")
     inside = F.lit(True)
     for i, figure in enumerate(FIGURES):
         inside &= F.col(figure) >= F.col(f"__tw_low_{i}")
