@@ -270,3 +270,19 @@ def test_fertility_rejects_planted_junk(spark):
     got = {r.doc_id: r.kept for r in fertility.judge(measured, fertility.bands(measured)).collect()}
     assert not any(got[i] for i, _, _ in noise + few)
     assert all(got[i] for i, _, _ in clean)
+
+
+def test_suffix_equals_the_windows(spark, docs):
+    rnd = random.Random(8)
+    line = lambda n: " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(n))
+    a, b, c, long = line(35), line(35), line(35), line(120)
+    texts = [f"{a} {b}", f"{b} {line(9)} {a}", f"{line(5)} {a} {c}", f"{c} {b}", f"{line(7)} {long}", f"{long} {a}", f"{long[:len(long) // 2]} {b} {line(3)}", long]
+    more = spark.createDataFrame([(300 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = words_of(both.collect())
+    got = defaultdict(set)
+    for r in suffix.repeated_passages(both).collect():
+        assert r.end_word - r.start_word >= 50
+        got[r[KEY]] |= set(range(r.start_word, r.end_word))
+    want = {i: g for (i, _), g in zip(rows, windows_twice(rows, 50)) if g}
+    assert got == want and not {300, 301, 302, 303} & set(got)

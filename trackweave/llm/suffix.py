@@ -1,16 +1,15 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sparse suffixes.
 
 Of the suffixes of all texts (in words) those stay that start at a minimiser: the least hashed run of `GRAM` words among
 `SPREAD` neighbouring ones.  Two equal passages keep the same suffixes.  A suffix matters if its first `HEAD` words start
 another kept suffix too; `HEAD` = passage - SPREAD + 1, so every passage of `passage` words or more that occurs twice has one.
 
 1. heads are counted by hash; suffixes whose head occurs once go;
-2. neighbouring suffixes of a text that stay form a run, which is repeated from its first suffix to the end of its last head;
-3. only the ends of a run can reach further.  Suffixes that share a head with such an end are sorted by the words behind it and, for
-   the left side, by the words before it in reverse; the longest match of a suffix in a sorted array is with one of its two neighbours.
-   Equal contexts collapse before sorting, and arrays are dealt by head and next word, since suffixes that differ there do not
-   extend each other: a head that a third of all texts shares is split;
-4. runs grow by what their ends gained; those of `passage` words and more are the result.
+2. each other suffix is extended by the same words on both sides: every run of `passage` words has one suffix of its own (its first
+   `SPREAD` words' minimiser), so a suffix lists the hashes of the runs it stands for;
+3. equal lists collapse to one with a count, the runs of what is left are counted by hash, and a run that occurs twice is repeated as a
+   whole, with one and the same partner.  A head that a third of all texts shares is split: lists are dealt by their hash, runs by theirs;
+4. repeated runs that overlap in a text are one passage; those that merely touch are two.
 
 Defined cases: null, empty and short texts have no passage; rows equal in id and text are two texts; a null doc_id is kept.
 """
@@ -25,20 +24,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.rows import HASH, KEY, cut, materialize, on_key, with_key
-from trackweave.llm.words import Words, mix, sliding_min, slices, window_hashes
+from trackweave.llm.words import Words, mix, sliding_min, slices, window_hashes, window_starts
 
 PASSAGE, GRAM, SPREAD = 50, 4, 20
 POSITION = np.uint64((1 << 28) - 1)
 
 
+def minimisers(h: np.ndarray, gram: int = GRAM, spread: int = SPREAD) -> np.ndarray:
+    """The least hashed run of `gram` words among the `spread` from each position on, the first of equal ones."""
+    grams = window_hashes(h, gram)
+    ranked = (mix(grams) & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
+    return (sliding_min(ranked, spread) & POSITION).astype(np.int64)
+
+
 def kept_suffixes(words: Words, head: int, gram: int = GRAM, spread: int = SPREAD):
     """Text, position in it, ordinal in it and head hash of the suffixes at minimisers that are `head` words long at least."""
     h = words.hashes()
-    grams = window_hashes(h, gram)
-    ranked = (mix(grams) & ~POSITION) | np.arange(len(grams), dtype=np.uint64)
+    minimiser = minimisers(h, gram, spread)
     rooms = np.maximum(words.count - (spread + gram - 1) + 1, 0)
     at = np.arange(rooms.sum()) + np.repeat(words.first[:-1] - (np.cumsum(rooms) - rooms), rooms)
-    least = np.unique((sliding_min(ranked, spread)[at] & POSITION).astype(np.int64)) if len(at) else at
+    least = np.unique(minimiser[at]) if len(at) else at
     text = np.searchsorted(words.first, least, "right") - 1
     long = least + head <= words.first[text + 1]
     least, text = least[long], text[long]
@@ -67,52 +72,31 @@ def _suffix_rows(head: int):
     return run
 
 
-def _context_rows(head: int, reach: int):
-    """For each wanted suffix up to `reach` words behind its head and before it (reversed)."""
+def _window_rows(passage: int):
+    """Per wanted suffix the hashes of the runs of `passage` words that it stands for, and where the first one starts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                text, wanted = part.column("text").to_pylist(), part.column("wanted").to_pylist()
-                rows = []
-                for t, suffixes in zip(text, wanted):
-                    own = t.encode().split()
-                    for s in suffixes:
-                        a, b = s["at"], s["at"] + head
-                        rows.append((s["head"], s["at"], b" ".join(own[b:b + reach]), b" ".join(own[max(0, a - reach):a][::-1])))
-                n = np.array([len(w) for w in wanted], np.int64)
-                take = pa.array(np.repeat(np.arange(len(n)), n))
-                columns = list(zip(*rows)) or [[], [], [], []]
+                words = Words(part.column("text"))
+                at = window_starts(words.count, words.first, passage)
+                if not len(at):
+                    continue
+                h = words.hashes()
+                lists = part.column("wanted")
+                wanted = np.zeros(len(words), bool)
+                wanted[np.repeat(words.first[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()] = True
+                least = minimisers(h)[at]
+                at, least = at[wanted[least]], least[wanted[least]]
+                first = np.flatnonzero(np.append(True, least[1:] != least[:-1])) if len(at) else at
+                text = np.searchsorted(words.first, at[first], "right") - 1
+                take = pa.array(text)
+                value = window_hashes(h, passage)[at].view(np.int64)
                 yield from cut(pa.record_batch({
-                    KEY: part.column(KEY).take(take), HASH: part.column(HASH).take(take), "head": pa.array(columns[0], pa.int64()), "at": pa.array(columns[1], pa.int32()),
-                    "right": pa.array([c.decode() for c in columns[2]], pa.string()), "left": pa.array([c.decode() for c in columns[3]], pa.string())}), 20_000)
+                    KEY: part.column(KEY).take(take), HASH: part.column(HASH).take(take), "start": (at[first] - words.first[text]).astype(np.int32),
+                    "windows": pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(value))}), 20_000)
     return run
 
 
-def common_words(one: str | None, two: str | None) -> int:
-    if not one or not two:
-        return 0
-    n = 0
-    for x, y in zip(one.split(" "), two.split(" ")):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _gain(side: pa.Array, n: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
-    """Words that a suffix's context shares with a neighbour's; all of them where the same context occurs twice."""
-    out = [len(s.split()) if k > 1 else max(common_words(s, a), common_words(s, b)) for s, k, a, b in zip(*(c.to_pylist() for c in (side, n, before, after)))]
-    return pa.array(out, pa.int32())
-
-
-def _sorted_gain(contexts: DataFrame, side: str) -> DataFrame:
-    """head, the side's words and how many of them continue some other suffix with this head."""
-    distinct = contexts.groupBy("head", side).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("head", F.substring_index(side, " ", 1)).orderBy(side)
-    sorted_ = distinct.select("head", side, "n", F.lag(side).over(order).alias("before"), F.lead(side).over(order).alias("after"))
-    return sorted_.select("head", side, F.arrow_udf(_gain, "int")(side, "n", "before", "after").alias(f"gain_{side}"))
-
-
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """Row key and words [start_word, end_word) of every run of `passage` words or more that occurs elsewhere."""
     head = passage - SPREAD + 1
@@ -121,23 +105,18 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     heads = materialize(heads)  # as a table of its own, so that the join can split a head that many rows share
     suffixes = materialize(keyed.mapInArrow(_suffix_rows(head), f"{KEY} long, {HASH} long, at int, ordinal int, head long").join(heads, "head", "left_semi"))
 
-    own = Window.partitionBy(KEY, HASH).orderBy("at")
-    near = suffixes.distinct().withColumns({"was": F.lag("ordinal").over(own), "next": F.lead("ordinal").over(own)})
-    near = near.select("*", F.coalesce(F.col("was") != F.col("ordinal") - 1, F.lit(True)).alias("opens"), F.coalesce(F.col("next") != F.col("ordinal") + 1, F.lit(True)).alias("closes"))
-    near = materialize(near.select(KEY, HASH, "at", "head", "opens", "closes"))
-    ends = materialize(near.where("opens OR closes").select("head").distinct())
-    wanted = near.join(ends, "head", "left_semi").groupBy(KEY, HASH).agg(F.collect_list(F.struct("at", "head")).alias("wanted"))
-    contexts = keyed.join(wanted, on_key(keyed, wanted)).select(keyed[KEY], keyed[HASH], keyed["text"], "wanted")
-    contexts = materialize(contexts.mapInArrow(_context_rows(head, SPREAD), f"{KEY} long, {HASH} long, head long, at int, right string, left string"))
-    edge = contexts.join(_sorted_gain(contexts, "right"), ["head", "right"]).join(_sorted_gain(contexts, "left"), ["head", "left"])
-    edge = edge.groupBy(F.col(KEY).alias("k2"), F.col(HASH).alias("h2"), F.col("at").alias("a2")).agg(F.max("gain_right").alias("more"), F.max("gain_left").alias("before"))
-    runs = near.where("opens OR closes").join(edge, near[KEY].eqNullSafe(edge["k2"]) & (near[HASH] == edge["h2"]) & (near["at"] == edge["a2"]))
-    # an opening end is followed by the closing end of its run (or is it)
-    step = runs.select(KEY, HASH, "at", "opens", "closes", (F.col("at") - F.col("before")).alias("start_word"), (F.col("at") + head + F.col("more")).alias("end_word"))
-    step = step.withColumn("last", F.when(F.col("closes"), F.col("end_word")).otherwise(F.lead("end_word").over(own)))
-    spans = step.where("opens").select(KEY, HASH, "start_word", F.col("last").alias("end_word"))
-    # spans that touch are one
-    merged = spans.withColumn("until", F.max("end_word").over(Window.partitionBy(KEY, HASH).orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)))
-    merged = merged.withColumn("part", F.sum(F.coalesce(F.col("start_word") > F.col("until"), F.lit(True)).cast("int")).over(Window.partitionBy(KEY, HASH).orderBy("start_word", "end_word")))
-    merged = merged.groupBy(KEY, HASH, "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
-    return merged.where(F.col("end_word") - F.col("start_word") >= passage).select(KEY, HASH, "start_word", "end_word")
+    wanted = suffixes.groupBy(KEY, HASH).agg(F.collect_set("at").alias("wanted"))
+    texts = keyed.join(wanted, on_key(keyed, wanted)).select(keyed[KEY], keyed[HASH], keyed["text"], "wanted")
+    rows = materialize(texts.mapInArrow(_window_rows(passage), f"{KEY} long, {HASH} long, start int, windows array<long>").withColumn("list", F.xxhash64("windows")))
+    lists = materialize(rows.groupBy("list").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
+    each = lists.select("list", "n", F.posexplode("windows").alias("i", "window"))
+    twice = materialize(each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"))
+    found = each.join(twice, "window", "left_semi").groupBy("list").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    edge = lambda side: F.filter("i", lambda x: ~F.array_contains("i", x + side))
+    found = materialize(found.select("list", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")).alias("runs")))
+    spans = rows.join(found, "list").select(KEY, HASH, "start", F.explode("runs").alias("r"))
+    spans = spans.select(KEY, HASH, (F.col("start") + F.col("r.a")).alias("start_word"), (F.col("start") + F.col("r.b") + passage).alias("end_word"))
+    own = Window.partitionBy(KEY, HASH).orderBy("start_word", "end_word")
+    merged = spans.withColumn("until", F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    merged = merged.withColumn("part", F.sum(F.coalesce(F.col("start_word") >= F.col("until"), F.lit(True)).cast("int")).over(own))
+    return merged.groupBy(KEY, HASH, "part").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).select(KEY, HASH, "start_word", "end_word")
