@@ -248,3 +248,19 @@ def test_point_filter_predicts_missing(spark):
     out = sq.smooth_points(spark.createDataFrame(rows, "video_id long, frame_id long, venue_x double, venue_y double")).toPandas().sort_values("frame_id")
     assert len(out) == 20 and out.notna().all().all()
     assert abs(out.venue_x.iloc[-1] - 29) < 0.5 and abs(out.venue_y - 50).max() < 1e-9
+
+
+def test_kalman_of_a_long_clipped_video_is_the_uncut_one(spark):
+    r = np.random.default_rng(4)
+    n = 9300
+    at = np.cumsum(np.cumsum(np.where(np.arange(n) // 400 % 2, 90.0, -90.0)))  # beyond the clip of the acceleration
+    box = np.rint(np.column_stack([at, at / 2, at + 60, at / 2 + 90]) + r.normal(size=(n, 1)) * 5).astype(int)
+    det = np.arange(n) < 7000
+    pdf = pd.DataFrame(box, columns=["x1", "y1", "x2", "y2"]).assign(video_id=0, frame_id=range(n), detected=det, flow_vx=0.0, flow_vy=0.0)
+    lone = pdf.iloc[:1].assign(video_id=1, x2=pdf.x1[0] + 3)
+    got = sq.smooth_kalman(spark.createDataFrame(pd.concat([pdf, lone]))).toPandas().sort_values(["video_id", "frame_id"], ignore_index=True)
+    b = box.astype(float)
+    obs = np.column_stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]])
+    want = sq.kalman_rts(obs, det, np.zeros((n, 2)), np.zeros(n, int), sq.KalmanParams())
+    np.testing.assert_array_equal(got[["vx", "vy"]].to_numpy()[:n], want[:, 2:4])
+    assert len(got) == n + 1 and got.iloc[n][["x1", "x2"]].tolist() == lone[["x1", "x2"]].iloc[0].tolist()

@@ -548,45 +548,41 @@ class KalmanParams:
     max_acceleration: float = 40.0
 
 
-KALMAN_OUT = "video_id long, frame_id long, x1 long, y1 long, x2 long, y2 long, vx double, vy double, _chunk long"
+KALMAN_OUT = "video_id long, frame_id long, x1 long, y1 long, x2 long, y2 long, vx double, vy double"
 
 
 VELOCITY_NOISE = 10.0
 
 
-def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_run: np.ndarray, p: KalmanParams) -> np.ndarray:
-    """Constant-acceleration filter and backward smoother over (cx, cy, w, h).
+def _ahead(kept: tuple, p: KalmanParams) -> tuple:
+    """The state and covariance predicted for the next frame."""
+    x, y, size, (c00, c01, c02, c11, c12, c22, cs) = kept[:4]
+    top, scale = p.max_acceleration, max(1.0, float(p.window))
+    x = [x[0] + x[1] + 0.5 * x[2], x[1] + x[2], max(-top, min(top, x[2]))]
+    y = [y[0] + y[1] + 0.5 * y[2], y[1] + y[2], max(-top, min(top, y[2]))]
+    # rows of F P, then F P F' + Q
+    a0, a1, a2 = c00 + c01 + 0.5 * c02, c01 + c11 + 0.5 * c12, c02 + c12 + 0.5 * c22
+    b1, b2 = c11 + c12, c12 + c22
+    return x, y, size, (a0 + a1 + 0.5 * a2 + scale, a1 + a2, a2, b1 + b2 + 4 * scale, b2, c22 + 8 * scale, cs + 0.5 * scale)
 
-    `flow` rows are velocity measurements where either component is above 0.01; `missing_run` is the
-    number of undetected frames just before each row.  All noise is diagonal, so the eight-state filter
-    falls apart into two axes of (position, velocity, acceleration) that share one 3x3 covariance and
-    two sizes that share one variance.  Returns columns cx, cy, vx, vy, ax, ay, w, h.
-    """
-    n = len(obs)
-    scale = max(1.0, float(p.window))
-    q0, q1, q2, qs = scale, 4 * scale, 8 * scale, 0.5 * scale
+
+def kalman_filter(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_run: np.ndarray, p: KalmanParams, before: tuple | None = None) -> list[tuple]:
+    """Per frame (x, y, size, covariance, restarted), going on from the state `before`."""
     cxs, cys, ws, hs = (c.tolist() for c in obs.T)
     us, vs = (c.tolist() for c in flow.T)
-    seen, gaps, top = detected.tolist(), np.asarray(missing_run).tolist(), p.max_acceleration
-
-    x, y = [cxs[0], us[0], 0.0], [cys[0], vs[0], 0.0]
-    size = [ws[0], hs[0]]
-    c00, c01, c02, c11, c12, c22, cs = 5.0, 0.0, 0.0, 25.0, 0.0, 100.0, 10.0
-    kept = [(x, y, size, (c00, c01, c02, c11, c12, c22, cs), None)]
-    for i in range(1, n):
-        x = [x[0] + x[1] + 0.5 * x[2], x[1] + x[2], max(-top, min(top, x[2]))]
-        y = [y[0] + y[1] + 0.5 * y[2], y[1] + y[2], max(-top, min(top, y[2]))]
-        # rows of F P, then F P F' + Q
-        a0, a1, a2 = c00 + c01 + 0.5 * c02, c01 + c11 + 0.5 * c12, c02 + c12 + 0.5 * c22
-        b1, b2 = c11 + c12, c12 + c22
-        c00, c01, c02 = a0 + a1 + 0.5 * a2 + q0, a1 + a2, a2
-        c11, c12, c22 = b1 + b2 + q1, b2, c22 + q2
-        cs += qs
-        ahead = (x, y, size, (c00, c01, c02, c11, c12, c22, cs))
+    seen, gaps = np.asarray(detected).tolist(), np.asarray(missing_run).tolist()
+    fresh = (5.0, 0.0, 0.0, 25.0, 0.0, 100.0, 10.0)
+    kept: list[tuple] = []
+    for i in range(len(obs)):
+        if before is None:
+            before = ([cxs[i], us[i], 0.0], [cys[i], vs[i], 0.0], [ws[i], hs[i]], fresh, True)
+            kept.append(before)
+            continue
+        x, y, size, (c00, c01, c02, c11, c12, c22, cs) = _ahead(before, p)
         restart = p.reinit_gap > 0 and seen[i] and gaps[i] >= p.reinit_gap
         if restart:
             x, y, size = [cxs[i], us[i], 0.0], [cys[i], vs[i], 0.0], [ws[i], hs[i]]
-            c00, c01, c02, c11, c12, c22, cs = 5.0, 0.0, 0.0, 25.0, 0.0, 100.0, 10.0
+            c00, c01, c02, c11, c12, c22, cs = fresh
         r = p.r_detected if seen[i] else p.r_interpolated
         k0, k1, k2 = c00 / (c00 + r), c01 / (c00 + r), c02 / (c00 + r)
         dx, dy = cxs[i] - x[0], cys[i] - y[0]
@@ -605,18 +601,22 @@ def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_
             y = [y[0] + k0 * dy, y[1] + k1 * dy, y[2] + k2 * dy]
             c00, c02, c22 = c00 - k0 * c01, c02 - k0 * c12, c22 - k2 * c12
             c01, c11, c12 = c01 - k0 * c11, c11 - k1 * c11, c12 - k1 * c12
-        kept.append((x, y, size, (c00, c01, c02, c11, c12, c22, cs), None if restart else ahead))
-
-    out = np.empty((n, 8))
-    sx, sy, ss = kept[-1][:3]
-    out[-1] = (sx[0], sy[0], sx[1], sy[1], sx[2], sy[2], *ss)
-    for i in range(n - 2, -1, -1):
-        fx, fy, fs, (c00, c01, c02, c11, c12, c22, cs), _ = kept[i]
-        ahead = kept[i + 1][4]
-        if ahead is None:  # never smooth across a restart
+        before = (x, y, size, (c00, c01, c02, c11, c12, c22, cs), bool(restart))
+        kept.append(before)
+    return kept
+
+
+def kalman_smooth(kept: list[tuple], p: KalmanParams, after: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Columns cx, cy, vx, vy, ax, ay, w, h of filtered frames, and what the frames before them need as `after`: the smoothed
+    state (x, y, size) of the frame behind and whether the filter restarted there."""
+    out = np.empty((len(kept), 8))
+    for i in range(len(kept) - 1, -1, -1):
+        fx, fy, fs, (c00, c01, c02, c11, c12, c22, cs), restarted = kept[i]
+        if after is None or after[3]:  # never smooth across a restart
             sx, sy, ss = fx, fy, fs
         else:
-            px, py, ps, (m00, m01, m02, m11, m12, m22, ms) = ahead
+            sx, sy, ss, _ = after
+            px, py, ps, (m00, m01, m02, m11, m12, m22, ms) = _ahead(kept[i], p)
             # inverse of the predicted covariance, by cofactors
             i00, i01, i02 = m11 * m22 - m12 * m12, m02 * m12 - m01 * m22, m01 * m12 - m02 * m11
             i11, i12, i22 = m00 * m22 - m02 * m02, m01 * m02 - m00 * m12, m00 * m11 - m01 * m01
@@ -638,14 +638,29 @@ def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_
             else:
                 sx, sy, ss = fx, fy, fs
         out[i] = (sx[0], sy[0], sx[1], sy[1], sx[2], sy[2], *ss)
-    return out
+        after = (sx, sy, ss, restarted)
+    return out, after
+
+
+def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_run: np.ndarray, p: KalmanParams) -> np.ndarray:
+    """Constant-acceleration filter and backward smoother over (cx, cy, w, h).
+
+    `flow` rows are velocity measurements where either component is above 0.01; `missing_run` is the
+    number of undetected frames just before each row.  All noise is diagonal, so the eight-state filter
+    falls apart into two axes of (position, velocity, acceleration) that share one 3x3 covariance and
+    two sizes that share one variance.  Returns columns cx, cy, vx, vy, ax, ay, w, h.
+    """
+    return kalman_smooth(kalman_filter(obs, detected, flow, missing_run, p), p)[0]
+
+
+STATE = [f"_k{i}" for i in range(15)]
 
 
 def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, chunk: int = 8192, halo: int = 512) -> DataFrame:
     """Kalman and RTS smoothing of boxes, using flow velocities where given (flow_vx, flow_vy).
 
-    Videos longer than `chunk` frames are cut; the halo lets the filter forget its start and the
-    smoother its end to far below the one-pixel rounding of the result.
+    A video is one pass forwards and one backwards, both as a stream that carries its whole state, so its length makes no
+    difference to the result.  `chunk` and `halo` have no effect; they are taken for callers that still give them.
     """
     rows = track.select(
         *VIDEO, FRAME, *BOX, "detected", F.coalesce("flow_vx", F.lit(0.0)).alias("flow_vx"), F.coalesce("flow_vy", F.lit(0.0)).alias("flow_vy"))
@@ -656,27 +671,36 @@ def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, ch
         rows = back.withColumn("missing_run", F.greatest(F.col(FRAME) - 1 - F.greatest(F.coalesce("_before", first), first), first)).drop("_seen", "_before")
     else:
         rows = rows.withColumn("missing_run", F.lit(0).cast("long"))
-    cut = halo_chunks(rows, FRAME, before=halo, after=halo, chunk=chunk)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(FRAME)
+    def forwards(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         b = pdf[list(BOX)].to_numpy(float)
         obs = np.column_stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]])
-        if len(pdf) > 1:
-            s = kalman_rts(obs, pdf["detected"].to_numpy(bool), pdf[["flow_vx", "flow_vy"]].to_numpy(float), pdf["missing_run"].to_numpy(), params)
-            w, h = np.maximum(10.0, s[:, 6]), np.maximum(10.0, s[:, 7])
-            sides = np.rint(np.column_stack([s[:, 0] - w / 2, s[:, 1] - h / 2, s[:, 0] + w / 2, s[:, 1] + h / 2]))
-            speed = s[:, 2:4]
-        else:
-            sides, speed = b, np.zeros((len(pdf), 2))
+        first = np.zeros(len(pdf), bool)
+        first[0] = "kept" not in state
+        kept = kalman_filter(obs, pdf["detected"].to_numpy(bool), pdf[["flow_vx", "flow_vy"]].to_numpy(float), pdf["missing_run"].to_numpy(), params, state.get("kept"))
+        state["kept"] = kept[-1]
+        out = pd.DataFrame(np.array([[*x, *y, *size, *cov] for x, y, size, cov, _ in kept]), columns=STATE)
+        return pdf[["video_id", FRAME, *BOX]].reset_index(drop=True).assign(_first=first, _restarted=[k[4] for k in kept]).join(out)
+
+    def backwards(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[::-1]
+        alone = "after" not in state and len(pdf) == 1 and bool(pdf["_first"].iloc[0])
+        kept = [(k[0:3], k[3:6], k[6:8], tuple(k[8:15]), r) for k, r in zip(pdf[STATE].to_numpy(float).tolist(), pdf["_restarted"].tolist())]
+        s, state["after"] = kalman_smooth(kept, params, state.get("after"))
+        w, h = np.maximum(10.0, s[:, 6]), np.maximum(10.0, s[:, 7])
+        sides = np.rint(np.column_stack([s[:, 0] - w / 2, s[:, 1] - h / 2, s[:, 0] + w / 2, s[:, 1] + h / 2]))
+        if alone:  # a video of one frame stays as it is
+            sides, s = pdf[list(BOX)].to_numpy(float), np.zeros((1, 8))
         out = pd.DataFrame(sides.astype("int64"), columns=list(BOX))
         out.insert(0, FRAME, pdf[FRAME].to_numpy())
         out.insert(0, "video_id", pdf["video_id"].to_numpy())
-        out["vx"], out["vy"], out["_chunk"] = speed[:, 0], speed[:, 1], pdf["_chunk"].to_numpy()
-        return out[pdf["_own"].to_numpy(bool)]
+        out["vx"], out["vy"] = s[:, 2], s[:, 3]
+        return out
 
-    # a group is one chunk with its halo, never more than chunk + 2 * halo rows
-    return cut.groupBy(*VIDEO, "_chunk").applyInPandas(one, KALMAN_OUT).drop("_chunk")
+    box = ", ".join(f"{c} double" for c in BOX)
+    schema = f"video_id long, {FRAME} long, {box}, _first boolean, _restarted boolean, " + ", ".join(f"{c} double" for c in STATE)
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in BOX})
+    return ordered_scan(ordered_scan(rows, forwards, schema), backwards, KALMAN_OUT, order=(F.desc(FRAME),))
 
 
 def smooth_points(points: DataFrame, *, process_noise: float = 1.0, measurement_noise: float = 5.0) -> DataFrame:
