@@ -286,3 +286,9 @@ def test_suffix_equals_the_windows(spark, docs):
         got[r[KEY]] |= set(range(r.start_word, r.end_word))
     want = {i: g for (i, _), g in zip(rows, windows_twice(rows, 50)) if g}
     assert got == want and not {300, 301, 302, 303} & set(got)
+
+
+def test_language_learns_every_label(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of label", f"l{i % 70}") for i in range(140)], "doc_id long, text string, lang string")
+    labels, network = langid.train(docs, F.col("lang"), F.lit(True), per_language=5)
+    assert len(labels) == 70 and network.w["bias"].shape == (70,)

@@ -2,9 +2,8 @@
 
 The network reads one word at a time, from both ends, and labels every byte position; a document's probabilities are the mean
 over the positions of all its words.  Since a word's labels depend on the word alone, each distinct word of a task is read
-once.  Weights are fitted by backpropagation through time on a bounded sample: `PER_LANGUAGE` texts of each of the
-`LANGUAGES` most frequent languages at most, `SNIPPET` characters of each, chosen by a hash of the text.  Prediction reads all
-words of all texts.
+once.  Weights are fitted by backpropagation through time on a bounded sample: `PER_LANGUAGE` texts of each language that
+occurs at most, `SNIPPET` characters of each, chosen by a hash of the text.  Prediction reads all words of all texts.
 
 Defined cases: a null text and one without a letter are `und` with score 0; without any labelled row every text is `und`;
 words longer than `PIECE` bytes are read in pieces; output columns replace input columns of the same name.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.words import LOWER, Words, slices
 
-LANGUAGES, PER_LANGUAGE, SNIPPET = 64, 500, 600
+PER_LANGUAGE, SNIPPET = 500, 600
 HIDDEN, STEPS, BATCH, PIECE, KNOWN = 16, 400, 256, 24, 1 << 19
 UNKNOWN = "und"
 
@@ -149,10 +148,10 @@ def by_length(buf: np.ndarray, start: np.ndarray, size: np.ndarray):
         yield at, x
 
 
-def train(docs: DataFrame, label: Column, learn: Column, languages: int = LANGUAGES, per_language: int = PER_LANGUAGE, seed: int = 7):
+def train(docs: DataFrame, label: Column, learn: Column, per_language: int = PER_LANGUAGE, seed: int = 7):
     """The labels and the fitted network, or none without labelled rows."""
     rows = docs.where(learn & label.isNotNull() & F.col("text").rlike("\\p{L}")).select(label.cast("string").alias("y"), F.col("text"))
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages).collect()
+    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").collect()
     if not counts:
         return [], None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, 1.2 * per_language / r["count"]))])
