@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, substring, suffix, toxicity
+from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, sql, substring, suffix, toxicity, turns
 from trackweave.llm.rows import KEY, documents, materialize, prepare
 from trackweave.session import shared_dir
 
@@ -70,7 +70,31 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(measured, fertility.bands(measured)).drop("lang")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of id and turn; nulls become one space first."""
+    space = F.lit(" ")
+    place = F.concat(*[F.coalesce(c, space) for c in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))])
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, space).alias(c) for c in ("role", "text")], (F.crc32(place.cast("binary")) % 20).alias("fault"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = documents(spark, sf_dir, "conversations")
+    rows = damaged(original)
+    plans = materialize(turns.plan_repairs(rows))
+    found = plans.join(turns.repaired_digests(rows, plans).withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("conv_id")
+    all_ids = original.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir))
-    for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op7_token_files, op8_language_id, op9_near_duplicates, op10_fertility)}
-ORACLES: dict[str, str] = {}
+    for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op7_token_files, op8_language_id, op9_near_duplicates, op10_fertility,
+              op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op13_conversation_repair": sql.REPAIR}
