@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, sql, substring, suffix, toxicity, turns
+from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, sql, substring, suffix, toxicity, trie, turns
 from trackweave.llm.rows import KEY, documents, materialize, prepare
 from trackweave.session import shared_dir
 
@@ -70,6 +70,23 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(measured, fertility.bands(measured)).drop("lang")
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """id and symbols (a digest and the code points of each turn) of every conversation: the first h turns of the first conversation of its hundred, then its own after h."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    turn = F.struct("turn", F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")).alias("digest"), F.length(text).alias("size"))
+    own = materialize(conversations.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("own")))
+    heads = own.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("own", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    both = own.withColumn("h", h).join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("base"), "left")
+    first = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("own", 1, 0))
+    symbols = F.concat(first, F.slice("own", F.col("h") + 1, F.size("own")))
+    return both.select(F.col("conv_id").alias("id"), F.transform(symbols, lambda t: F.struct(t["digest"].alias("digest"), t["size"].alias("size"))).alias("symbols"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.sequences(rebuilt(documents(spark, sf_dir, "conversations"))))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Conversations with faults put in by a hash of id and turn; nulls become one space first."""
     space = F.lit(" ")
@@ -96,5 +113,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir))
     for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op7_token_files, op8_language_id, op9_near_duplicates, op10_fertility,
-              op13_conversation_repair)}
-ORACLES: dict[str, str] = {"op13_conversation_repair": sql.REPAIR}
+              op12_conversation_trie, op13_conversation_repair)}
+ORACLES: dict[str, str] = {"op12_conversation_trie": sql.TRIE, "op13_conversation_repair": sql.REPAIR}

@@ -68,3 +68,27 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 0
 """
+TRIE = f"""
+WITH own AS (
+  SELECT conv_id, list({{'d': md5(length(coalesce(role, '')) || chr(58) || coalesce(role, '') || coalesce(text, '')), 'n': length(coalesce(text, ''))}}
+                       ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || chr(58) || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, {crc32("conv_id::VARCHAR")} % 6 AS h FROM own),
+rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h], h.turns[h + 1:]) AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, len(turns) AS whole, d, turns[1:d] AS key, CASE WHEN d > 0 THEN turns[1:d - 1] END AS up, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY key, d),
+children AS (SELECT up AS key, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+told AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+above AS (SELECT key, d, size, n, n_children, unnest(range(d + 1)) AS upto FROM told),
+sums AS (SELECT key[1:upto] AS key, sum((n - 1) * size) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM above GROUP BY 1)
+SELECT t.conv_id, t.d::BIGINT AS depth, u.conv_id AS parent_conv_id, t.n::BIGINT AS n_convs, t.n_children::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, t.ends_sha256
+FROM told t JOIN sums s USING (key) LEFT JOIN told u ON u.key = t.up
+"""
