@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.llm import bytebpe, decontaminate, fertility, idfile, langid, lm, near, sql, substring, suffix, toxicity, trie, turns
+from trackweave.llm import bytebpe, decontaminate, fertility, idfile, kernel, langid, lm, near, sql, substring, suffix, toxicity, trie, turns
 from trackweave.llm.rows import KEY, documents, materialize, prepare
 from trackweave.session import shared_dir
 
@@ -70,6 +70,12 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(measured, fertility.bands(measured)).drop("lang")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = materialize(kernel.measure(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    model = kernel.train(measured, documents(spark, sf_dir, "labels"), "quality", ~langid.held_out(5))
+    return kernel.score(measured, model).select("doc_id", langid.held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def rebuilt(conversations: DataFrame) -> DataFrame:
     """id and symbols (a digest and the code points of each turn) of every conversation: the first h turns of the first conversation of its hundred, then its own after h."""
     role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
@@ -113,5 +119,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir))
     for f in (op1_repeated_passages, op2_lm_scores, op3_toxicity, op4_substring_dedup, op5_byte_bpe, op6_decontamination, op7_token_files, op8_language_id, op9_near_duplicates, op10_fertility,
-              op12_conversation_trie, op13_conversation_repair)}
+              op11_quality, op12_conversation_trie, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op12_conversation_trie": sql.TRIE, "op13_conversation_repair": sql.REPAIR}
