@@ -87,7 +87,7 @@ def two_fattest(low: Column, high: Column) -> Column:
 def locate(batch: DataFrame, trie: DataFrame, longest: int) -> DataFrame:
     """Adds `met`, the extent of the lowest node that is a prefix of the sequence, found by fat binary search over the handles."""
     handles = trie.select(
-        F.col("handle.a").alias("_ha"), F.col("handle.b").alias("_hb"), F.col("fat").alias("_hf"), F.col("e").alias("_e"), F.col("key").alias("_ekey"))
+        F.col("handle.a").alias("_ha"), F.col("handle.b").alias("_hb"), F.col("fat").alias("_hf"), F.col("p").alias("_p"), F.col("e").alias("_e"), F.col("key").alias("_ekey"))
     at = batch.withColumns({"_low": F.lit(0), "_high": F.col("len")})
     for _ in range(longest.bit_length()):
         open_ = F.col("_low") < F.col("_high")
@@ -96,8 +96,9 @@ def locate(batch: DataFrame, trie: DataFrame, longest: int) -> DataFrame:
         at = at.join(handles, (F.col("_k.a") == F.col("_ha")) & (F.col("_k.b") == F.col("_hb")) & (F.col("_f") == F.col("_hf")), "left")
         hit = F.col("_e").isNotNull()
         whole = hit & (F.col("_e") <= F.col("len")) & F.coalesce(key_at(F.col("steps"), F.col("_e")) == F.col("_ekey"), F.lit(False))
-        low = F.when(whole, F.col("_e")).otherwise(F.col("_low"))
-        high = F.when(~open_ | whole, F.col("_high")).when(hit, F.col("_low")).otherwise(F.col("_f") - 1)
+        # a node whose handle is met but not its extent is the one at which the sequence leaves: the one above it is whole
+        low = F.when(whole, F.col("_e")).when(hit, F.col("_p")).otherwise(F.col("_low"))
+        high = F.when(~open_ | whole, F.col("_high")).when(hit, F.col("_p")).otherwise(F.col("_f") - 1)
         at = at.select(*batch.columns, low.alias("_low"), high.alias("_high"))
     return at.select(*batch.columns, F.col("_low").alias("met"))
 
@@ -135,7 +136,7 @@ def insert(trie: DataFrame | None, batch: DataFrame, longest: int) -> DataFrame:
         pieces = _edges(known.where("_cuts IS NOT NULL").select(F.col("p").alias("p0"), F.col("up").alias("up0"), "steps", F.array_union("_cuts", F.array("e")).alias("cuts")))
         stays = known.where("_cuts IS NULL").select(*trie.columns).unionByName(pieces)
         left = met.where("common < len").select("len", "steps", "common")
-    left = materialize(left.withColumn("_id", F.struct(F.col("common").alias("c"), F.element_at("steps", -1).alias("k"))))
+    left = materialize(left.withColumn("_id", F.struct(F.col("common").alias("c"), F.get("steps", F.size("steps") - 1).alias("k"))))
     depths = left.select(
         "_id", "len", "common", F.posexplode(F.expr("slice(steps, common + 1, len - common)")).alias("i", "step"), "steps").select(
         "_id", (F.col("common") + F.col("i") + 1).alias("d"), F.col("step.a").alias("a"), F.col("step.b").alias("b"),
@@ -157,7 +158,7 @@ def build(distinct: DataFrame, batches: tuple[float, ...] = BATCHES) -> tuple[Da
     if longest is None:
         return None, 0
     trie, done = None, 0.0
-    share = F.pmod(F.xxhash64(F.element_at("steps", -1)), F.lit(1 << 20)) / (1 << 20)
+    share = F.pmod(F.xxhash64(F.get("steps", F.size("steps") - 1)), F.lit(1 << 20)) / (1 << 20)
     for upto in batches:
         batch = some.where((share >= done) & (share < upto))
         if trie is not None or not batch.isEmpty():
@@ -230,7 +231,7 @@ def nodes(found: DataFrame, batches: tuple[float, ...] = BATCHES, ids_a_line: in
     counts = paths.select(*key("key"), "above").join(alike.where("len > 0").select("a", "b", "n", "least"), ["a", "b"]).select("n", "least", above).groupBy(*key("up")).agg(
         F.sum("n").alias("n_convs"), F.min("least").alias("conv_id"))
     children = trie.groupBy(*key("up")).agg(F.count("*").alias("n_children"))
-    first, size = F.get("steps", F.lit(0))["before"], F.element_at("steps", -1)["upto"]
+    first, size = F.get("steps", F.lit(0))["before"], F.get("steps", F.size("steps") - 1)["upto"]
     told = paths.select(*key("key"), "p", "e", "up", "steps", "above").join(counts, ["a", "b"]).join(children, ["a", "b"], "left")
     told = materialize(told.withColumns({"own": (F.col("n_convs") - 1) * (size - first), "n_children": F.coalesce("n_children", zero)}))
     below = told.select(F.col("n_children") == 0, "own", above).toDF("leaf", "own", "up").groupBy(*key("up")).agg(F.sum("own").alias("saved"), F.sum(F.col("leaf").cast("long")).alias("n_leaves"))
