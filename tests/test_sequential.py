@@ -39,7 +39,7 @@ def trace_of(spark, n=100, speed=0.25):
 def test_guard_accepts_motion_and_rejects_the_jump(spark):
     obs = spark.createDataFrame(moving(5, shift=50))
     for trace in (None, trace_of(spark)):
-        out = sq.guard_identity(obs, trace, max_jump=150.0, chunk=16).toPandas()
+        out = sq.guard_identity(obs, trace, max_jump=150.0, piece=16).toPandas()
         assert out[~out.accepted].frame_id.tolist() == [50]
         assert len(out) == 20
     fast = spark.createDataFrame(moving(5).assign(x1=lambda d: d.x1 + d.frame_id * 7 // 4, x2=lambda d: d.x2 + d.frame_id * 7 // 4))
@@ -52,7 +52,7 @@ def test_guard_with_trace_equals_one_pass(spark):
     obs = moving(1, n)
     obs[["x1", "x2"]] = obs[["x1", "x2"]].add(r.choice([0, 0, 90, 160, 400], n), axis=0)
     t = trace_of(spark, n).where("frame_id % 11 <> 0")
-    cut, whole = (sq.guard_identity(spark.createDataFrame(obs), t, max_jump=100.0, chunk=c).toPandas().sort_values("frame_id", ignore_index=True) for c in (8, 10_000))
+    cut, whole = (sq.guard_identity(spark.createDataFrame(obs), t, max_jump=100.0, piece=c).toPandas().sort_values("frame_id", ignore_index=True) for c in (8, 10_000))
     pd.testing.assert_frame_equal(cut, whole)
     last, expect = None, []
     for row in obs.itertuples():
@@ -88,7 +88,7 @@ def test_resolver_is_independent_of_the_cuts(spark, gate, size):
     if gate:  # for a while the trace is far from everybody, so a synthetic candidate competes
         trace = trace.withColumn("trace_y", F.when(F.col("frame_id").between(97, 111), 400.0).otherwise(F.col("trace_y")))
     frames = sq.candidate_frames(dets, trace, videos(spark, 240), params)
-    cut, whole = (sq.resolve_conflicts(frames, params, chunk=c).toPandas().sort_values("frame_id", ignore_index=True) for c in (60, 100_000))
+    cut, whole = (sq.resolve_conflicts(frames, params, chunk=c, piece=c).toPandas().sort_values("frame_id", ignore_index=True) for c in (20, 100_000))
     pd.testing.assert_frame_equal(cut, whole)
     assert len(whole) == pdf.frame_id.nunique()
     assert whole.frame_id.is_unique
@@ -239,8 +239,8 @@ def test_kalman_equals_the_matrix_form_and_ignores_cuts(spark, reinit):
     box = np.rint(np.column_stack([obs[:, 0] - obs[:, 2] / 2, obs[:, 1] - obs[:, 3] / 2, obs[:, 0] + obs[:, 2] / 2, obs[:, 1] + obs[:, 3] / 2])).astype(int)
     pdf = pd.DataFrame(box, columns=["x1", "y1", "x2", "y2"]).assign(video_id=0, frame_id=range(n), detected=det, flow_vx=flow[:, 0], flow_vy=flow[:, 1])
     df = spark.createDataFrame(pdf)
-    cut, whole = (sq.smooth_kalman(df, p, chunk=c, halo=h).toPandas().sort_values("frame_id", ignore_index=True) for c, h in ((200, 150), (10_000, 1)))
-    pd.testing.assert_frame_equal(cut, whole, rtol=1e-6)
+    cut, whole = (sq.smooth_kalman(df, p, piece=c).toPandas().sort_values("frame_id", ignore_index=True) for c in (40, 10_000))
+    pd.testing.assert_frame_equal(cut, whole)
 
 
 def test_point_filter_predicts_missing(spark):
@@ -258,7 +258,7 @@ def test_kalman_of_a_long_clipped_video_is_the_uncut_one(spark):
     det = np.arange(n) < 7000
     pdf = pd.DataFrame(box, columns=["x1", "y1", "x2", "y2"]).assign(video_id=0, frame_id=range(n), detected=det, flow_vx=0.0, flow_vy=0.0)
     lone = pdf.iloc[:1].assign(video_id=1, x2=pdf.x1[0] + 3)
-    got = sq.smooth_kalman(spark.createDataFrame(pd.concat([pdf, lone]))).toPandas().sort_values(["video_id", "frame_id"], ignore_index=True)
+    got = sq.smooth_kalman(spark.createDataFrame(pd.concat([pdf, lone])), piece=450).toPandas().sort_values(["video_id", "frame_id"], ignore_index=True)
     b = box.astype(float)
     obs = np.column_stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]])
     want = sq.kalman_rts(obs, det, np.zeros((n, 2)), np.zeros(n, int), sq.KalmanParams())

@@ -1,9 +1,9 @@
 """Order-dependent operators: conflict resolution, identity guard, flow traces, flow fill, smoothing.
 
-Each one is a small fold over the rows of a series in frame order.  What can be decided without the
-fold (quality, gates, distances to the trace) is computed as columns first.  A long video is cut
-where the fold's state provably restarts, so the pieces run in parallel and give the same result as
-one pass; where no such point exists the series streams through its task batch by batch.
+What can be decided without the past (quality, gates, distances to the trace) is computed as columns first.  Recurrences whose
+steps compose (traces along the flow, the point filter) are prefix compositions and stay in the JVM.  The others are small folds
+over pieces of a video that run side by side and hand their state on until it agrees (`series.handed_over`), with the
+result of one pass.
 """
 
 from __future__ import annotations
@@ -22,19 +22,10 @@ from trackweave.operators.evaluate import distance_summary
 from trackweave.operators.gapfill import BOX, around_gaps, gap_columns, linear_box, short_gap_or_flow
 from trackweave.operators.kinematics import merge_traces
 from trackweave.operators.series import (
-    CHUNK_FRAMES, FRAME, VIDEO, halo_chunks, halo_window, ordered_scan, running, with_position)
+    CHUNK_FRAMES, FRAME, PIECE_FRAMES, RUN_IN, VIDEO, halo_chunks, halo_window, handed_over, ordered_scan, prefix_composed, running, with_position)
 from trackweave.session import materialize
 
 
-def restart_blocks(rows: DataFrame, restarts: Column, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
-    """Tag `_block` so that every block after the first opens with a row where `restarts` holds.
-
-    At most one block starts per `chunk` frames, which keeps the number of blocks small.
-    """
-    mark = F.when(restarts, F.floor(F.col(FRAME) / chunk))
-    return running(rows, lasts={"_block": mark}, chunk=chunk).withColumn("_block", F.coalesce("_block", F.lit(-1).cast("long")))
-
-
 # ---------------------------------------------------------------- conflict resolution
 
 
@@ -117,10 +108,14 @@ def _resolver_fold(p: ResolverParams):
         return max(0.0, 1.0 - math.hypot(cx - tx, cy - ty) / p.radius)
 
     def fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        state.setdefault("moves", deque(maxlen=p.history))
-        state.setdefault("areas", deque(maxlen=AREA_HISTORY))
         out = []
         for row in rows.itertuples(index=False):
+            if state.get("pos") != row.pos - 1:  # the rows left out in between are sure, and so are the first ones here
+                state.clear()
+            state["pos"] = row.pos
+            if not isinstance(state.get("moves"), deque):
+                state["moves"] = deque(state.get("moves", ()), maxlen=p.history)
+                state["areas"] = deque(state.get("areas", ()), maxlen=AREA_HISTORY)
             box = list(zip(*[getattr(row, b) for b in BOX]))
             conf, tid, det, qual = list(row.confidence), list(row.track_id), list(row.det_no), list(row.quality)
             known = not math.isnan(row.trace_x)
@@ -198,26 +193,33 @@ RESOLVED = (
     "of_synthetic boolean, n_candidates long, conflict boolean, of_known boolean, margin double")
 
 
-def resolve_conflicts(frames: DataFrame, params: ResolverParams = ResolverParams(), *, chunk: int = CHUNK_FRAMES) -> DataFrame:
+def resolve_conflicts(frames: DataFrame, params: ResolverParams = ResolverParams(), *, chunk: int = CHUNK_FRAMES, piece: int = PIECE_FRAMES) -> DataFrame:
     """One observation per frame, chosen by quality, continuity, stickiness, flow and motion.
 
-    The state is the previous choice, the last velocities and (when sizes count) the last areas.  A
-    run of frames with a single sure candidate refills all of it, so videos are cut at such runs.
+    The state is the previous choice, the last velocities and (when sizes count) the last areas.  Frames with a single sure candidate
+    need no state, and a run of them refills all of it: they stay in the JVM, but for the run that leads up to a contested frame.
+    Contested stretches are folded in pieces that hand their state on.
     """
     single = (F.col("n_candidates") == 1)
     if params.gate:
         single = ((F.col("trace_x").isNull()) & single) | (F.col("trace_x").isNotNull() & (F.col("n_near") == 1))
     need = max(params.history + 1, AREA_HISTORY if params.w_size > 0 else 0)
-    placed = with_position(materialize(frames).withColumn("_single", single.cast("int")), "_pos", chunk=chunk)
-
-    def sure(w):
-        ahead = w.rowsBetween(0, need - 1)
-        return {"_sure": (F.min("_single").over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == need)}
-
-    marked = halo_window(placed, sure, pos="_pos", after=need - 1, chunk=max(chunk, need))
-    blocks = restart_blocks(materialize(marked), F.col("_sure"), chunk=chunk)
-    ready = blocks.select(*VIDEO, "_block", FRAME, "trace_x", "trace_y", "img_w", "img_h", *CANDIDATE_FIELDS)
-    out = ordered_scan(ready, _resolver_fold(params), RESOLVED, keys=(*VIDEO, "_block"))
+    placed = with_position(materialize(frames).withColumn("_single", single), "pos", chunk=chunk)
+
+    def contested(w):
+        return {"_asked": F.max((~F.col("_single")).cast("int")).over(w.rowsBetween(0, need)) == 1}
+
+    marked = materialize(halo_window(placed, contested, pos="pos", after=need, chunk=max(chunk, need)))
+    sure = marked.where("NOT _asked")
+    at = F.array_position("near", F.lit(1.0)).cast("int") - 1 if params.gate else F.lit(0)
+    at = F.when(F.col("trace_x").isNull(), 0).otherwise(at)
+    pick = {f: F.get(F.col(f), at) for f in CANDIDATE_FIELDS}
+    taken = sure.select(
+        *VIDEO, FRAME, *[pick[c].cast("long").alias(c) for c in BOX], pick["confidence"].alias("confidence"),
+        F.when(pick["track_id"] >= 0, pick["track_id"]).alias("track_id"), pick["det_no"].alias("det_no"), F.lit(False).alias("of_synthetic"),
+        F.lit(1).cast("long").alias("n_candidates"), F.lit(False).alias("conflict"), F.lit(False).alias("of_known"), F.lit(None).cast("double").alias("margin"))
+    ready = marked.where("_asked").select(*VIDEO, "pos", FRAME, "trace_x", "trace_y", "img_w", "img_h", *CANDIDATE_FIELDS)
+    out = handed_over(ready, _resolver_fold(params), RESOLVED, order="pos", piece=piece, run_in=min(piece, RUN_IN)).unionByName(taken)
     return out.withColumns({"track_id": F.col("track_id").cast("long"), "det_no": F.col("det_no").cast("long")})
 
 
@@ -231,24 +233,21 @@ def conflict_summary(resolved: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- identity guard
 
 
-def guard_identity(selected: DataFrame, trace: DataFrame | None, *, max_jump: float = 150.0, chunk: int = CHUNK_FRAMES) -> DataFrame:
+def guard_identity(selected: DataFrame, trace: DataFrame | None, *, max_jump: float = 150.0, piece: int = PIECE_FRAMES) -> DataFrame:
     """Flag observations that look like an identity switch (`accepted` false).
 
     Without a trace: rejected when farther than `max_jump` from the last accepted one.  With a trace:
     rejected when farther than that from the trace and than half of it from the last accepted one;
-    frames without a trace position are accepted unseen.  Observations close to the trace are accepted
-    whatever came before, so they are where a video is cut.
+    frames without a trace position are accepted unseen.  The state is the last accepted position.
     """
     s = with_box_geometry(selected).select(*VIDEO, FRAME, "cx", "cy")
-    limit = max_jump
-    if trace is not None:
+    use_trace = trace is not None
+    if use_trace:
         s = s.join(trace.select(*VIDEO, FRAME, "trace_x", "trace_y"), [*VIDEO, FRAME], "left")
-        s = s.withColumn("of_dist", distance("cx", "cy", "trace_x", "trace_y"))
-        s = restart_blocks(materialize(s), F.coalesce(F.col("of_dist") <= max_jump, F.lit(False)), chunk=chunk)
-        limit = max_jump * 0.5
+        s = s.withColumn("of_dist", distance("cx", "cy", "trace_x", "trace_y")).drop("trace_x", "trace_y")
     else:
-        s = s.withColumns({"of_dist": F.lit(None).cast("double"), "_block": F.lit(0).cast("long")})
-    use_trace = trace is not None
+        s = s.withColumn("of_dist", F.lit(None).cast("double"))
+    limit = max_jump * 0.5 if use_trace else max_jump
 
     def fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
         last = state.get("last")
@@ -258,9 +257,8 @@ def guard_identity(selected: DataFrame, trace: DataFrame | None, *, max_jump: fl
                 prev_dist.append(math.nan)
                 accepted.append(True)
                 continue
-            away = math.hypot(cx - last[0], cy - last[1]) if last else math.nan
-            far = last is None if use_trace else False
-            far = far or away > limit
+            away = math.sqrt((cx - last[0]) ** 2 + (cy - last[1]) ** 2) if last else math.nan
+            far = away > limit or (use_trace and last is None)
             ok = not (far and (not use_trace or of > max_jump))
             if ok:
                 last = (cx, cy)
@@ -270,15 +268,7 @@ def guard_identity(selected: DataFrame, trace: DataFrame | None, *, max_jump: fl
         return rows[[*VIDEO, FRAME, "cx", "cy", "of_dist"]].assign(prev_dist=prev_dist, accepted=accepted)
 
     schema = "video_id long, frame_id long, cx double, cy double, of_dist double, prev_dist double, accepted boolean"
-    out = ordered_scan(s.select(*VIDEO, "_block", FRAME, "cx", "cy", "of_dist"), fold, schema, keys=(*VIDEO, "_block"))
-    if not use_trace:
-        return out
-    # the first row of a later block was close to the trace; its distance to the last accepted row is
-    # reported from the neighbouring block
-    seen = running(materialize(out), lasts={"_acc": F.when(F.col("accepted") & F.col("of_dist").isNotNull(), F.struct(FRAME, "cx", "cy"))}, chunk=chunk)
-    back = running(seen, prevs={"_last": F.col("_acc")}, chunk=chunk)
-    dist = F.when(F.col("of_dist").isNotNull() & F.col("prev_dist").isNull(), distance("cx", "cy", F.col("_last.cx"), F.col("_last.cy")))
-    return back.withColumn("prev_dist", F.coalesce("prev_dist", dist)).drop("_acc", "_last")
+    return handed_over(s, fold, schema, piece=piece, run_in=min(piece, RUN_IN))
 
 
 def guard_report(guarded: DataFrame, *, max_jump: float, with_trace: bool) -> DataFrame:
@@ -322,22 +312,23 @@ def trace_seed(candidates: DataFrame, *, span: int = 50) -> DataFrame:
     return best.select(*VIDEO, (-F.col("b.f")).alias("seed_frame"), F.col("b.cx").alias("seed_x"), F.col("b.cy").alias("seed_y"))
 
 
-def _trace_fold(p: TraceParams, anchoring: bool):
+def _trace_fold(p: TraceParams):
     selected = p.mode == "selected"
 
     def fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
         tx, ty = [], []
         for r in rows.itertuples(index=False):
-            if "x" not in state:  # the seed row opens the series
-                state.update(x=r.seed_x, y=r.seed_y, drift=0.0, since=0)
-                tx.append(r.seed_x)
-                ty.append(r.seed_y)
+            if "x" not in state:  # the seed opens the series; elsewhere any candidate is a guess to begin with
+                guess = r.frame_id != r.seed_frame and r.cxs is not None and len(r.cxs)
+                state.update(x=float(r.cxs[0]) if guess else r.seed_x, y=float(r.cys[0]) if guess else r.seed_y, drift=0.0, since=0)
+                tx.append(state["x"])
+                ty.append(state["y"])
                 continue
             x = max(0.0, min(state["x"] + r.dx, r.img_w - 1))
             y = max(0.0, min(state["y"] + r.dy, r.img_h - 1))
             state["drift"] += math.hypot(r.dx, r.dy)
             state["since"] += 1
-            if anchoring and r.cxs is not None and len(r.cxs):
+            if r.cxs is not None and len(r.cxs):
                 due_drift = state["drift"] > p.max_drift
                 hit = None
                 if selected:
@@ -356,7 +347,7 @@ def _trace_fold(p: TraceParams, anchoring: bool):
                     if best < p.max_distance and (state["since"] >= p.interval or due_drift):
                         hit = near
                 if hit:
-                    x, y = hit
+                    x, y = map(float, hit)
                     state["drift"], state["since"] = 0.0, 0
             state["x"], state["y"] = x, y
             tx.append(x)
@@ -366,14 +357,43 @@ def _trace_fold(p: TraceParams, anchoring: bool):
     return fold
 
 
+def _clamped_shift(dx: Column, dy: Column, width: Column, height: Column) -> Column:
+    """Moving by (dx, dy) and staying inside the image: a shift, then bounds."""
+    zero = F.lit(0.0)
+    return F.struct(
+        dx.alias("dx"), dy.alias("dy"), zero.alias("x_lo"), (width - 1).cast("double").alias("x_hi"), zero.alias("y_lo"), (height - 1).cast("double").alias("y_hi"))
+
+
+def _after_another(f: Column, g: Column) -> Column:
+    """Clamped shifts are closed under composition: the shifts add up, and the first bounds move like points under the second."""
+    moved = lambda bound, axis: F.least(F.greatest(f[f"{axis}_{bound}"] + g[f"d{axis}"], g[f"{axis}_lo"]), g[f"{axis}_hi"])
+    return F.struct(
+        (f["dx"] + g["dx"]).alias("dx"), (f["dy"] + g["dy"]).alias("dy"),
+        *[moved(bound, axis).alias(f"{axis}_{bound}") for axis in "xy" for bound in ("lo", "hi")])
+
+
+def carried_trace(rows: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """Position carried from the seed along dx, dy for each (video, side), by composing clamped shifts in the JVM.
+
+    `rows` has side, step (frames from the seed), dx, dy, img_w, img_h, seed_x, seed_y; step 0 is the seed, a map onto itself.
+    """
+    seed = F.struct(
+        F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.col("seed_x").cast("double").alias("x_lo"), F.col("seed_x").cast("double").alias("x_hi"),
+        F.col("seed_y").cast("double").alias("y_lo"), F.col("seed_y").cast("double").alias("y_hi"))
+    shift = _clamped_shift(F.col("dx"), F.col("dy"), F.col("img_w"), F.col("img_h"))
+    done = prefix_composed(rows, "_map", F.when(F.col("step") == 0, seed).otherwise(shift), _after_another, keys=(*VIDEO, "side"), order="step", chunk=chunk)
+    return done.select(*VIDEO, FRAME, "side", "step", F.col("_map.x_lo").alias("trace_x"), F.col("_map.y_lo").alias("trace_y"))
+
+
 def flow_trace(
-    frames: DataFrame, flow: DataFrame, seed: DataFrame, observations: DataFrame | None = None, params: TraceParams = TraceParams(),
+    frames: DataFrame, flow: DataFrame, seed: DataFrame, observations: DataFrame | None = None, params: TraceParams = TraceParams(), *, piece: int = PIECE_FRAMES,
 ) -> DataFrame:
     """Position carried along the flow from the seed to both ends of the video.
 
     `frames` has every frame with img_w, img_h; `flow` has dx, dy from the previous frame and
     optionally back_dx, back_dy from the next one (the negated forward flow of the next frame
-    otherwise).  Going forward the trace is re-anchored to observations; going backward never.
+    otherwise).  Going forward the trace is re-anchored to observations, in pieces that hand their state on (after an anchor the past
+    no longer counts); going backward, and forward without observations, it is a composition of clamped shifts.
     """
     back = {"back_dx", "back_dy"} <= set(flow.columns)
     cols = [*VIDEO, FRAME, "dx", "dy", *(("back_dx", "back_dy") if back else ())]
@@ -382,23 +402,24 @@ def flow_trace(
         ahead = flow.select(*VIDEO, (F.col(FRAME) - 1).alias(FRAME), (-F.col("dx")).alias("back_dx"), (-F.col("dy")).alias("back_dy"))
         rows = rows.join(ahead, [*VIDEO, FRAME], "left")
     rows = rows.fillna(0.0, subset=["dx", "dy", "back_dx", "back_dy"]).join(seed, list(VIDEO))
-    empty = F.lit(None).cast("array<double>")
-    if observations is not None and params.reanchor:
-        o = with_box_geometry(observations)
-        order = ["order", "det_no"] if "order" in o.columns else ["det_no"]
-        per = o.groupBy(*VIDEO, FRAME).agg(F.sort_array(F.collect_list(F.struct(*order, "cx", "cy", "confidence"))).alias("_o"))
-        per = per.select(*VIDEO, FRAME, F.transform("_o", _picker("cx")).alias("cxs"), F.transform("_o", _picker("cy")).alias("cys"), F.transform("_o", _picker("confidence")).alias("confs"))
-        ahead_rows = rows.join(per, [*VIDEO, FRAME], "left")
-    else:
-        ahead_rows = rows.withColumns({"cxs": empty, "cys": empty, "confs": empty})
-    schema = "video_id long, frame_id long, trace_x double, trace_y double"
-    fields = [*VIDEO, FRAME, "dx", "dy", "img_w", "img_h", "seed_x", "seed_y", "cxs", "cys", "confs"]
-    forward = ordered_scan(ahead_rows.where(F.col(FRAME) >= F.col("seed_frame")).select(*fields), _trace_fold(params, params.reanchor), schema)
-    behind = rows.where(F.col(FRAME) <= F.col("seed_frame")).withColumns({"dx": F.col("back_dx"), "dy": F.col("back_dy"), "cxs": empty, "cys": empty, "confs": empty})
-    backward = ordered_scan(
-        behind.select(*fields, "seed_frame"), _trace_fold(params, False), schema, order=(F.col(FRAME).desc(),))
-    seeds = seed.select(*VIDEO, F.col("seed_frame").alias(FRAME))
-    return forward.unionByName(backward.join(seeds, [*VIDEO, FRAME], "left_anti"))
+    step = F.col(FRAME) - F.col("seed_frame")
+    behind = rows.where(step <= 0).select(
+        *VIDEO, FRAME, F.lit(-1).alias("side"), (-step).alias("step"), F.col("back_dx").alias("dx"), F.col("back_dy").alias("dy"), "img_w", "img_h", "seed_x", "seed_y")
+    anchored = observations is not None and params.reanchor
+    if not anchored:
+        before = rows.where(step > 0).select(*VIDEO, FRAME, F.lit(1).alias("side"), step.alias("step"), "dx", "dy", "img_w", "img_h", "seed_x", "seed_y")
+        opening = behind.where("step = 0").withColumn("side", F.lit(1))
+        both = carried_trace(before.unionByName(opening).unionByName(behind))
+        return both.where("side < 0 OR step > 0").select(*VIDEO, FRAME, "trace_x", "trace_y")
+    o = with_box_geometry(observations)
+    order = ["order", "det_no"] if "order" in o.columns else ["det_no"]
+    per = o.groupBy(*VIDEO, FRAME).agg(F.sort_array(F.collect_list(F.struct(*order, "cx", "cy", "confidence"))).alias("_o"))
+    per = per.select(*VIDEO, FRAME, F.transform("_o", _picker("cx")).alias("cxs"), F.transform("_o", _picker("cy")).alias("cys"), F.transform("_o", _picker("confidence")).alias("confs"))
+    fields = [*VIDEO, FRAME, "dx", "dy", "img_w", "img_h", "seed_frame", "seed_x", "seed_y", "cxs", "cys", "confs"]
+    forward = handed_over(
+        rows.where(step >= 0).join(per, [*VIDEO, FRAME], "left").select(*fields), _trace_fold(params), "video_id long, frame_id long, trace_x double, trace_y double",
+        piece=piece, run_in=min(piece, RUN_IN))
+    return forward.unionByName(carried_trace(behind).where("step > 0").select(*VIDEO, FRAME, "trace_x", "trace_y"))
 
 
 def last_single_seed(observations: DataFrame) -> DataFrame:
@@ -656,11 +677,11 @@ def kalman_rts(obs: np.ndarray, detected: np.ndarray, flow: np.ndarray, missing_
 STATE = [f"_k{i}" for i in range(15)]
 
 
-def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, chunk: int = 8192, halo: int = 512) -> DataFrame:
+def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, piece: int = PIECE_FRAMES) -> DataFrame:
     """Kalman and RTS smoothing of boxes, using flow velocities where given (flow_vx, flow_vy).
 
-    A video is one pass forwards and one backwards, both as a stream that carries its whole state, so its length makes no
-    difference to the result.  `chunk` and `halo` have no effect; they are taken for callers that still give them.
+    The filter clips accelerations, so its steps do not compose; forwards and backwards, pieces of a video run side by side and hand
+    their state on until it agrees to the last bit, so the result is that of one pass.
     """
     rows = track.select(
         *VIDEO, FRAME, *BOX, "detected", F.coalesce("flow_vx", F.lit(0.0)).alias("flow_vx"), F.coalesce("flow_vy", F.lit(0.0)).alias("flow_vy"))
@@ -683,7 +704,7 @@ def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, ch
         return pdf[["video_id", FRAME, *BOX]].reset_index(drop=True).assign(_first=first, _restarted=[k[4] for k in kept]).join(out)
 
     def backwards(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[::-1]
+        pdf = pdf.iloc[::-1]  # from the first frame to the last
         alone = "after" not in state and len(pdf) == 1 and bool(pdf["_first"].iloc[0])
         kept = [(k[0:3], k[3:6], k[6:8], tuple(k[8:15]), r) for k, r in zip(pdf[STATE].to_numpy(float).tolist(), pdf["_restarted"].tolist())]
         s, state["after"] = kalman_smooth(kept, params, state.get("after"))
@@ -700,7 +721,8 @@ def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, ch
     box = ", ".join(f"{c} double" for c in BOX)
     schema = f"video_id long, {FRAME} long, {box}, _first boolean, _restarted boolean, " + ", ".join(f"{c} double" for c in STATE)
     rows = rows.withColumns({c: F.col(c).cast("double") for c in BOX})
-    return ordered_scan(ordered_scan(rows, forwards, schema), backwards, KALMAN_OUT, order=(F.desc(FRAME),))
+    filtered = handed_over(rows, forwards, schema, piece=piece, run_in=min(piece, RUN_IN)).withColumn("_back", -F.col(FRAME))
+    return handed_over(filtered, backwards, KALMAN_OUT, order="_back", piece=piece, run_in=min(piece, RUN_IN))
 
 
 def smooth_points(points: DataFrame, *, process_noise: float = 1.0, measurement_noise: float = 5.0) -> DataFrame:

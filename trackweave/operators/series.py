@@ -5,16 +5,24 @@ chunk by an ordinary window, one summary row per chunk is carried across chunks
 window (a video of a billion frames has about thirty thousand summary rows), and an equi join
 brings the carry back.  Windows with a bounded reach use `halo_chunks` instead: the few rows near
 a chunk border are copied to the neighbour, which needs one shuffle and no join.
+
+Recurrences whose steps compose (`prefix_composed`) are scanned in the same two levels by doubling, in the JVM.  Those that do not
+are cut into pieces that start from a guess and hand their end state on until every piece has started from the true one
+(`handed_over`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.session import materialize
+
 CHUNK_FRAMES = 32_768
 VIDEO = ("video_id",)
 FRAME = "frame_id"
@@ -204,3 +212,92 @@ def ordered_scan(
     placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     ranked = placed.repartition("_bucket").sortWithinPartitions("_bucket", *keys, *order)
     return ranked.groupBy("_bucket").applyInPandas(run, schema)
+
+
+def prefix_composed(
+    df: DataFrame, name: str, step: Column, compose: Callable[[Column, Column], Column], *, keys: Sequence[str] = VIDEO, order: str = FRAME, chunk: int = 4096,
+) -> DataFrame:
+    """Add `name`: the steps of all rows of a series up to and including the row, composed in order.
+
+    `compose(earlier, later)` is associative and gives the struct that `step` is.  Inside a chunk (at most one row per unit of
+    `order`) the prefixes double in length with every window; chunk totals are composed in the same way and carried in.
+    """
+    keys = list(keys)
+    made = df.withColumns({"_chunk": chunk_of(order, chunk), name: step})
+
+    def doubled(rows: DataFrame, window: Window, longest: int) -> DataFrame:
+        for k in range(max(longest - 1, 0).bit_length()):
+            rows = rows.withColumn("_before", F.lag(name, 1 << k).over(window))
+            rows = rows.withColumn(name, F.when(F.col("_before").isNull(), F.col(name)).otherwise(compose(F.col("_before"), F.col(name)))).drop("_before")
+        return rows
+
+    local = materialize(doubled(made, Window.partitionBy(*keys, "_chunk").orderBy(order), chunk))
+    total = materialize(local.groupBy(*keys, "_chunk").agg(F.max_by(name, order).alias(name)))
+    most = total.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0  # one number
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = doubled(total, along, most).select(*keys, "_chunk", F.lag(name).over(along).alias("_carry"))
+    whole = F.when(F.col("_carry").isNull(), F.col(name)).otherwise(compose(F.col("_carry"), F.col(name)))
+    return local.join(carried, [*keys, "_chunk"]).withColumn(name, whole).drop("_chunk", "_carry")
+
+
+PIECE_FRAMES, RUN_IN = 4096, 256
+
+
+def _plain(value):
+    return value.item() if hasattr(value, "item") else list(value)
+
+
+def handed_over(
+    df: DataFrame, fold: Fold, schema: str, *, keys: Sequence[str] = VIDEO, order: str = FRAME, fresh: Column | None = None,
+    piece: int = PIECE_FRAMES, run_in: int = RUN_IN,
+) -> DataFrame:
+    """The result of `fold` over each whole series, one output row per row, from pieces that run side by side.
+
+    A piece covers `piece` units of `order`.  All pieces but the first of a series start from a guess: the state after `run_in` units before
+    it, folded from an empty state.  Each leaves the state it started from and the one it ended in.  A piece that did not start exactly
+    where the one before it ended runs again from there, until none is left: then, piece by piece, all have started from the true state.  A
+    fold that forgets its past needs one or two rounds; one that never does needs a round per piece and is still right.
+    Where `fresh` holds the fold ignores its state, so a piece that opens with such a row never runs again.
+    A state is a dict of numbers, None and lists of them; a fold gets tuples and queues back as lists.
+    """
+    keys = list(keys)
+    rows = halo_chunks(df.withColumn("_fresh", fresh if fresh is not None else F.lit(False)), order, before=run_in, chunk=piece).withColumnRenamed("_chunk", "_piece")
+    rows = materialize(rows)
+    out_schema = f"{schema}, _piece long, _start string, _end string"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        own = pdf["_own"].to_numpy()
+        if not own.any():
+            return pd.DataFrame()
+        given, at = pdf["_given"].iloc[0], int(pdf["_piece"].iloc[0])
+        rest = pdf.drop(columns=["_own", "_fresh", "_given", "_piece"])
+        state: dict = {}
+        if given is not None:
+            state = json.loads(given)
+        elif not own.all():
+            fold(state, rest[~own])
+        start = "" if pdf.loc[own, "_fresh"].iloc[0] else json.dumps(state, sort_keys=True, default=_plain)
+        out = fold(json_state := json.loads(start or "{}"), rest[own].reset_index(drop=True))
+        end = json.dumps(json_state, sort_keys=True, default=_plain)
+        marks = [None] * (len(out) - 1)
+        return out.assign(_piece=at, _start=[start, *marks], _end=[end, *marks])
+
+    def done(part: DataFrame) -> DataFrame:
+        return materialize(part.groupBy(*keys, "_piece").applyInPandas(run, out_schema))
+
+    results = [done(rows.withColumn("_given", F.lit(None).cast("string")))]
+    states = results[0].where("_end IS NOT NULL").select(*keys, "_piece", "_start", "_end", F.lit(0).alias("_round"))
+    opening = Window.partitionBy(*keys).orderBy("_piece")
+    while True:
+        linked = states.withColumn("_given", F.lag("_end").over(opening))
+        again = materialize(linked.where((F.col("_start") != "") & (F.col("_given") != F.col("_start"))).select(*keys, "_piece", "_given"))
+        if again.isEmpty():
+            break
+        results.append(done(rows.where("_own").join(again, [*keys, "_piece"])))
+        newer = results[-1].where("_end IS NOT NULL").select(*keys, "_piece", "_start", "_end", F.lit(len(results) - 1).alias("_round"))
+        states = materialize(states.join(again, [*keys, "_piece"], "left_anti").unionByName(newer))
+    if len(results) == 1:
+        return results[0].drop("_piece", "_start", "_end")
+    kept = [r.join(states.where(F.col("_round") == i).select(*keys, "_piece"), [*keys, "_piece"], "left_semi") for i, r in enumerate(results)]
+    return reduce(DataFrame.unionByName, kept).drop("_piece", "_start", "_end")

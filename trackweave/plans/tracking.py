@@ -91,7 +91,7 @@ def guard(observations: DataFrame, videos: DataFrame, flow: DataFrame | None, pa
         first = o.groupBy(*VIDEO).agg(F.min(F.struct(FRAME, "cx", "cy")).alias("b"))
         seed = first.select(*VIDEO, F.col(f"b.{FRAME}").alias("seed_frame"), F.col("b.cx").alias("seed_x"), F.col("b.cy").alias("seed_y"))
         trace = sq.flow_trace(frame_spine(videos, chunk=chunk), flow, seed, observations.withColumn("det_no", F.coalesce("det_no", F.lit(0).cast("long"))), params.guard_trace)
-    checked = sq.guard_identity(observations, trace, max_jump=params.guard_max_jump, chunk=chunk)
+    checked = sq.guard_identity(observations, trace, max_jump=params.guard_max_jump)
     return observations.join(checked.where(~F.col("accepted")).select(*VIDEO, FRAME), [*VIDEO, FRAME], "left_anti")
 
 

@@ -49,7 +49,7 @@ g AS (SELECT video_id, frame_id, rn, cx AS ax, cy AS ay, NULL::DOUBLE AS prev_di
     sqrt((o.cx - ax)^2 + (o.cy - ay)^2), sqrt((o.cx - ax)^2 + (o.cy - ay)^2) <= 100 FROM g JOIN o ON g.video_id = o.video_id AND o.rn = g.rn + 1)
 SELECT video_id, frame_id, round(prev_dist, 6) + 0.0 AS prev_dist, accepted FROM g""")
 def _(track):
-    return rounded(sq.guard_identity(track.drop("cx", "cy"), None, max_jump=100.0, chunk=CHUNK), "prev_dist").select("video_id", "frame_id", "prev_dist", "accepted")
+    return rounded(sq.guard_identity(track.drop("cx", "cy"), None, max_jump=100.0, piece=CHUNK), "prev_dist").select("video_id", "frame_id", "prev_dist", "accepted")
 
 
 GUARD_SQL = """o AS (SELECT t.*, sqrt((cx - trace_x)^2 + (cy - trace_y)^2) AS of_dist, row_number() OVER (PARTITION BY t.video_id ORDER BY t.frame_id) AS rn FROM track t JOIN trace r ON t.video_id = r.video_id AND t.frame_id = r.frame_id),
@@ -61,7 +61,7 @@ g AS (SELECT video_id, frame_id, rn, CASE WHEN of_dist <= 60 THEN cx END AS ax,
 @query("q3_identity_guard_with_trace", "track", "trace", sql=f"""
 WITH RECURSIVE {GUARD_SQL} SELECT video_id, frame_id, round(of_dist, 6) + 0.0 AS of_dist, round(prev_dist, 6) + 0.0 AS prev_dist, accepted FROM g""")
 def _(track, trace):
-    out = sq.guard_identity(track.drop("cx", "cy"), trace, max_jump=60.0, chunk=CHUNK)
+    out = sq.guard_identity(track.drop("cx", "cy"), trace, max_jump=60.0, piece=CHUNK)
     return rounded(out, "of_dist", "prev_dist").select("video_id", "frame_id", "of_dist", "prev_dist", "accepted")
 
 
@@ -72,7 +72,7 @@ c AS (SELECT video_id, count(*) FILTER (NOT accepted) AS rejections, count(*) FI
 SELECT l.video_id, kind, count(d) AS count, round(avg(d), 6) + 0.0 AS mean, round(quantile_cont(d, 0.5), 6) + 0.0 AS p50, round(quantile_cont(d, 0.9), 6) + 0.0 AS p90, round(quantile_cont(d, 0.95), 6) + 0.0 AS p95,
   round(max(d), 6) + 0.0 AS max, any_value(rejections) AS rejections, any_value(over_max) AS over_max, any_value(over_prev) AS over_prev FROM l JOIN c ON l.video_id = c.video_id GROUP BY l.video_id, kind""")
 def _(track, trace):
-    guarded = sq.guard_identity(track.drop("cx", "cy"), trace, max_jump=60.0, chunk=CHUNK)
+    guarded = sq.guard_identity(track.drop("cx", "cy"), trace, max_jump=60.0, piece=CHUNK)
     return rounded(sq.guard_report(guarded, max_jump=60.0, with_trace=True), "mean", "p50", "p90", "p95", "max")
 
 
