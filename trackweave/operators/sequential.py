@@ -364,15 +364,14 @@ def _clamped_shift(dx: Column, dy: Column, width: Column, height: Column) -> Col
         dx.alias("dx"), dy.alias("dy"), zero.alias("x_lo"), (width - 1).cast("double").alias("x_hi"), zero.alias("y_lo"), (height - 1).cast("double").alias("y_hi"))
 
 
-def _after_another(f: Column, g: Column) -> Column:
+def _after_another(rows: DataFrame, f: Column, g: Column) -> tuple[DataFrame, Column]:
     """Clamped shifts are closed under composition: the shifts add up, and the first bounds move like points under the second."""
     moved = lambda bound, axis: F.least(F.greatest(f[f"{axis}_{bound}"] + g[f"d{axis}"], g[f"{axis}_lo"]), g[f"{axis}_hi"])
-    return F.struct(
-        (f["dx"] + g["dx"]).alias("dx"), (f["dy"] + g["dy"]).alias("dy"),
-        *[moved(bound, axis).alias(f"{axis}_{bound}") for axis in "xy" for bound in ("lo", "hi")])
+    both = {"dx": f["dx"] + g["dx"], "dy": f["dy"] + g["dy"], **{f"{axis}_{bound}": moved(bound, axis) for axis in "xy" for bound in ("lo", "hi")}}
+    return rows, F.struct(*[v.alias(k) for k, v in both.items()])
 
 
-def carried_trace(rows: DataFrame, *, chunk: int = 4096) -> DataFrame:
+def carried_trace(rows: DataFrame, *, chunk: int = 1024) -> DataFrame:
     """Position carried from the seed along dx, dy for each (video, side), by composing clamped shifts in the JVM.
 
     `rows` has side, step (frames from the seed), dx, dy, img_w, img_h, seed_x, seed_y; step 0 is the seed, a map onto itself.
@@ -725,29 +724,70 @@ def smooth_kalman(track: DataFrame, params: KalmanParams = KalmanParams(), *, pi
     return handed_over(filtered, backwards, KALMAN_OUT, order="_back", piece=piece, run_in=min(piece, RUN_IN))
 
 
-def smooth_points(points: DataFrame, *, process_noise: float = 1.0, measurement_noise: float = 5.0) -> DataFrame:
+MAP = ("a11", "a12", "a21", "a22", "c11", "c12", "c22", "j11", "j12", "j22", "bx1", "bx2", "by1", "by2", "ex1", "ex2", "ey1", "ey2")
+
+
+def _map(**values) -> Column:
+    """A filtering element: the state after it is A state + b with covariance C; J and e say what its measurements tell of the state before."""
+    return F.struct(*[(values[k] if k in values else F.lit(0.0)).cast("double").alias(k) for k in MAP])
+
+
+def _filtered_after(rows: DataFrame, f: Column, g: Column) -> tuple[DataFrame, Column]:
+    """Filtering elements compose associatively: with M = 1 + C J, A is A M^-1 A, b is A M^-1 (b + C e) + b, C is A M^-1 C A' + C."""
+    rows = rows.withColumns({
+        "_m11": F.lit(1.0) + f["c11"] * g["j11"] + f["c12"] * g["j12"], "_m12": f["c11"] * g["j12"] + f["c12"] * g["j22"],
+        "_m21": f["c12"] * g["j11"] + f["c22"] * g["j12"], "_m22": F.lit(1.0) + f["c12"] * g["j12"] + f["c22"] * g["j22"]})
+    m = {i: F.col(f"_m{i}") for i in ("11", "12", "21", "22")}
+    rows = rows.withColumn("_det", m["11"] * m["22"] - m["12"] * m["21"])
+    det = F.col("_det")
+    rows = rows.withColumns({"_v11": m["22"] / det, "_v12": -m["12"] / det, "_v21": -m["21"] / det, "_v22": m["11"] / det})
+    v = {i: F.col(f"_v{i}") for i in ("11", "12", "21", "22")}
+    rows = rows.withColumns({
+        # T = A M^-1 of the later, U = M^-1 A of the earlier element
+        **{f"_t{i}{j}": g[f"a{i}1"] * v[f"1{j}"] + g[f"a{i}2"] * v[f"2{j}"] for i in "12" for j in "12"},
+        **{f"_u{i}{j}": v[f"{i}1"] * f[f"a1{j}"] + v[f"{i}2"] * f[f"a2{j}"] for i in "12" for j in "12"},
+        **{f"_s{axis}1": f[f"b{axis}1"] + f["c11"] * g[f"e{axis}1"] + f["c12"] * g[f"e{axis}2"] for axis in "xy"},
+        **{f"_s{axis}2": f[f"b{axis}2"] + f["c12"] * g[f"e{axis}1"] + f["c22"] * g[f"e{axis}2"] for axis in "xy"},
+        **{f"_r{axis}1": g[f"e{axis}1"] - g["j11"] * f[f"b{axis}1"] - g["j12"] * f[f"b{axis}2"] for axis in "xy"},
+        **{f"_r{axis}2": g[f"e{axis}2"] - g["j12"] * f[f"b{axis}1"] - g["j22"] * f[f"b{axis}2"] for axis in "xy"}})
+    t, u = ({f"{i}{j}": F.col(f"_{name}{i}{j}") for i in "12" for j in "12"} for name in "tu")
+    rows = rows.withColumns({
+        **{f"_k{i}1": t[f"{i}1"] * f["c11"] + t[f"{i}2"] * f["c12"] for i in "12"}, **{f"_k{i}2": t[f"{i}1"] * f["c12"] + t[f"{i}2"] * f["c22"] for i in "12"},
+        **{f"_w{i}1": u[f"1{i}"] * g["j11"] + u[f"2{i}"] * g["j12"] for i in "12"}, **{f"_w{i}2": u[f"1{i}"] * g["j12"] + u[f"2{i}"] * g["j22"] for i in "12"}})
+    k, w = ({f"{i}{j}": F.col(f"_{name}{i}{j}") for i in "12" for j in "12"} for name in "kw")
+    both = {f"a{i}{j}": t[f"{i}1"] * f[f"a1{j}"] + t[f"{i}2"] * f[f"a2{j}"] for i in "12" for j in "12"}
+    both |= {f"c{i}{j}": k[f"{i}1"] * g[f"a{j}1"] + k[f"{i}2"] * g[f"a{j}2"] + g[f"c{i}{j}"] for i, j in ("11", "12", "22")}
+    both |= {f"j{i}{j}": w[f"{i}1"] * f[f"a1{j}"] + w[f"{i}2"] * f[f"a2{j}"] + f[f"j{i}{j}"] for i, j in ("11", "12", "22")}
+    for axis in "xy":
+        both |= {f"b{axis}{i}": t[f"{i}1"] * F.col(f"_s{axis}1") + t[f"{i}2"] * F.col(f"_s{axis}2") + g[f"b{axis}{i}"] for i in "12"}
+        both |= {f"e{axis}{i}": u[f"1{i}"] * F.col(f"_r{axis}1") + u[f"2{i}"] * F.col(f"_r{axis}2") + f[f"e{axis}{i}"] for i in "12"}
+    return rows, _map(**both)
+
+
+def smooth_points(points: DataFrame, *, process_noise: float = 1.0, measurement_noise: float = 5.0, chunk: int = 256) -> DataFrame:
     """Constant-velocity Kalman filter over map positions; missing points (null) are predicted.
 
-    Starts at the first present point of the video, also for missing rows before it.
+    Starts at the first present point of the video, also for missing rows before it.  The filter is linear, so the elements of all
+    rows compose (Sarkka and Garcia-Fernandez, Temporal Parallelization of Bayesian Smoothers, 2021): a prefix composition in the JVM.
+    Both axes share gains and covariances.  Rows are numbered first, for rows missing altogether are no steps.
     """
     first = points.where(F.col("venue_x").isNotNull()).groupBy(*VIDEO).agg(F.min(F.struct(FRAME, "venue_x", "venue_y")).alias("_f"))
-    rows = points.join(first, list(VIDEO)).select(*VIDEO, FRAME, "venue_x", "venue_y", F.col("_f.venue_x").alias("_x0"), F.col("_f.venue_y").alias("_y0"))
-
-    def fold(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        trans = np.eye(4)
-        trans[0, 2] = trans[1, 3] = 1.0
-        out = []
-        for x, y, x0, y0 in pdf[["venue_x", "venue_y", "_x0", "_y0"]].to_numpy(float):
-            s = state.get("s", np.array([x0, y0, 0.0, 0.0]))
-            cov = state.get("cov", np.eye(4) * 100.0)
-            s, cov = trans @ s, trans @ cov @ trans.T + np.eye(4) * process_noise
-            if not math.isnan(x):
-                gain = np.linalg.solve(cov[:2, :2] + np.eye(2) * measurement_noise, cov[:2]).T
-                s = s + gain @ (np.array([x, y]) - s[:2])
-                cov = cov - gain @ cov[:2]
-            state["s"], state["cov"] = s, cov
-            out.append(s[:2])
-        out = np.array(out)
-        return pd.DataFrame({"video_id": pdf["video_id"].to_numpy(), "frame_id": pdf[FRAME].to_numpy(), "venue_x": out[:, 0], "venue_y": out[:, 1]})
-
-    return ordered_scan(rows, fold, "video_id long, frame_id long, venue_x double, venue_y double")
+    rows = with_position(points, "_pos").join(first, list(VIDEO)).select(*VIDEO, FRAME, "_pos", "venue_x", "venue_y", F.col("_f.venue_x").alias("_x0"), F.col("_f.venue_y").alias("_y0"))
+    q, r, start = process_noise, measurement_noise, 100.0
+    seen = F.col("venue_x").isNotNull()
+    x, y, zero, one = F.col("venue_x"), F.col("venue_y"), F.lit(0.0), F.lit(1.0)
+    s = q + r
+    keeps, told = F.when(seen, r / s).otherwise(1.0), F.when(seen, 1.0 / s).otherwise(0.0)
+    measured = lambda c, scale: F.when(seen, c * scale).otherwise(zero)
+    step = _map(
+        a11=keeps, a12=keeps, a22=one, c11=keeps * q, c22=F.lit(q), j11=told, j12=told, j22=told,
+        bx1=measured(x, q / s), by1=measured(y, q / s), ex1=measured(x, 1 / s), ex2=measured(x, 1 / s), ey1=measured(y, 1 / s), ey2=measured(y, 1 / s))
+    # the first row: one prediction from (x0, 0) with covariance 100, then its own measurement
+    p11, p12, p22 = 2 * start + q, start, start + q
+    g1, g2 = p11 / (p11 + r), p12 / (p11 + r)
+    moved = lambda c, c0, gain: F.when(seen, (c - F.col(c0)) * gain).otherwise(zero)
+    opening = _map(
+        c11=F.when(seen, p11 - g1 * p11).otherwise(p11), c12=F.when(seen, p12 - g1 * p12).otherwise(p12), c22=F.when(seen, p22 - g2 * p12).otherwise(p22),
+        bx1=F.col("_x0") + moved(x, "_x0", g1), bx2=moved(x, "_x0", g2), by1=F.col("_y0") + moved(y, "_y0", g1), by2=moved(y, "_y0", g2))
+    done = prefix_composed(rows, "_map", F.when(F.col("_pos") == 0, opening).otherwise(step), _filtered_after, order="_pos", chunk=chunk)
+    return done.select(*VIDEO, FRAME, F.col("_map.bx1").alias("venue_x"), F.col("_map.by1").alias("venue_y"))

@@ -214,21 +214,27 @@ def ordered_scan(
     return ranked.groupBy("_bucket").applyInPandas(run, schema)
 
 
-def prefix_composed(
-    df: DataFrame, name: str, step: Column, compose: Callable[[Column, Column], Column], *, keys: Sequence[str] = VIDEO, order: str = FRAME, chunk: int = 4096,
-) -> DataFrame:
+Compose = Callable[[DataFrame, Column, Column], tuple[DataFrame, Column]]
+
+
+def prefix_composed(df: DataFrame, name: str, step: Column, compose: Compose, *, keys: Sequence[str] = VIDEO, order: str = FRAME, chunk: int = 1024) -> DataFrame:
     """Add `name`: the steps of all rows of a series up to and including the row, composed in order.
 
-    `compose(earlier, later)` is associative and gives the struct that `step` is.  Inside a chunk (at most one row per unit of
-    `order`) the prefixes double in length with every window; chunk totals are composed in the same way and carried in.
+    `compose(rows, earlier, later)` is associative; it gives the struct that `step` is, and `rows` with the columns it needs on the way
+    (where `earlier` is null they may be anything).  Inside a chunk (at most one row per unit of `order`) the prefixes double in
+    length with every window; chunk totals are composed in the same way and carried in.
     """
     keys = list(keys)
     made = df.withColumns({"_chunk": chunk_of(order, chunk), name: step})
 
+    def joined(rows: DataFrame, earlier: str, columns: list[str]) -> DataFrame:
+        wide, both = compose(rows, F.col(earlier), F.col(name))
+        return wide.select(*columns, F.when(F.col(earlier).isNull(), F.col(name)).otherwise(both).alias(name))
+
     def doubled(rows: DataFrame, window: Window, longest: int) -> DataFrame:
+        others = [c for c in rows.columns if c != name]
         for k in range(max(longest - 1, 0).bit_length()):
-            rows = rows.withColumn("_before", F.lag(name, 1 << k).over(window))
-            rows = rows.withColumn(name, F.when(F.col("_before").isNull(), F.col(name)).otherwise(compose(F.col("_before"), F.col(name)))).drop("_before")
+            rows = joined(rows.withColumn("_before", F.lag(name, 1 << k).over(window)), "_before", others)
         return rows
 
     local = materialize(doubled(made, Window.partitionBy(*keys, "_chunk").orderBy(order), chunk))
@@ -236,8 +242,7 @@ def prefix_composed(
     most = total.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0  # one number
     along = Window.partitionBy(*keys).orderBy("_chunk")
     carried = doubled(total, along, most).select(*keys, "_chunk", F.lag(name).over(along).alias("_carry"))
-    whole = F.when(F.col("_carry").isNull(), F.col(name)).otherwise(compose(F.col("_carry"), F.col(name)))
-    return local.join(carried, [*keys, "_chunk"]).withColumn(name, whole).drop("_chunk", "_carry")
+    return joined(local.join(carried, [*keys, "_chunk"]), "_carry", [c for c in df.columns if c != name])
 
 
 PIECE_FRAMES, RUN_IN = 4096, 256

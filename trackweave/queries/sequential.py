@@ -106,17 +106,50 @@ def _(detections, videos, flow):
     return sq.conflict_summary(resolved(detections, videos, flow))
 
 
-@query("q4_reanchored_flow_trace", "detections", "videos", "frames", "camera_flow")
+SEED_SQL = """seed_first AS (SELECT video_id, min(frame_id) AS f FROM detections GROUP BY video_id),
+seed_stop AS (SELECT d.video_id, min(frame_id) AS stop FROM detections d JOIN seed_first f ON d.video_id = f.video_id WHERE frame_id > f.f + 50 GROUP BY d.video_id),
+seed AS (SELECT video_id, frame_id AS seed_frame, (x1 + x2) / 2.0::DOUBLE AS seed_x, (y1 + y2) / 2.0::DOUBLE AS seed_y FROM (
+  SELECT d.*, row_number() OVER (PARTITION BY d.video_id ORDER BY confidence DESC, frame_id, det_no) AS rn FROM detections d LEFT JOIN seed_stop s ON d.video_id = s.video_id WHERE s.stop IS NULL OR d.frame_id <= s.stop) WHERE rn = 1)"""
+STEPS_SQL = """steps AS (SELECT f.video_id, f.frame_id, img_w, img_h, coalesce(a.dx, 0) AS dx, coalesce(a.dy, 0) AS dy, coalesce(-b.dx, 0) AS back_dx, coalesce(-b.dy, 0) AS back_dy
+  FROM frames f JOIN videos v ON f.video_id = v.video_id LEFT JOIN camera_flow a ON f.video_id = a.video_id AND f.frame_id = a.frame_id LEFT JOIN camera_flow b ON f.video_id = b.video_id AND f.frame_id + 1 = b.frame_id)"""
+
+
+def _carried_sql(name: str, seed: str, way: str) -> str:
+    """The trace from a seed along the flow, forwards (+) or backwards (-), a frame at a time."""
+    dx, dy = ("dx", "dy") if way == "+" else ("back_dx", "back_dy")
+    return f"""{name} AS (SELECT video_id, seed_frame AS frame_id, seed_x::DOUBLE AS x, seed_y::DOUBLE AS y FROM {seed}
+  UNION ALL SELECT s.video_id, s.frame_id, greatest(0, least(p.x + {dx}, img_w - 1)), greatest(0, least(p.y + {dy}, img_h - 1)) FROM {name} p JOIN steps s ON s.video_id = p.video_id AND s.frame_id = p.frame_id {way} 1)"""
+
+
+@query("q4_reanchored_flow_trace", "detections", "videos", "frames", "camera_flow", sql=f"""
+WITH RECURSIVE {SEED_SQL}, {STEPS_SQL},
+people AS (SELECT video_id, frame_id, list({{'cx': (x1 + x2) / 2.0::DOUBLE, 'cy': (y1 + y2) / 2.0::DOUBLE}} ORDER BY det_no) AS cs FROM detections GROUP BY video_id, frame_id),
+ahead AS (SELECT video_id, seed_frame AS frame_id, seed_x::DOUBLE AS x, seed_y::DOUBLE AS y, 0.0::DOUBLE AS drift, 0 AS since FROM seed
+  UNION ALL SELECT video_id, frame_id, CASE WHEN hit THEN n.cx ELSE x END, CASE WHEN hit THEN n.cy ELSE y END, CASE WHEN hit THEN 0 ELSE drift END, CASE WHEN hit THEN 0 ELSE since END FROM (
+    SELECT *, coalesce(n.d < 150 AND (since >= 5 OR drift > 150), false) AS hit FROM (
+      SELECT *, list_sort(list_transform(cs, lambda c, i: {{'d': sqrt((c.cx - x)^2 + (c.cy - y)^2), 'i': i, 'cx': c.cx, 'cy': c.cy}}))[1] AS n FROM (
+        SELECT s.video_id, s.frame_id, cs, greatest(0, least(p.x + dx, img_w - 1)) AS x, greatest(0, least(p.y + dy, img_h - 1)) AS y, p.drift + sqrt(dx^2 + dy^2) AS drift, p.since + 1 AS since
+        FROM ahead p JOIN steps s ON s.video_id = p.video_id AND s.frame_id = p.frame_id + 1 LEFT JOIN people c ON c.video_id = s.video_id AND c.frame_id = s.frame_id) m) k) h),
+{_carried_sql("behind", "seed", "-")}
+SELECT video_id, frame_id, round(x, 6) + 0.0 AS trace_x, round(y, 6) + 0.0 AS trace_y FROM ahead
+UNION ALL SELECT b.video_id, b.frame_id, round(x, 6) + 0.0, round(y, 6) + 0.0 FROM behind b JOIN seed s ON b.video_id = s.video_id AND b.frame_id < s.seed_frame""")
 def _(detections, videos, frames, flow):
     spine = frames.join(videos, "video_id")
-    return sq.flow_trace(spine, flow, sq.trace_seed(detections), detections)
-
-
-@query("q10_bidirectional_trace", "detections", "videos", "frames", "camera_flow")
-def _(detections, videos, frames, flow):
+    return rounded(sq.flow_trace(spine, flow, sq.trace_seed(detections), detections, piece=CHUNK), "trace_x", "trace_y")
+
+
+@query("q10_bidirectional_trace", "detections", "videos", "frames", "camera_flow", "trace", sql=f"""
+WITH RECURSIVE {STEPS_SQL},
+lone AS (SELECT video_id, frame_id, any_value((x1 + x2) / 2.0::DOUBLE) AS x, any_value((y1 + y2) / 2.0::DOUBLE) AS y FROM detections GROUP BY video_id, frame_id HAVING count(*) = 1),
+last_lone AS (SELECT video_id, max(frame_id) AS seed_frame, max_by(x, frame_id) AS seed_x, max_by(y, frame_id) AS seed_y FROM lone GROUP BY video_id),
+{_carried_sql("ahead", "last_lone", "+")},
+{_carried_sql("behind", "last_lone", "-")},
+pure AS (SELECT * FROM ahead UNION ALL SELECT b.* FROM behind b JOIN last_lone s ON b.video_id = s.video_id AND b.frame_id < s.seed_frame)
+SELECT t.video_id, t.frame_id, round(CASE WHEN p.x IS NULL THEN trace_x ELSE (trace_x + p.x) / 2 END, 6) + 0.0 AS trace_x, round(CASE WHEN p.y IS NULL THEN trace_y ELSE (trace_y + p.y) / 2 END, 6) + 0.0 AS trace_y
+FROM trace t LEFT JOIN pure p ON t.video_id = p.video_id AND t.frame_id = p.frame_id""")
+def _(detections, videos, frames, flow, trace):
     spine = frames.join(videos, "video_id")
-    trace = sq.flow_trace(spine, flow, sq.trace_seed(detections), detections)
-    return sq.bidirectional_trace(spine, flow, trace, detections)
+    return rounded(sq.bidirectional_trace(spine, flow, trace, detections), "trace_x", "trace_y")
 
 
 @query("q5_flow_gap_fill", "track", "videos", "camera_flow")
@@ -131,10 +164,17 @@ def _(track, videos, flow):
     return sq.smooth_kalman(filled)
 
 
-@query("q9_map_point_smoothing", "venue_matches", "frames")
+@query("q9_map_point_smoothing", "venue_matches", "frames", sql="""
+WITH RECURSIVE points AS (SELECT f.video_id, f.frame_id, athlete_vx AS zx, athlete_vy AS zy FROM frames f LEFT JOIN venue_matches m ON f.video_id = m.video_id AND f.frame_id = m.frame_id),
+seed AS (SELECT video_id, min_by(zx, frame_id) AS x, min_by(zy, frame_id) AS y FROM points WHERE zx IS NOT NULL GROUP BY video_id),
+f AS (SELECT video_id, -1::BIGINT AS frame_id, x::DOUBLE AS x, 0.0::DOUBLE AS u, y::DOUBLE AS y, 0.0::DOUBLE AS v, 100.0::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c FROM seed
+  UNION ALL SELECT video_id, frame_id, x + k * (coalesce(zx, x) - x), u + l * (coalesce(zx, x) - x), y + k * (coalesce(zy, y) - y), v + l * (coalesce(zy, y) - y), a - k * a, b - k * b, c - l * b FROM (
+    SELECT *, CASE WHEN zx IS NULL THEN 0 ELSE a / (a + 5) END AS k, CASE WHEN zx IS NULL THEN 0 ELSE b / (a + 5) END AS l FROM (
+      SELECT p.video_id, p.frame_id, zx, zy, x + u AS x, u, y + v AS y, v, a + 2 * b + c + 1 AS a, b + c AS b, c + 1 AS c FROM f JOIN points p ON p.video_id = f.video_id AND p.frame_id = f.frame_id + 1) s) t)
+SELECT video_id, frame_id, round(x, 6) + 0.0 AS venue_x, round(y, 6) + 0.0 AS venue_y FROM f WHERE frame_id >= 0""")
 def _(matches, frames):
     points = frames.join(matches.select("video_id", "frame_id", F.col("athlete_vx").alias("venue_x"), F.col("athlete_vy").alias("venue_y")), ["video_id", "frame_id"], "left")
-    return sq.smooth_points(points)
+    return rounded(sq.smooth_points(points, chunk=CHUNK), "venue_x", "venue_y")
 
 
 @query("s18_passthrough_track", "detections", "videos", sql="""
