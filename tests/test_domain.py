@@ -60,7 +60,7 @@ def test_votes_match_all_pairs(spark):
     r = np.random.default_rng(0)
     parts = [pd.DataFrame({"video_id": v, "frame_id": np.arange(n) * 3, "athlete_vy": r.integers(0, 40, n).astype(float), "score": 0.5}) for v, n in ((0, 133), (1, 1), (2, 2))]
     pdf = pd.concat(parts, ignore_index=True)
-    out = vn.consistency_votes(spark.createDataFrame(pdf), width=5.0, chunk=16).toPandas()
+    out = vn.consistency_votes(spark.createDataFrame(pdf), chunk=16).toPandas()
     for v, part in pdf.groupby("video_id"):
         f, y = part.frame_id.to_numpy(), part.athlete_vy.to_numpy()
         agree = ((f[:, None] < f) & (y[:, None] <= y)) | ((f[:, None] > f) & (y[:, None] >= y))

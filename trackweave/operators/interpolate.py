@@ -16,7 +16,7 @@ from trackweave.session import materialize
 VENUE = ("venue_x", "venue_y")
 
 
-def with_neighbours(keyframes: DataFrame, x: str, reach: int, *, keys: Sequence[str] = VIDEO, carry: Sequence[str] = (), chunk: int = CHUNK_FRAMES) -> DataFrame:
+def with_neighbours(keyframes: DataFrame, x: str, reach: int, *, keys: Sequence[str] = VIDEO, carry: Sequence[str] = (), chunk: float | None = CHUNK_FRAMES) -> DataFrame:
     """Add `_p1.._pr` and `_n1.._nr`, structs of the neighbouring keyframes in the order of `x`."""
     placed = with_position(keyframes, "_pos", keys=keys, order=x, chunk=chunk)
     me = F.struct(F.col(x).cast("double").alias("x"), *[F.col(c) for c in carry])
@@ -25,10 +25,10 @@ def with_neighbours(keyframes: DataFrame, x: str, reach: int, *, keys: Sequence[
         back = {f"_p{i}": F.lag(me, i).over(w) for i in range(1, reach + 1)}
         return {**back, **{f"_n{i}": F.lead(me, i).over(w) for i in range(1, reach + 1)}}
 
-    return halo_window(placed, columns, keys=keys, pos="_pos", before=reach, after=reach, chunk=max(chunk, reach)).drop("_pos")
+    return halo_window(placed, columns, keys=keys, pos="_pos", before=reach, after=reach, chunk=max(int(chunk or CHUNK_FRAMES), reach)).drop("_pos")
 
 
-def pchip_slopes(keyframes: DataFrame, x: str = FRAME, values: Sequence[str] = VENUE, *, keys: Sequence[str] = VIDEO, chunk: int = CHUNK_FRAMES) -> DataFrame:
+def pchip_slopes(keyframes: DataFrame, x: str = FRAME, values: Sequence[str] = VENUE, *, keys: Sequence[str] = VIDEO, chunk: float | None = CHUNK_FRAMES) -> DataFrame:
     """Monotone slope `m_<value>` at every keyframe; null for a series of one."""
     near = with_neighbours(keyframes, x, 2, keys=keys, carry=values, chunk=chunk)
     here = F.col(x).cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from trackweave.functions.motion import interval_iou
 from trackweave.operators.series import CHUNK_FRAMES, FRAME, VIDEO, islands, ordered_scan, running
 from trackweave.session import materialize
 
-INTERVAL_BUCKET = 4096
+INTERVAL_BUCKET = 64  # a few times the length of an interval: longer buckets pair more, shorter ones copy more
 COMPONENTS_PER_BLOCK = 1024
 
 
@@ -90,9 +92,46 @@ def with_component(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
     return islands(seen, new, "component", order=("_lo", "_hi", "gt_id", "pred_id"), chunk=chunk).drop("_lo", "_hi", "_max")
 
 
+MATCHED = ("gt_id", "pred_id", "g0", "g1", "p0", "p1", "iou")
+
+
+def locally_best(pairs: DataFrame) -> DataFrame:
+    """Pairs that come first for both of their intervals: no other order of decisions would drop them."""
+    rank = F.struct("iou", "gt_id", "pred_id")
+    ends = [pairs.groupBy(*VIDEO, end).agg(F.max(rank).alias("_b")).select(*VIDEO, F.col("_b.gt_id").alias("gt_id"), F.col("_b.pred_id").alias("pred_id")) for end in ("gt_id", "pred_id")]
+    best = ends[0].join(ends[1], [*VIDEO, "gt_id", "pred_id"])
+    return pairs.join(best, [*VIDEO, "gt_id", "pred_id"], "left_semi")
+
+
 def greedy_matches(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
     """One-to-one matches, best IoU first; ties go to the larger truth and then prediction id.
 
+    In each round the pairs that are first for both their ends are final, and those that share an interval with them go; this gives
+    what taking pairs in global order gives, and a chain of overlaps through a whole video is matched in many places
+    at once.  A round that does not halve what is left is the last: long falling chains, where one decision waits for the
+    one before, are matched in order, each connected pile of the remaining pairs by itself.
+    """
+    left = materialize(pairs.select(*VIDEO, *MATCHED))
+    count, found = left.count(), []
+    while count:
+        final = materialize(locally_best(left))
+        found.append(final)
+        for end in ("gt_id", "pred_id"):
+            left = left.join(final.select(*VIDEO, end), [*VIDEO, end], "left_anti")
+        left = materialize(left)
+        remaining = left.count()
+        if remaining > count / 2:
+            found.append(matched_in_order(left, chunk=chunk))
+            break
+        count = remaining
+    matched = reduce(DataFrame.unionByName, found) if found else left
+    return matched.select(
+        *VIDEO, "gt_id", "pred_id", "iou", F.abs(F.col("p0") - F.col("g0")).alias("start_err"), F.abs(F.col("p1") - F.col("g1")).alias("end_err"))
+
+
+def matched_in_order(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
+    """The greedy matches of each component, pair by pair.
+
     Components share no interval, so they are matched independently; neighbouring ones are handed
     over together, and only the ids taken so far are held.
     """
@@ -108,16 +147,13 @@ def greedy_matches(pairs: DataFrame, *, chunk: int = CHUNK_FRAMES) -> DataFrame:
                 gts.add(g)
                 preds.add(p)
             keep.append(free)
-        return rows.loc[keep, columns]
+        return rows.loc[keep, [*VIDEO, *MATCHED]]
 
-    columns = [*VIDEO, "component", "gt_id", "pred_id", "g0", "g1", "p0", "p1", "iou"]
-    ready = with_component(pairs, chunk=chunk).select(*columns, F.floor(F.col("component") / COMPONENTS_PER_BLOCK).alias("_block"))
-    schema = "video_id long, component long, gt_id long, pred_id long, g0 long, g1 long, p0 long, p1 long, iou double"
-    matched = ordered_scan(
+    ready = with_component(pairs, chunk=chunk).select(*VIDEO, "component", *MATCHED, F.floor(F.col("component") / COMPONENTS_PER_BLOCK).alias("_block"))
+    schema = "video_id long, gt_id long, pred_id long, g0 long, g1 long, p0 long, p1 long, iou double"
+    return ordered_scan(
         ready, fold, schema, keys=(*VIDEO, "_block"),
         order=("component", F.col("iou").desc(), F.col("gt_id").desc(), F.col("pred_id").desc()))
-    return matched.select(
-        *VIDEO, "gt_id", "pred_id", "iou", F.abs(F.col("p0") - F.col("g0")).alias("start_err"), F.abs(F.col("p1") - F.col("g1")).alias("end_err"))
 
 
 def jump_report(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

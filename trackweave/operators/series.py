@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from trackweave.session import materialize
 
 CHUNK_FRAMES = 32_768
+LEAST_RANGES = 16
 VIDEO = ("video_id",)
 FRAME = "frame_id"
 
@@ -40,6 +41,16 @@ def chunk_of(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("long")
 
 
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Tag `_chunk`: ranges of about equal numbers of rows in (keys, order), however values are spread.
+
+    Cuts come from a sample, so the tagged rows are written once and every reader sees the same ones.
+    """
+    ranges = max(LEAST_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, order[0])]))
+    return materialize(placed.repartitionByRange(ranges, *[F.col(c) for c in (*keys, *order)]).withColumn("_chunk", F.spark_partition_id().cast("long")))
+
+
 def running(
     df: DataFrame,
     *,
@@ -51,20 +62,21 @@ def running(
     prevs: Mapping[str, Column] | None = None,
     nexts: Mapping[str, Column] | None = None,
     prior_maxes: Mapping[str, Column] | None = None,
-    chunk: int = CHUNK_FRAMES,
+    chunk: float | None = CHUNK_FRAMES,
 ) -> DataFrame:
     """Add running columns over each series, all from one pair of windows and one carry join.
 
     sums: running sum including the row.  lasts / firsts: nearest non-null value at or before /
     at or after the row.  prevs / nexts: value of the neighbouring row.  prior_maxes: maximum over
     the rows strictly before.  The first order column must be numeric; it defines the chunks.  Rows
-    without a key or a place in the order belong to no series and are left out.
+    without a key or a place in the order belong to no series and are left out.  Without `chunk` the cuts are
+    equi-depth (`range_chunks`), for orders that are values and may lie in a heap.
     """
     sums, lasts, firsts = dict(sums or {}), dict(lasts or {}), dict(firsts or {})
     prevs, nexts, prior_maxes = dict(prevs or {}), dict(nexts or {}), dict(prior_maxes or {})
     order = _names(order)
     keys = list(keys)
-    src = df.withColumn("_chunk", chunk_of(order[0], chunk))
+    src = df.withColumn("_chunk", chunk_of(order[0], chunk)) if chunk is not None else range_chunks(df, keys, order)
 
     part = Window.partitionBy(*keys, "_chunk")
     asc = part.orderBy(*order)
@@ -76,7 +88,7 @@ def running(
     to_here = (Window.unboundedPreceding, 0)
 
     def tagged(value: Column) -> Column:
-        return F.struct(*[F.col(c) for c in order], value.alias("v"))
+        return F.struct(*[F.col(c) for c in order], value.alias("_v"))
 
     summary: list[Column] = []
     carry: list[Column] = []
@@ -92,13 +104,13 @@ def running(
     for group, window, pick, over in ((lasts, asc, F.max, carry_asc), (firsts, desc, F.min, carry_desc)):
         for name, value in group.items():
             local.append((f"_l_{name}", F.last(value, ignorenulls=True).over(window.rowsBetween(*to_here))))
-            summary.append(pick(F.when(value.isNotNull(), tagged(value))).getField("v").alias(f"_s_{name}"))
+            summary.append(pick(F.when(value.isNotNull(), tagged(value))).getField("_v").alias(f"_s_{name}"))
             carry.append(F.last(f"_s_{name}", ignorenulls=True).over(over).alias(f"_c_{name}"))
             final[name] = F.coalesce(f"_l_{name}", f"_c_{name}")
     for group, window, pick, over in ((prevs, asc, F.max, carry_asc), (nexts, desc, F.min, carry_desc)):
         for name, value in group.items():
             local.append((f"_l_{name}", F.lag(F.struct(value.alias("v"))).over(window)))
-            summary.append(F.struct(pick(tagged(value)).getField("v").alias("v")).alias(f"_s_{name}"))
+            summary.append(F.struct(pick(tagged(value)).getField("_v").alias("v")).alias(f"_s_{name}"))
             carry.append(F.last(f"_s_{name}").over(over).alias(f"_c_{name}"))
             final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")).getField("v")
     for name, value in prior_maxes.items():

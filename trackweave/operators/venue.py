@@ -14,8 +14,6 @@ from trackweave.operators.interpolate import (
 from trackweave.operators.series import CHUNK_FRAMES, FRAME, VIDEO, running, with_position
 from trackweave.session import materialize
 
-FLOW_WIDTH = 4096.0  # flow is cut into value ranges of this width, so no video is one task
-
 
 def linear_fit(points: DataFrame, x: str, y: str, name: str, *, keys: Sequence[str] = VIDEO) -> DataFrame:
     """y = a + b x per series; null coefficients for fewer than two points or constant x."""
@@ -87,12 +85,13 @@ def second_pass(matches: DataFrame, sky: DataFrame, minimum: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def consistency_votes(matches: DataFrame, *, vy: str = "athlete_vy", width: float = FLOW_WIDTH, chunk: int = CHUNK_FRAMES) -> DataFrame:
+def consistency_votes(matches: DataFrame, *, vy: str = "athlete_vy", chunk: int = CHUNK_FRAMES) -> DataFrame:
     """For each match, the number of other matches whose order in `vy` agrees with their frame order.
 
     Counting pairs would be quadratic.  Positions are split into halves of halves instead: a pair is
     counted once, at the level where its frames fall into sibling blocks, by a running count in the
-    order of `vy`.  That is n log n rows, and no level keeps a video in one task.
+    order of `vy`.  That is n log n rows; the running counts are cut into ranges of equally many rows, so no
+    level keeps a video in one task even where all positions lie close together.
     """
     placed = with_position(matches, "_pos", chunk=chunk)
     total = matches.groupBy(*VIDEO).agg(F.count(F.lit(1)).alias("_n"))
@@ -103,8 +102,8 @@ def consistency_votes(matches: DataFrame, *, vy: str = "athlete_vy", width: floa
     rows = rows.withColumns({
         "_block": F.expr("shiftright(_pos, _level + 1)"), "_right": F.expr("shiftright(_pos, _level) % 2")})
     counted = running(
-        materialize(rows), keys=(*VIDEO, "_level", "_block"), order=("_vy", "_right"),
-        sums={"_lefts": F.lit(1) - F.col("_right"), "_rights": F.col("_right")}, chunk=width)
+        materialize(rows), keys=(*VIDEO, "_level", "_block"), order=("_vy", "_right", "_pos"),
+        sums={"_lefts": F.lit(1) - F.col("_right"), "_rights": F.col("_right")}, chunk=None)
     # at equal vy left rows come first: a right row sees every left one at or below it, a left row
     # sees only the right ones strictly below it
     in_right = F.greatest(F.lit(0), F.least(F.col("_n") - (F.col("_block") * 2 + 1) * half, half))
@@ -165,7 +164,7 @@ def top_with_forced(pool: DataFrame, n: int = 20) -> DataFrame:
     return joined.where(keep_top | keep_anchor | keep_sky).select(*pool.columns)
 
 
-def calibrate(points: DataFrame, *, chunk: float = FLOW_WIDTH) -> tuple[DataFrame, DataFrame]:
+def calibrate(points: DataFrame, *, chunk: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Spline anchors over cum_dy and linear fallback per video.
 
     The spline needs three points with distinct cum_dy; the fallback needs two points.
@@ -179,7 +178,7 @@ def calibrate(points: DataFrame, *, chunk: float = FLOW_WIDTH) -> tuple[DataFram
     return slopes.join(fit.where(spline_ok), list(VIDEO), "left_semi"), fit.withColumn("spline_ok", spline_ok)
 
 
-def predict(flow: DataFrame, points: DataFrame, *, limits: Sequence[float], chunk: float = FLOW_WIDTH) -> DataFrame:
+def predict(flow: DataFrame, points: DataFrame, *, limits: Sequence[float], chunk: float | None = None) -> DataFrame:
     """Map position of every frame: spline inside the calibrated flow range, linear outside, clipped."""
     points = materialize(points.select(*VIDEO, "cum_dx", "cum_dy", *VENUE))
     anchors, fit = calibrate(points, chunk=chunk)
@@ -206,7 +205,7 @@ def evaluate_positions(positions: DataFrame, truth: DataFrame, *, within: float
     return out.select(*VIDEO, F.col("n").alias("n_frames"), "mean", "median", "p90", "within", "rms")
 
 
-def loo_by_flow(points: DataFrame, *, limits: Sequence[float], fixed_anchor: bool = False, chunk: float = FLOW_WIDTH) -> DataFrame:
+def loo_by_flow(points: DataFrame, *, limits: Sequence[float], fixed_anchor: bool = False, chunk: float | None = None) -> DataFrame:
     """Error of each calibration point predicted from the others on the flow.
 
     The spline needs three remaining points with distinct flow and is continued beyond its ends; the

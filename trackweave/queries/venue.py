@@ -282,7 +282,7 @@ VOTE_SQL = """votes AS (SELECT a.video_id, a.frame_id, a.score, (SELECT count(*)
 
 @query("j13_consistency_votes", "venue_matches", sql=f"WITH {VOTE_SQL} SELECT video_id, frame_id, votes FROM votes")
 def _(m):
-    return vn.consistency_votes(m, width=128.0, chunk=CHUNK).select("video_id", "frame_id", "votes")
+    return vn.consistency_votes(m, chunk=CHUNK).select("video_id", "frame_id", "votes")
 
 
 @query("a28_consistency_filter", "venue_matches", sql=f"""
@@ -343,7 +343,7 @@ pred AS (SELECT f.video_id, f.frame_id, {_clip('coalesce(CASE WHEN ok AND f.cum_
 WITH {PRED_SQL} SELECT video_id, frame_id, round(venue_x, 6) + 0.0 AS venue_x, round(venue_y, 6) + 0.0 AS venue_y FROM pred""")
 def _(flow, gt):
     cum = kin.cumulative_flow(flow, chunk=CHUNK)
-    return rounded(vn.predict(cum, points(flow, gt), limits=LIMITS, chunk=32.0), *ip.VENUE)
+    return rounded(vn.predict(cum, points(flow, gt), limits=LIMITS), *ip.VENUE)
 
 
 def _shifted(gt):
@@ -405,7 +405,7 @@ ff AS (SELECT video_id, held, any_value(hx) AS hx, any_value(hy) AS hy, any_valu
 
 @query("m5_leave_one_out_by_flow", "camera_flow", "gt_venue")
 def _(flow, gt):
-    return vn.loo_by_flow(points(flow, gt), limits=LIMITS, fixed_anchor=True, chunk=32.0)
+    return vn.loo_by_flow(points(flow, gt), limits=LIMITS, fixed_anchor=True)
 
 
 @query("m7_sparsity_study", "frames", "gt_venue", sql=f"""
