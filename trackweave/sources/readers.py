@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackweave.functions.geometry import first_present
 from trackweave.functions.text import frame_no_from_file, score_from_name
 from trackweave.sources import schemas as sc
+from trackweave.sources.split_json import FILE, SPLIT_BYTES, longest_file, read_elements
 
 
 def video_of_path(path: Column) -> Column:
@@ -24,8 +25,15 @@ def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return docs.select(video_of_path(F.col("_metadata.file_path")).alias("video"), "*")
 
 
-def _frames(docs: DataFrame, column: str = "frames", *keep: str) -> DataFrame:
-    return docs.select("video", *keep, F.posexplode(column).alias("pos", "f"))
+def _frames(spark: SparkSession, path: str, schema: str, column: str = "frames", *keep: str) -> DataFrame:
+    """video, header fields, pos and f: a row per array element.
+
+    Where a document is longer than `SPLIT_BYTES` its elements are read by many tasks, otherwise a document by one; the rows are the same.
+    """
+    if longest_file(spark, path) > SPLIT_BYTES:
+        rows = read_elements(spark, path, schema, column, keep)
+        return rows.select(video_of_path(F.col(FILE)).alias("video"), *keep, "pos", "f")
+    return _documents(spark, path, schema).select("video", *keep, F.posexplode(column).alias("pos", "f"))
 
 
 def _box(source: Column, prefix: str = "") -> list[Column]:
@@ -34,7 +42,7 @@ def _box(source: Column, prefix: str = "") -> list[Column]:
 
 def read_detections(spark: SparkSession, path: str, *, tracked_only: bool = False) -> DataFrame:
     """Persons of every frame; frames without persons give one row with a null `det_no`."""
-    rows = _frames(_documents(spark, path, sc.DETECTION_MANIFEST))
+    rows = _frames(spark, path, sc.DETECTION_MANIFEST)
     people = rows.select("video", "pos", "f", F.posexplode_outer("f.persons").alias("det_no", "p"))
     out = people.select(
         "video", F.coalesce("f.frame_id", "pos").alias("frame_id"), frame_no_from_file(F.col("f.frame_file")).alias("frame_no"), "det_no",
@@ -44,7 +52,7 @@ def read_detections(spark: SparkSession, path: str, *, tracked_only: bool = Fals
 
 def read_frame_selection(spark: SparkSession, path: str) -> DataFrame:
     """The frame-level choice of the detector."""
-    rows = _frames(_documents(spark, path, sc.DETECTION_MANIFEST))
+    rows = _frames(spark, path, sc.DETECTION_MANIFEST)
     return rows.select(
         "video", F.coalesce("f.frame_id", "pos").alias("frame_id"), "f.frame_file", F.coalesce("f.detected", F.lit(False)).alias("detected"),
         *_box(F.col("f.bbox")), *_box(F.col("f.bbox_padded"), "crop_"), "f.confidence", "f.track_id", F.size(F.coalesce("f.persons", F.array())).alias("n_persons"))
@@ -57,7 +65,7 @@ def read_track(spark: SparkSession, path: str, *, on_bad: str = "skip") -> DataF
     """
     if on_bad not in ("skip", "frame_id"):
         raise ValueError(f"unknown on_bad {on_bad!r}")
-    rows = _frames(_documents(spark, path, sc.TRACK_MANIFEST)).where(F.size("f.bbox") == 4)
+    rows = _frames(spark, path, sc.TRACK_MANIFEST).where(F.size("f.bbox") == 4)
     frame_id = F.coalesce("f.frame_id", "pos")
     number = frame_no_from_file(F.col("f.frame_file"))
     out = rows.select(
@@ -72,25 +80,25 @@ def read_track_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_velocity(spark: SparkSession, path: str) -> DataFrame:
-    rows = _frames(_documents(spark, path, sc.VELOCITY_MANIFEST))
+    rows = _frames(spark, path, sc.VELOCITY_MANIFEST)
     return rows.select("video", frame_no_from_file(F.col("f.frame_file")).alias("frame_no"), "f.*")
 
 
 def read_jumps(spark: SparkSession, path: str) -> DataFrame:
-    rows = _frames(_documents(spark, path, sc.VELOCITY_MANIFEST), "jumps")
+    rows = _frames(spark, path, sc.VELOCITY_MANIFEST, "jumps")
     return rows.select("video", F.col("pos").cast("long").alias("jump_id"), F.col("f.start_frame_id").alias("start_frame"), F.col("f.end_frame_id").alias("end_frame"),
                        F.col("f.peak_frame_id").alias("peak_frame"), "f.airtime_frames", F.col("f.peak_speed_px_per_frame").alias("peak_speed"))
 
 
 def read_poses_2d(spark: SparkSession, path: str) -> DataFrame:
     """`kp` array of (x, y, conf); the frame id defaults to the position."""
-    rows = _frames(_documents(spark, path, sc.POSE_2D_MANIFEST), "frames", "keypoint_names")
+    rows = _frames(spark, path, sc.POSE_2D_MANIFEST, "frames", "keypoint_names")
     kp = F.transform("f.keypoints", lambda k: F.struct(k[0].alias("x"), k[1].alias("y"), k[2].alias("conf")))
     return rows.select("video", F.coalesce("f.frame_id", "pos").alias("frame_id"), F.coalesce("keypoint_names", F.array()).alias("names"), kp.alias("kp"), "f.bbox")
 
 
 def read_poses_3d(spark: SparkSession, path: str) -> DataFrame:
-    rows = _frames(_documents(spark, path, sc.POSE_3D_MANIFEST))
+    rows = _frames(spark, path, sc.POSE_3D_MANIFEST)
     pose = F.transform("f.keypoints_3d", lambda k: F.struct(k[0].alias("x"), k[1].alias("y"), k[2].alias("z")))
     return rows.select("video", F.col("pos").cast("long").alias("frame_id"), pose.alias("pose"))
 
@@ -104,7 +112,7 @@ def read_projection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_flow_trace(spark: SparkSession, path: str) -> DataFrame:
-    return _frames(_documents(spark, path, sc.TRACE_MANIFEST), "trace").select("video", "f.idx", "f.x", "f.y", "f.ok")
+    return _frames(spark, path, sc.TRACE_MANIFEST, "trace").select("video", "f.idx", "f.x", "f.y", "f.ok")
 
 
 def read_start_region(spark: SparkSession, path: str) -> DataFrame:
