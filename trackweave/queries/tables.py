@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import text as tx
 from trackweave.functions.geometry import first_present, half_even
-from trackweave.operators import tables as tb
 from trackweave.operators import evaluate as ev
+from trackweave.operators import sequential as sq
+from trackweave.operators import tables as tb
+from trackweave.operators import tracks as tr
 from trackweave.queries.accuracy import CHUNK, GT_SQL
+from trackweave.queries.intervals import JUMP_SQL, jumps
 from trackweave.queries.motion import VEL_SQL, rounded, velocity
 from trackweave.queries.registry import query
-
+from trackweave.queries.sequential import GUARD_SQL
 from trackweave.queries.tracks import CHOSEN_SQL, selection
 from trackweave.sources import readers as rd
 from trackweave.sources import sinks as sk
@@ -260,12 +263,98 @@ def _(trace, videos):
     return rd.with_fps(back, no_meta)
 
 
-@query("s11_s17_discovery_and_stubs", "track", "videos", sql="""
-SELECT 'run ' || video_id AS video, 0::BIGINT AS n_frames, 'no track' AS reason FROM videos WHERE video_id NOT IN (SELECT video_id FROM track WHERE frame_id > 717)""")
-def _(track, videos):
+@query("s11_s17_discovery_and_stubs", "run_results", "videos", sql="""
+SELECT 'run ' || video_id AS video, 0::BIGINT AS n_frames, 'no result' AS reason FROM videos WHERE video_id NOT IN (SELECT video_id FROM run_results)""")
+def _(results, videos):
+    path = scratch(results)
+    rows = results.groupBy("video_id", "config", "stage").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.concat_ws(" ", "config", "stage"))
+    sk.write_documents(named(rows), F.struct("config", "stage", "n"), path, order="part")
+    return sk.stub_rows(named(videos), rd.discover(results.sparkSession, f"{path}/*/*.txt"), "no result")
+
+
+@query("s6_jump_documents", "dense", "camera_flow", sql=f"""
+WITH {JUMP_SQL} SELECT 'run ' || video_id AS video, row_number() OVER (PARTITION BY video_id ORDER BY start_frame) - 1 AS jump_id, start_frame, end_frame, peak_frame, airtime_frames, round(peak_speed, 4) + 0.0 AS peak_speed FROM jumps""")
+def _(dense, flow):
+    path = scratch(dense)
+    _velocity_documents(dense, flow, path)
+    return rd.read_jumps(dense.sparkSession, f"{path}/*").withColumn("peak_speed", F.round("peak_speed", 4) + F.lit(0.0))
+
+
+@query("s14_velocity_summary_documents", "dense", "camera_flow", sql=f"""
+WITH {JUMP_SQL}, n AS (SELECT video_id, count(*) AS n_jumps FROM jumps GROUP BY video_id)
+SELECT 'run ' || v.video_id AS video, count(*) AS n_frames, round(avg(speed), 2) + 0.0 AS mean_speed, round(max(speed), 2) + 0.0 AS max_speed, coalesce(any_value(n_jumps), 0) AS n_jumps FROM vel v LEFT JOIN n ON n.video_id = v.video_id GROUP BY v.video_id""")
+def _(dense, flow):
+    path = scratch(dense)
+    _velocity_documents(dense, flow, path)
+    back = rd.read_velocity_runs(dense.sparkSession, f"{path}/*")
+    return back.withColumns({c: F.round(c, 2) + F.lit(0.0) for c in ("mean_speed", "max_speed")})
+
+
+def _velocity_documents(dense, flow, path):
+    vel = named(velocity(dense, flow)).withColumns({"frame_file": F.lit("frame_000001.jpg"), "in_jump": F.lit(False)})
+    sk.write_documents(vel, sk.velocity_record(), path, order="frame_id", header=sk.velocity_header(vel, named(jumps(dense, flow))))
+
+
+@query("s13_run_headers", "detections", "videos", "track", "trace", sql=f"""
+WITH RECURSIVE {CHOSEN_SQL}, {GUARD_SQL},
+best AS (SELECT video_id, count(*) AS n, first(track_id ORDER BY score DESC, first_key) AS track_id, max(score) AS score, list(track_id ORDER BY score DESC, first_key) AS ids FROM picked WHERE selected GROUP BY video_id),
+bad AS (SELECT video_id, count(*) FILTER (NOT accepted) AS rejections FROM g GROUP BY video_id),
+t AS (SELECT video_id, count(*) AS n_frames, avg(sqrt(cx^2 + cy^2)) AS mean_speed, max(sqrt(cx^2 + cy^2)) AS max_speed, avg(cy) AS mean_vy FROM track GROUP BY video_id)
+SELECT 'run ' || t.video_id AS video, n_frames, b.track_id AS selected_track_id, CASE WHEN n > 1 THEN array_to_string(ids, ',') END AS merged_tracks, round(score, 4) + 0.0 AS track_score,
+  rejections AS identity_guard_rejections, round(mean_speed, 2) + 0.0 AS mean_speed, round(max_speed, 2) + 0.0 AS max_speed, round(mean_vy, 2) + 0.0 AS mean_vy
+FROM t LEFT JOIN best b ON b.video_id = t.video_id LEFT JOIN bad ON bad.video_id = t.video_id""")
+def _(detections, videos, track, trace):
     path = scratch(track)
-    sk.write_documents(named(track.where("frame_id > 717")), F.struct("frame_id"), path, order="frame_id")
-    return sk.stub_rows(named(videos), rd.discover(track.sparkSession, f"{path}/*/*.txt"), "no track")
+    ranked = tr.rank_tracks(selection(detections, videos).where("selected"))
+    # positions stand in for velocities, of which the given tables have none
+    frames = named(track).withColumns({"vx": F.col("cx"), "vy": F.col("cy")})
+    guarded = sq.guard_identity(track.drop("cx", "cy"), trace, max_jump=60.0)
+    rejections = named(guarded.groupBy("video_id").agg(F.count_if(~F.col("accepted")).alias("rejections")))
+    header = sk.run_header(frames, named(ranked), rejections=rejections, settings={"smooth_window": F.lit(5)})
+    sk.write_documents(frames.select("video", "frame_id"), F.struct("frame_id"), path, order="frame_id", header=header)
+    back = rd.read_track_runs(track.sparkSession, f"{path}/*")
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c.split(".")[-1])
+    merged = F.when(F.col("merged_tracks").isNotNull(), F.array_join(F.col("merged_tracks").cast("array<string>"), ","))
+    return back.select("video", "n_frames", "selected_track_id", merged.alias("merged_tracks"), r("track_score", 4), "identity_guard_rejections", *[r(f"velocity_stats.{c}", 2) for c in ("mean_speed", "max_speed", "mean_vy")])
+
+
+@query("s10_frame_rates_from_metadata", "videos", "run_results", sql="""
+SELECT 'run ' || v.video_id AS video, CASE WHEN r.video_id IS NULL THEN 30 WHEN v.video_id % 3 > 0 THEN v.n_frames / 20.0::DOUBLE WHEN v.video_id % 2 > 0 THEN 24 + v.video_id ELSE 30 END::DOUBLE AS fps
+FROM videos v LEFT JOIN (SELECT DISTINCT video_id FROM run_results) r ON r.video_id = v.video_id""")
+def _(videos, results):
+    # documents only for videos with results; some have one rate, some the other, some neither
+    path = scratch(videos)
+    have = videos.join(results.select("video_id").distinct(), "video_id", "left_semi")
+    meta = named(have).select(
+        "video", F.when(F.col("video_id") % 2 > 0, F.lit(24.0) + F.col("video_id")).alias("source_fps"), F.when(F.col("video_id") % 3 > 0, F.col("n_frames") / F.lit(20.0)).alias("effective_fps"),
+        F.col("n_frames").alias("extracted_frames"))
+    sk.write_records(meta, path)
+    return rd.with_fps(named(videos).select("video"), rd.read_frames_meta(videos.sparkSession, f"{path}/*"))
+
+
+@query("s10_start_regions", "gt_venue", sql="""
+SELECT 'run ' || video_id AS video, floor(min(venue_x))::BIGINT AS x1, floor(min(venue_y))::BIGINT AS y1, ceil(max(venue_x))::BIGINT AS x2, ceil(max(venue_y))::BIGINT AS y2, 'map.png' AS venue_image FROM gt_venue GROUP BY video_id""")
+def _(gt):
+    path = scratch(gt)
+    bounds = named(gt).groupBy("video").agg(
+        F.floor(F.min("venue_x")).alias("x1"), F.floor(F.min("venue_y")).alias("y1"), F.ceil(F.max("venue_x")).alias("x2"), F.ceil(F.max("venue_y")).alias("y2"), F.lit("map.png").alias("venue_image"))
+    sk.write_records(bounds, path)
+    return rd.read_start_region(gt.sparkSession, f"{path}/*").select("video", "x1", "y1", "x2", "y2", "venue_image")
+
+
+@query("s12_catalogue", "videos", "run_results", sql="""
+WITH n AS (SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 'Cup Men' ELSE 'Cup Women' END || '_' || video_id || '_' || CASE WHEN video_id % 7 = 3 THEN 'dnf' WHEN video_id % 7 = 4 THEN '0.00' ELSE n_frames::VARCHAR || '.50' END || '_x' AS video,
+  CASE WHEN video_id % 7 = 3 THEN NULL WHEN video_id % 7 = 4 THEN 0 ELSE n_frames + 0.5::DOUBLE END AS score FROM videos)
+SELECT video, score FROM n WHERE video LIKE 'Cup Men%' AND score <> 0 AND video_id IN (SELECT video_id FROM run_results)""")
+def _(videos, results):
+    # only videos with results have a pose file
+    path = scratch(videos)
+    v = F.col("video_id")
+    part = F.when(v % 7 == 3, "dnf").when(v % 7 == 4, "0.00").otherwise(F.concat(F.col("n_frames").cast("string"), F.lit(".50")))
+    name = F.concat_ws("_", F.when(v % 2 == 0, "Cup Men").otherwise("Cup Women"), v.cast("string"), part, F.lit("x"))
+    have = videos.join(results.select("video_id").distinct(), "video_id", "left_semi")
+    sk.write_records(have.select(name.alias("video"), "n_frames"), path)
+    return rd.catalogue(videos.sparkSession, f"{path}/*/*.txt", "Cup Men")
 
 
 @query("s13_track_table", "dense", sql="SELECT video_id, frame_id, x1, detected FROM dense")
@@ -279,5 +368,5 @@ def _(dense):
 def _(results):
     path = scratch(results)
     out = results.groupBy("config", "video_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("elapsed_s"), 4).alias("total"))
-    sk.append_results(out, path)
+    sk.write_results(out, path)
     return results.sparkSession.read.parquet(path).select("config", "video_id", "n", "total")

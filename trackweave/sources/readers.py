@@ -76,7 +76,9 @@ def read_track(spark: SparkSession, path: str, *, on_bad: str = "skip") -> DataF
 
 
 def read_track_runs(spark: SparkSession, path: str) -> DataFrame:
-    return _documents(spark, path, sc.TRACK_MANIFEST).select("video", "n_frames", "selected_track_id", "merged_tracks", "track_score")
+    """The header of every track document."""
+    return _documents(spark, path, sc.TRACK_MANIFEST).select(
+        "video", "n_frames", "selected_track_id", "merged_tracks", "track_score", "identity_guard_rejections", "velocity_stats", "candidate_pool_stats")
 
 
 def read_velocity(spark: SparkSession, path: str) -> DataFrame:
@@ -84,6 +86,11 @@ def read_velocity(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("video", frame_no_from_file(F.col("f.frame_file")).alias("frame_no"), "f.*")
 
 
+def read_velocity_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of every velocity document."""
+    return _documents(spark, path, sc.VELOCITY_MANIFEST).select("video", "n_frames", "summary.*")
+
+
 def read_jumps(spark: SparkSession, path: str) -> DataFrame:
     rows = _frames(spark, path, sc.VELOCITY_MANIFEST, "jumps")
     return rows.select("video", F.col("pos").cast("long").alias("jump_id"), F.col("f.start_frame_id").alias("start_frame"), F.col("f.end_frame_id").alias("end_frame"),

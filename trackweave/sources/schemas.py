@@ -7,12 +7,14 @@ DETECTION_MANIFEST = (
     "video_stem string, n_frames long, frames array<struct<frame_id: long, frame_file: string, crop_file: string, detected: boolean, "
     f"bbox: array<double>, bbox_padded: array<double>, confidence: double, track_id: long, persons: array<{_PERSON}>>>")
 TRACK_MANIFEST = (
-    "video_stem string, n_frames long, selected_track_id long, merged_tracks array<long>, track_score double, frames array<struct<"
+    "video_stem string, n_frames long, selected_track_id long, merged_tracks array<long>, track_score double, identity_guard_rejections long, "
+    "velocity_stats struct<mean_speed: double, max_speed: double, mean_vy: double>, "
+    "candidate_pool_stats struct<conflict_frames: long, of_available: long, avg_margin: double>, frames array<struct<"
     "frame_id: long, frame_file: string, detected: boolean, interpolated: boolean, of_synthetic: boolean, bbox: array<double>, "
     "bbox_padded: array<double>, confidence: double, track_id: long, flow_displacement: array<double>, of_predicted: array<double>, "
     "velocity: array<double>, speed_px_per_frame: double>>")
 VELOCITY_MANIFEST = (
-    "video_stem string, n_frames long, jumps array<struct<start_idx: long, end_idx: long, peak_idx: long, start_frame_id: long, "
+    "video_stem string, n_frames long, summary struct<mean_speed: double, max_speed: double, n_jumps: long>, jumps array<struct<start_idx: long, end_idx: long, peak_idx: long, start_frame_id: long, "
     "end_frame_id: long, peak_frame_id: long, airtime_frames: long, peak_speed_px_per_frame: double>>, frames array<struct<frame_id: long, "
     "frame_file: string, center_x: double, center_y: double, camera_flow_dx: double, camera_flow_dy: double, athlete_vel_dx: double, "
     "athlete_vel_dy: double, compensated_vel_dx: double, compensated_vel_dy: double, speed_raw: double, speed_smoothed: double, "

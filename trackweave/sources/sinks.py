@@ -13,13 +13,16 @@ from trackweave.operators.series import with_position
 
 
 def write_table(df: DataFrame, path: str, *, by: Sequence[str] = ("video",), mode: str = "overwrite") -> None:
-    """Parquet, one folder per key; only the folders present in `df` are replaced."""
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Parquet, one folder per key; only the folders present in `df` are replaced.
+
+    Rows are gathered by key first, in partitions of even size, so a folder gets few files and a long video several.
+    """
+    df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Metric rows of a run, kept by configuration."""
-    df.write.mode("append").partitionBy("config").parquet(path)
+def write_results(df: DataFrame, path: str) -> None:
+    """Metric rows of a run.  The rows of its configurations replace earlier ones, so a run that is tried again leaves no doubles."""
+    write_table(df, path, by=("config",))
 
 
 def write_documents(rows: DataFrame, record: Column, path: str, *, order: str, header: DataFrame | None = None, array: str = "frames") -> None:
@@ -45,6 +48,49 @@ def write_documents(rows: DataFrame, record: Column, path: str, *, order: str, h
     _write_lines(joined.select("video", "_at", F.array(opened, line, closed).alias("_lines")), path)
 
 
+def write_records(rows: DataFrame, path: str) -> None:
+    """One flat JSON document per video from one row per video."""
+    fields = F.to_json(F.struct(*[c for c in rows.columns if c != "video"]), {"ignoreNullFields": "false"})
+    _write_lines(rows.select("video", F.lit(0).alias("_at"), F.array(fields).alias("_lines")), path)
+
+
+def run_header(frames: DataFrame, ranked: DataFrame, *, rejections: DataFrame | None = None, conflicts: DataFrame | None = None, settings: dict[str, Column] | None = None) -> DataFrame:
+    """Header of the track document: what was selected and how the run went, one row per video of `frames` (video, vx, vy per frame).
+
+    `ranked` has the selected tracks (track_id, score, rank); `rejections` a count per video, `conflicts` the conflict summary.
+    `merged_tracks` is null for a single track; statistics of a run without velocities are null.
+    """
+    moving = F.col("vx").isNotNull()
+    speed = F.when(moving, F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
+    per = frames.groupBy("video").agg(F.count(F.lit(1)).alias("n_frames"), F.avg(speed).alias("_mean"), F.max(speed).alias("_max"), F.avg("vy").alias("_vy"))
+    stats = F.when(F.col("_mean").isNotNull(), F.struct(half_even("_mean", 2).alias("mean_speed"), half_even("_max", 2).alias("max_speed"), half_even("_vy", 2).alias("mean_vy")))
+    chosen = ranked.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("rank", "track_id", "score"))).alias("_t"))
+    out = per.join(chosen, "video", "left")
+    ids = F.transform("_t", lambda t: t["track_id"])
+    columns = {
+        "selected_track_id": F.get(ids, F.lit(0)), "merged_tracks": F.when(F.size("_t") > 1, ids), "track_score": half_even(F.get("_t", F.lit(0))["score"], 4), "velocity_stats": stats}
+    if rejections is not None:
+        out = out.join(rejections.select("video", F.col("rejections").alias("identity_guard_rejections")), "video", "left")
+        columns["identity_guard_rejections"] = F.coalesce("identity_guard_rejections", F.lit(0).cast("long"))
+    if conflicts is not None:
+        out = out.join(conflicts.select("video", F.struct("conflict_frames", "of_available", "avg_margin").alias("candidate_pool_stats")), "video", "left")
+        columns["candidate_pool_stats"] = F.col("candidate_pool_stats")
+    columns |= settings or {}
+    return out.select("video", "n_frames", *[c.alias(k) for k, c in columns.items()])
+
+
+def velocity_header(velocity: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Header of the velocity document: summary and jumps in order of their start, one row per video.  A video has few jumps beside its frames."""
+    per = velocity.groupBy("video").agg(F.count(F.lit(1)).alias("n_frames"), half_even(F.avg("speed"), 4).alias("_mean"), half_even(F.max("speed"), 4).alias("_max"))
+    jump = F.struct(
+        F.col("start_frame").alias("start_frame_id"), F.col("end_frame").alias("end_frame_id"), F.col("peak_frame").alias("peak_frame_id"), "airtime_frames",
+        half_even("peak_speed", 4).alias("peak_speed_px_per_frame"))
+    found = jumps.groupBy("video").agg(F.sort_array(F.collect_list(jump)).alias("jumps"))
+    out = per.join(found, "video", "left")
+    return out.select("video", "n_frames", F.struct(F.col("_mean").alias("mean_speed"), F.col("_max").alias("max_speed"), F.coalesce(F.size("jumps"), F.lit(0)).alias("n_jumps")).alias("summary"),
+                      F.coalesce("jumps", F.array().cast(found.schema["jumps"].dataType)).alias("jumps"))
+
+
 def _write_lines(rows: DataFrame, path: str) -> None:
     """One text file per video from rows of lines, ordered by `_at` and place in the row."""
     lines = rows.select("video", "_at", F.posexplode("_lines").alias("_n", "value")).where("value IS NOT NULL")
