@@ -160,8 +160,8 @@ def test_sure_frames_equal_a_pass_over_all(spark):
     frames = sq.candidate_frames(spark.createDataFrame(pdf), None, videos(spark, 600))
     got = sq.resolve_conflicts(frames).toPandas().sort_values("frame_id", ignore_index=True)
     rows = frames.toPandas().sort_values("frame_id", ignore_index=True)
-    rows["pos"] = np.arange(len(rows))
-    want = sq._resolver_fold(sq.ResolverParams())({}, rows.astype({"trace_x": float, "trace_y": float}))
+    rows["pos"], rows["variant"] = np.arange(len(rows)), 0
+    want = sq._resolver_fold([sq.ResolverParams()])({}, rows.astype({"trace_x": float, "trace_y": float}))
     for c in ("x1", "y1", "x2", "y2", "confidence", "track_id", "det_no", "n_candidates", "conflict"):
         assert got[c].tolist() == want[c].tolist(), c
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.geometry import with_box_geometry
+from trackweave.operators import sequential as sq
 from trackweave.operators import tracks as tr
 from trackweave.operators.evaluate import track_error_report
+from trackweave.operators.gapfill import fill_linear
 from trackweave.operators.metrics import BINS_PER_CHUNK, deltas
 from trackweave.operators.quantiles import value_bin
 from trackweave.operators.series import FRAME, VIDEO, with_position
@@ -39,6 +44,49 @@ def selection_sweep(
     return deltas(report, report.where(F.col("threshold") == baseline).drop("threshold"), ("mean_error",))
 
 
+@dataclass(frozen=True)
+class TrackingConfig:
+    """A setting of the tracking program: how conflicts are resolved and how long the smoother looks (0: not at all)."""
+
+    name: str
+    resolver: sq.ResolverParams = field(default_factory=sq.ResolverParams)
+    window: int = 0
+
+
+def tracking_runs(pool: DataFrame, videos: DataFrame, configs: Sequence[TrackingConfig], trace: DataFrame | None = None, *, chunk: int | None = None) -> DataFrame:
+    """The tracks (config, video_id, frame_id, box) of many settings from one pool of candidates.
+
+    Stages are shared as far as settings agree: candidates are gathered once, each distinct resolver runs once (all of them in one
+    job, as a column), gaps are filled once per resolver, and each window smooths what the settings that use it need.
+    """
+    variants = list(dict.fromkeys(c.resolver for c in configs))
+    more = {} if chunk is None else {"chunk": chunk}
+    resolved = sq.resolve_variants(sq.candidate_frames(pool, trace, videos, variants[0]), variants, **more)
+    keys = (*VIDEO, "variant")
+    each = videos.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(variants))])).alias("variant"))
+    filled = materialize(fill_linear(resolved, each, keys=keys, **more).select(*keys, FRAME, *sq.BOX))
+    done = []
+    for window in dict.fromkeys(c.window for c in configs):
+        users = [(variants.index(c.resolver), c.name) for c in configs if c.window == window]
+        wanted = filled.where(F.col("variant").isin([v for v, _ in users]))
+        smooth = wanted if window <= 0 else sq.smooth_ema(wanted, window, keys=keys)
+        names = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(n).alias("config")) for v, n in users])
+        own = smooth.withColumn("_c", F.explode(F.filter(names, lambda c: c["variant"] == F.col("variant"))))
+        done.append(own.select(F.col("_c.config").alias("config"), *VIDEO, FRAME, *sq.BOX))
+    return reduce(DataFrame.unionByName, done)
+
+
+def tracking_sweep(
+    pool: DataFrame, videos: DataFrame, truth: DataFrame, configs: Sequence[TrackingConfig], baseline: str, trace: DataFrame | None = None, *, chunk: int | None = None,
+) -> DataFrame:
+    """Error of every setting and video against the annotated centres, and against the setting `baseline`."""
+    keys = ["config", *VIDEO]
+    track = with_box_geometry(tracking_runs(pool, videos, configs, trace, chunk=chunk)).select(*keys, FRAME, "cx", "cy")
+    expected = with_configs(truth.select(*VIDEO, FRAME, "center_x", "center_y"), [{"config": c.name} for c in configs])
+    report = materialize(track_error_report(track, expected, keys=keys).select(*keys, "n_evaluated", "mean_error", "detection_rate"))
+    return deltas(report, report.where(F.col("config") == baseline).drop("config"), ("mean_error",))
+
+
 def sweep_means(sweep: DataFrame, columns: Sequence[str] = ("mean_error", "mean_error_delta")) -> DataFrame:
     return sweep.groupBy("threshold").agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n_videos"))
 

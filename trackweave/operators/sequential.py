@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,14 +102,17 @@ def velocity_score(history, vx: float, vy: float) -> float:
     return 0.65 * direction + 0.35 * size
 
 
-def _resolver_fold(p: ResolverParams):
-    columns = [*VIDEO, FRAME, *BOX, "confidence", "track_id", "det_no", "of_synthetic", "n_candidates", "conflict", "of_known", "margin"]
-
-    def closeness(cx: float, cy: float, tx: float, ty: float) -> float:
-        return max(0.0, 1.0 - math.hypot(cx - tx, cy - ty) / p.radius)
+def _resolver_fold(variants: Sequence[ResolverParams]):
+    """The fold over the rows of one video and variant, which is the place of its parameters in the list."""
+    columns = [*VIDEO, "variant", FRAME, *BOX, "confidence", "track_id", "det_no", "of_synthetic", "n_candidates", "conflict", "of_known", "margin"]
 
     def fold(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
+        p = variants[int(rows["variant"].iloc[0])]
+
+        def closeness(cx: float, cy: float, tx: float, ty: float) -> float:
+            return max(0.0, 1.0 - math.hypot(cx - tx, cy - ty) / p.radius)
+
         for row in rows.itertuples(index=False):
             if state.get("pos") != row.pos - 1:  # the rows left out in between are sure, and so are the first ones here
                 state.clear()
@@ -181,7 +185,7 @@ def _resolver_fold(p: ResolverParams):
             state["box"], state["tid"] = box[best], tid[best]
             state["trace"] = (row.trace_x, row.trace_y) if known else None
             synthetic = math.isnan(det[best])
-            out.append((row.video_id, row.frame_id, *[int(v) for v in box[best]], conf[best], tid[best] if tid[best] >= 0 else math.nan,
+            out.append((row.video_id, row.variant, row.frame_id, *[int(v) for v in box[best]], conf[best], tid[best] if tid[best] >= 0 else math.nan,
                         det[best], synthetic, len(keep), conflict, of_known, margin))
         return pd.DataFrame(out, columns=columns)
 
@@ -189,22 +193,32 @@ def _resolver_fold(p: ResolverParams):
 
 
 RESOLVED = (
-    "video_id long, frame_id long, x1 long, y1 long, x2 long, y2 long, confidence double, track_id double, det_no double, "
+    "video_id long, variant int, frame_id long, x1 long, y1 long, x2 long, y2 long, confidence double, track_id double, det_no double, "
     "of_synthetic boolean, n_candidates long, conflict boolean, of_known boolean, margin double")
 
 
 def resolve_conflicts(frames: DataFrame, params: ResolverParams = ResolverParams(), *, chunk: int = CHUNK_FRAMES, piece: int = PIECE_FRAMES) -> DataFrame:
-    """One observation per frame, chosen by quality, continuity, stickiness, flow and motion.
+    """One observation per frame, chosen by quality, continuity, stickiness, flow and motion."""
+    return resolve_variants(frames, [params], chunk=chunk, piece=piece).drop("variant")
+
+
+def resolve_variants(frames: DataFrame, variants: Sequence[ResolverParams], *, chunk: int = CHUNK_FRAMES, piece: int = PIECE_FRAMES) -> DataFrame:
+    """One observation per frame and variant (its place in `variants`), all variants in one job.
 
     The state is the previous choice, the last velocities and (when sizes count) the last areas.  Frames with a single sure candidate
     need no state, and a run of them refills all of it: they stay in the JVM, but for the run that leads up to a contested frame.
-    Contested stretches are folded in pieces that hand their state on.
+    Contested stretches are folded in pieces that hand their state on.  Variants share the candidates, so they must agree in what
+    those depend on: weights of quality, radius and gate.
     """
+    params = variants[0]
+    if any((v.w_conf, v.w_center, v.radius, v.gate) != (params.w_conf, params.w_center, params.radius, params.gate) for v in variants):
+        raise ValueError("variants must share w_conf, w_center, radius and gate")
     single = (F.col("n_candidates") == 1)
     if params.gate:
         single = ((F.col("trace_x").isNull()) & single) | (F.col("trace_x").isNotNull() & (F.col("n_near") == 1))
-    need = max(params.history + 1, AREA_HISTORY if params.w_size > 0 else 0)
+    need = max(max(v.history + 1, AREA_HISTORY if v.w_size > 0 else 0) for v in variants)
     placed = with_position(materialize(frames).withColumn("_single", single), "pos", chunk=chunk)
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(variants))])).alias("variant")
 
     def contested(w):
         return {"_asked": F.max((~F.col("_single")).cast("int")).over(w.rowsBetween(0, need)) == 1}
@@ -215,11 +229,11 @@ def resolve_conflicts(frames: DataFrame, params: ResolverParams = ResolverParams
     at = F.when(F.col("trace_x").isNull(), 0).otherwise(at)
     pick = {f: F.get(F.col(f), at) for f in CANDIDATE_FIELDS}
     taken = sure.select(
-        *VIDEO, FRAME, *[pick[c].cast("long").alias(c) for c in BOX], pick["confidence"].alias("confidence"),
+        *VIDEO, every, FRAME, *[pick[c].cast("long").alias(c) for c in BOX], pick["confidence"].alias("confidence"),
         F.when(pick["track_id"] >= 0, pick["track_id"]).alias("track_id"), pick["det_no"].alias("det_no"), F.lit(False).alias("of_synthetic"),
         F.lit(1).cast("long").alias("n_candidates"), F.lit(False).alias("conflict"), F.lit(False).alias("of_known"), F.lit(None).cast("double").alias("margin"))
-    ready = marked.where("_asked").select(*VIDEO, "pos", FRAME, "trace_x", "trace_y", "img_w", "img_h", *CANDIDATE_FIELDS)
-    out = handed_over(ready, _resolver_fold(params), RESOLVED, order="pos", piece=piece, run_in=min(piece, RUN_IN)).unionByName(taken)
+    ready = marked.where("_asked").select(*VIDEO, every, "pos", FRAME, "trace_x", "trace_y", "img_w", "img_h", *CANDIDATE_FIELDS)
+    out = handed_over(ready, _resolver_fold(variants), RESOLVED, keys=(*VIDEO, "variant"), order="pos", piece=piece, run_in=min(piece, RUN_IN)).unionByName(taken)
     return out.withColumns({"track_id": F.col("track_id").cast("long"), "det_no": F.col("det_no").cast("long")})
 
 
@@ -526,7 +540,9 @@ def fill_by_flow(
 # ---------------------------------------------------------------- smoothing
 
 
-def smooth_ema(track: DataFrame, window: int, *, columns: tuple[str, ...] = BOX, chunk: int | None = None, rounded: bool = True) -> DataFrame:
+def smooth_ema(
+    track: DataFrame, window: int, *, keys: Sequence[str] = VIDEO, columns: tuple[str, ...] = BOX, chunk: int | None = None, rounded: bool = True,
+) -> DataFrame:
     """Mean of a forward and a backward exponential average, alpha = 2 / (window + 1).
 
     Weights fall off geometrically, so a halo in which they drop below double precision makes the
@@ -540,7 +556,7 @@ def smooth_ema(track: DataFrame, window: int, *, columns: tuple[str, ...] = BOX,
     longest = int(290 / math.log10(1.0 / keep)) - 2 * halo  # weights stay inside the double range
     size = max(halo, min(chunk or longest, longest))
     cut = halo_chunks(track, FRAME, before=halo, after=halo, chunk=size)
-    part = Window.partitionBy(*VIDEO, "_chunk")
+    part = Window.partitionBy(*keys, "_chunk")
     lo, hi = F.min(FRAME).over(part), F.max(FRAME).over(part)
     cut = cut.withColumns({"_i": (F.col(FRAME) - lo).cast("double"), "_j": (hi - F.col(FRAME)).cast("double")})
     out = {}

@@ -8,6 +8,7 @@ from trackweave.operators import experiments as ex
 from trackweave.operators import learn as ln
 from trackweave.operators import metrics as me
 from trackweave.operators import evaluate as ev
+from trackweave.operators.sequential import ResolverParams
 from trackweave.queries.accuracy import CHUNK, ERR_SQL, GT_SQL, track_report
 from trackweave.queries.intervals import HOTA_SQL, hota_report
 from trackweave.queries.motion import rounded
@@ -114,6 +115,15 @@ def _(detections, videos, frames, gt):
     return out.withColumns({c: settled(c, 5) for c in ("mean_error", "mean_error_delta")})
 
 
+@query("m8_tracking_sweep", "detections", "videos", "frames", "gt_centers")
+def _(detections, videos, frames, gt):
+    """Two weights of the resolver and the smoother's window, all in one job."""
+    truth = ev.interpolate_keyframes(frames, gt, chunk=CHUNK)
+    pool = detections.where("track_id IS NOT NULL")
+    configs = [ex.TrackingConfig(f"stickiness {c} velocity {v} window {w}", ResolverParams(w_stickiness=c, w_velocity=v), w) for c in (0.0, 0.4) for v in (0.0, 0.4) for w in (0, 5)]
+    return rounded(ex.tracking_sweep(pool, videos, truth, configs, configs[0].name), "mean_error", "detection_rate", "mean_error_delta")
+
+
 COMBINED_SQL = HOTA_SQL + "," + NEAR_SQL[len(GT_SQL) + 1:] + """,
 dr AS (SELECT video_id, round(coalesce(avg(dist), 0), 6) + 0.0 AS det_error, count(DISTINCT track_id) AS det_ids FROM eval_rows GROUP BY video_id),
 tr AS (SELECT g.video_id, round(avg(sqrt((t.cx - g.center_x)^2 + (t.cy - g.center_y)^2)), 6) + 0.0 AS trk_error FROM gt_dense g LEFT JOIN track t ON g.video_id = t.video_id AND g.frame_id = t.frame_id GROUP BY g.video_id),
