@@ -7,8 +7,9 @@ shingles is shared and the banded alignment of the words needs edits for at most
 
 Equal word sequences collapse first, so copies cost one row.  A large group is not paired within itself: in each bucket of
 equal sketches the members are first compared with a central one (the text that shares most sketches with others, as the
-original of edited copies does).  What then shares a bucket and still is in different classes is compared without exception, but for pairs ruled out by their lengths or an outline of 256 least-shingle bits.  At similarity 0.8 a pair
-shares none of 12 sketches with a probability below 1e-5.
+original of edited copies does).  What then shares a bucket and still is in different classes is compared without exception, if the
+two share one of their rarest shingles, as all pairs of the asked similarity do; texts that only share a frequent passage do not.  At
+similarity 0.8 a pair shares none of 12 sketches with a probability below 1e-5.
 
 Defined cases: texts without words are classes of their own; texts of fewer than five words match only equal word sequences;
 a null doc_id is a document (its class_id is null unless the class holds an id); repeated rows are copies.
@@ -224,57 +225,54 @@ def pivot_pairs(now: DataFrame, r: int) -> DataFrame:
 def still_divided(now: DataFrame) -> DataFrame:
     """Per node that has them: its buckets of several classes."""
     ends = now.groupBy("j", "value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("j", "value")
-    return now.join(ends, ["j", "value"]).groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("n_words").alias("n_words"), F.collect_list(F.xxhash64("j", "value")).alias("keys"))
+    return now.join(ends, ["j", "value"]).groupBy("node").agg(F.any_value("root").alias("root"), F.collect_list(F.xxhash64("j", "value")).alias("keys"))
 
 
-def outlines(words: Words, k: int = K, bits: int = 256) -> np.ndarray:
-    """Per text one bit of the least shingle under each of `bits` hashes, 64 in a number: texts of similarity s agree in (1 + s) / 2 of them."""
-    count = np.maximum(words.count - k + 1, 0)
-    has = np.flatnonzero(count)
-    out = np.zeros((len(count), bits // 64), np.uint64)
-    if len(has):
-        value = window_hashes(words.hashes(), k)[window_starts(words.count, words.first, k)]
-        head = np.cumsum(count[has]) - count[has]
-        odd = mix(np.arange(1, bits + 1, dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
-        for i in range(bits):
-            bit = mix(np.minimum.reduceat(mixed_by(value, odd[i]), head)) & np.uint64(1)
-            out[has, i // 64] |= bit << np.uint64(i % 64)
-    return out.view(np.int64)
-
-
-def mixed_by(value: np.ndarray, odd: np.uint64) -> np.ndarray:
-    return (value ^ (odd >> np.uint64(7))) * odd
-
-
-def _outline_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, and their number."""
     for batch in batches:
         for part in slices(batch):
-            bits = outlines(Words(part.column("text")))
-            yield pa.record_batch({"node": part.column("node")} | {f"o{i}": bits[:, i] for i in range(bits.shape[1])})
+            words = Words(part.column("text"))
+            count = np.maximum(words.count - K + 1, 0)
+            own = np.repeat(np.arange(len(count)), count)
+            value = window_hashes(words.hashes(), K)[window_starts(words.count, words.first, K)] if count.sum() else np.zeros(0, np.uint64)
+            order = np.lexsort((value, own))
+            own, value = own[order], value[order]
+            new = np.append(True, (own[1:] != own[:-1]) | (value[1:] != value[:-1]))[:len(own)]
+            own, value = own[new], value[new]
+            size = np.bincount(own, minlength=len(count))
+            node = np.asarray(part.column("node"))
+            yield from cut(pa.record_batch({"node": node[own], "size": size[own], "s": value.view(np.int64)}))
 
 
 def rest_pairs(own: DataFrame, body: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """All pairs of nodes of different classes that share a sketch, but for those that length or outline rule out.
-
-    In each bucket the members outside the largest class meet all others, in blocks of
-    about `block`, so a large class costs its size times the few that are not in it.  An outline differs in (1 - s) / 2 of
-    its 256 bits, give or take; five standard deviations are allowed for."""
-    apart = (1 - least) / 2
-    most_bits = int(256 * apart + 5 * (256 * apart * (1 - apart)) ** 0.5)
-    seen = body.join(own.select("node"), "node", "left_semi").mapInArrow(_outline_rows, "node long, o0 long, o1 long, o2 long, o3 long")
-    each = own.join(seen, "node").select(F.explode("keys").alias("key"), "node", "root", "n_words", "o0", "o1", "o2", "o3")
-    each = materialize(each)
+    """All pairs of nodes of different classes that share a sketch and can be similar at all.
+
+    Shingles are put in one order for all texts, the rarest first.  Two texts that share `least` of their shingles share one of the first
+    n - least * n + 1 of each, so texts meet on those alone: texts that have nothing in common but a frequent passage do not, for
+    its shingles come behind their own ones.  Where many texts do meet on a shingle, the members outside its largest class meet
+    all others, in blocks of about `block`, so a large class costs its size times the few that are not in it."""
+    shingles = materialize(body.join(own.select("node"), "node", "left_semi").mapInArrow(_shingle_rows, "node long, size long, s long"))
+    again = shingles.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shingles.join(again, "s").groupBy("node").agg(F.any_value("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("held"))
+    # shingles of one text alone come first in its order and meet nobody
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - (F.col("size") - F.size("held"))
+    rare = shared.select("node", "size", F.slice("held", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("rare"), (F.col("size") - F.size("held")).alias("alone")).where(F.size("rare") > 0)
+    each = rare.join(own, "node").select(F.posexplode("rare.s").alias("i", "key"), "alone", "node", "root", "size", "keys")
+    # shingles from this one on, itself included: no more can be shared with a text that is met here first
+    each = materialize(each.select("key", "node", "root", "size", "keys", (F.col("size") - F.col("alone") - F.col("i")).alias("left")))
     per_class = each.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = per_class.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     largest = largest.select("key", "most", F.ceil(F.col("others") / block).cast("int").alias("blocks"))
     each = materialize(each.join(largest, "key"))
     tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     minor = each.where("root <> most").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    minor = minor.select("key", "block", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "n_words", "o0", "o1", "o2", "o3")]).repartition(tasks, "key", "block")
+    minor = minor.select("key", "block", *[F.col(c).alias(f"{c}_u") for c in ("node", "root", "size", "keys", "left")]).repartition(tasks, "key", "block")
     each = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "key", "block")
-    differ = sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"o{i}_u"))) for i in range(4)), F.lit(0))
+    enough = least / (1 + least) * (F.col("size") + F.col("size_u")) - 1e-9
     meet = each.join(minor, ["key", "block"]).where(
-        (F.col("root") != F.col("root_u")) & (F.least("n_words", "n_words_u") >= least * F.greatest("n_words", "n_words_u")) & (differ <= most_bits))
+        (F.col("root") != F.col("root_u")) & (F.least("size", "size_u") >= least * F.greatest("size", "size_u")) & (F.least("left", "left_u") >= enough)
+        & F.arrays_overlap("keys", "keys_u"))
     return meet.select(F.least("node", "node_u").alias("a"), F.greatest("node", "node_u").alias("b")).distinct()
 
 
@@ -284,22 +282,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     table = materialize(keyed.mapInArrow(_sketch_rows(sketches), f"{KEY} long, {HASH} long, c1 long, c2 long, n_words long, sketches array<long>"))
     rank = F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash"))
     texts = materialize(table.where("n_words > 0").groupBy("c1", "c2").agg(F.min(rank).alias("name"), F.any_value("n_words").alias("n_words"), F.any_value("sketches").alias("sketches")))
-    each = texts.select("name", "n_words", F.posexplode("sketches").alias("j", "value"))
+    each = texts.select("name", F.posexplode("sketches").alias("j", "value"))
     shared = each.groupBy("j", "value").agg(F.count("*").alias("n")).where("n > 1")
     member = materialize(each.join(shared, ["j", "value"]))
-    involved = member.select("name").distinct()
-    named = keyed.withColumn("name", F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash")))
-    body = materialize(named.join(involved, [named["name"].id.eqNullSafe(involved["name"].id), named["name"].hash == involved["name"].hash], "left_semi")
-                       .select(F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"), "text"))
-    member = member.select("j", "value", "n", "n_words", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
+    node = F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node")
+    named = keyed.select(F.struct(F.col(KEY).isNull().alias("unnamed"), F.col(KEY).alias("id"), F.col(HASH).alias("hash")).alias("name"), "text").select(node, "text")
+    # repeated rows are one text here as well
+    body = materialize(named.join(member.select(node).distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    member = member.select("j", "value", "n", F.xxhash64("name.id", "name.hash", "name.unnamed").alias("node"))
     # the original of many edited copies shares sketches with most of them: the sum of its buckets' sizes is the largest
     central = member.groupBy("node").agg(F.sum("n").alias("shares"))
-    member = materialize(member.select("j", "value", "node", "n_words").join(central, "node"))
+    member = materialize(member.select("j", "value", "node").join(central, "node"))
 
     tried = links = roots = None
     for r in range(rounds + 1):
         now = member.withColumn("root", F.col("node")) if roots is None else (
-            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", "n_words", "shares", F.coalesce("root", "node").alias("root")))
+            member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("j", "value", "node", "shares", F.coalesce("root", "node").alias("root")))
         pair = pivot_pairs(now, r) if r < rounds else rest_pairs(materialize(still_divided(now)), body, least)
         pair = materialize(pair if tried is None else pair.join(tried, ["a", "b"], "left_anti"))
         with_a = pair.join(body.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
