@@ -134,10 +134,13 @@ def test_decontaminate(spark, docs):
 
 def test_id_files(spark, docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
+    marked = ["a<|endoftext|>b <|startoftext|>", "<|endoftext|>", "<|EndOfText|> <|endoftext|", " <|endoftext|><|endoftext|>\n"]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(400 + i, t) for i, t in enumerate(marked)], "doc_id long, text string"))
     idfile.write_ids(docs, path, f"{tmp_path}/ids")
     got = idfile.documents_of(spark, f"{tmp_path}/ids").collect()
+    idfile.write_ids(docs.limit(0), path, f"{tmp_path}/none")
+    assert idfile.documents_of(spark, f"{tmp_path}/none").count() == 0
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     want = Counter()
     for r in docs.collect():
         ids = np.array(model.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")

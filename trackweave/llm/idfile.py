@@ -9,7 +9,8 @@ wrote.  Many blocks of a task are coded side by side, one lane each, step by ste
 The container is a Parquet table, written and read by Spark: a row per block with its part (range of documents), number in the
 part, ids before it in the part, the documents' pieces in it and the payload.
 
-Defined cases: a null or empty text has the end id alone; equal ids of documents follow one another by hash of text, null ids come first;
+Defined cases: strings such as <|endoftext|> in a text become their special ids, as the library's plain call does; a null or empty text
+has the end id alone; an empty table is a folder without blocks; equal ids of documents follow one another by hash of text, null ids come first;
 a document over several blocks is put together again; a block that fails its checksum raises an error.
 """
 
@@ -168,9 +169,7 @@ def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes]
 
 @lru_cache(1)
 def tokenizer(path: str) -> Tokenizer:
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 def _block_rows(path: str):
