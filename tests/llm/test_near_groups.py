@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from trackweave.llm import near
+from trackweave.llm import near, substring
 from trackweave.llm.rows import KEY
 
 
@@ -96,3 +96,15 @@ def test_repeated_rows_are_verified_once(spark, monkeypatch):
     assert len(out) == 600 and {r.class_id for r in out} == {1}
     bodies = [d for d in made if d.columns == ["node", "text"]]
     assert [b.count() for b in bodies] == [2]
+
+
+def test_ranges_of_repeated_rows_are_listed_once(spark):
+    """Copies of two texts that differ in one word: lists hold distinct ranges, however many copies there are."""
+    rnd = random.Random(10)
+    one = [f"w{rnd.randrange(10 ** 6)}" for _ in range(120)]
+    two = one[:60] + ["other"] + one[61:]
+    docs = spark.createDataFrame([(1, " ".join(one))] * 200 + [(2, " ".join(two))] * 200, "doc_id long, text string").repartition(3)
+    found = substring.repeated_ranges(docs).collect()
+    assert len(found) == 2 and all(len(r["__tw_ranges"]) == len(set(r["__tw_ranges"])) <= 120 for r in found)
+    out = substring.drop_repeated_windows(docs).collect()
+    assert len(out) == 400 and all(r.n_removed == 120 and r.kept_text == "" for r in out)

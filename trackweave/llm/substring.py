@@ -191,8 +191,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed_words: int = SEE
     twice = each.groupBy("words").agg(F.sum("n").alias("times")).where("times > 1").select("words")
     warm = each.join(twice, "words", "left_semi").select("seed", "content", "low", (F.col("low") + window).alias("high"))
     found = cold.unionByName(warm).unionByName(alone.select("seed", "content", F.lit(0).alias("low"), (F.col("one.windows") + window - 1).alias("high")))
+    found = found.distinct()  # rows repeated in id and text are packed once each
     back = hits.join(found, ["seed", "content"]).select(KEY, HASH, (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
-    return back.groupBy(KEY, HASH).agg(F.collect_list(F.struct("low", "high")).alias("__tw_ranges"))
+    return back.groupBy(KEY, HASH).agg(F.collect_set(F.struct("low", "high")).alias("__tw_ranges"))
 
 
 def _kept(text: pa.Array, ranges: pa.Array) -> pa.Array:
