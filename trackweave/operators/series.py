@@ -250,8 +250,11 @@ def prefix_composed(df: DataFrame, name: str, step: Column, compose: Compose, *,
         return rows
 
     local = materialize(doubled(made, Window.partitionBy(*keys, "_chunk").orderBy(order), chunk))
-    total = materialize(local.groupBy(*keys, "_chunk").agg(F.max_by(name, order).alias(name)))
-    most = total.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0  # one number
+    total = local.groupBy(*keys, "_chunk").agg(F.max_by(name, order).alias(name))
+    most = local.groupBy(*keys).agg(F.count_distinct("_chunk").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    if most <= 1:
+        return local.select(*[c for c in df.columns if c != name], name)
+    total = materialize(total)
     along = Window.partitionBy(*keys).orderBy("_chunk")
     carried = doubled(total, along, most).select(*keys, "_chunk", F.lag(name).over(along).alias("_carry"))
     return joined(local.join(carried, [*keys, "_chunk"]), "_carry", [c for c in df.columns if c != name])
