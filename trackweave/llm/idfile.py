@@ -1,17 +1,18 @@
 """Token ids in compressed blocks, written in document order and read back.
 
-Blocks of at most `BLOCK` ids stand alone: each starts from an empty model and carries a CRC-32 of its ids.  An id is coded by
-binary decisions of a range coder: is it what followed these two ids last time (order 2)?  Else, what followed this one
-(order 1)?  Else its 16 bits by how often such ids came before (order 0).  The chances of the first two are mixed from
-three adaptive estimates with weights that learn as they go.  All arithmetic is on integers, so any machine decodes what another
-wrote.  Many blocks of a task are coded side by side, one lane each, step by step with NumPy.
+Blocks of at most `BLOCK` ids stand alone: each starts from an empty model and carries a CRC-32 of its ids.  A range coder is
+told: is the id what followed these two ids last time (order 2)?  Else, what followed this one (order 1)?  Else, by order 0:
+is it new to the block?  If so its upper byte by how often such ones came before and its lower byte, else its place in the
+list of ids so far by how often such places came before, four bits a step from cumulative frequencies that adapt.  The chances of
+the first two are mixed from three adaptive estimates with weights that learn as they go.  All arithmetic is on integers,
+so any machine decodes what another wrote.  Many blocks of a task are coded side by side, one lane each, step by step with NumPy.
 
 The container is a Parquet table, written and read by Spark: a row per block with its part (range of documents), number in the
 part, ids before it in the part, the documents' pieces in it and the payload.
 
 Defined cases: strings such as <|endoftext|> in a text become their special ids, as the library's plain call does; a null or empty text
 has the end id alone; an empty table is a folder without blocks; equal ids of documents follow one another by hash of text, null ids come first;
-a document over several blocks is put together again; a block that fails its checksum raises an error.
+a document over several blocks is put together again; a block that fails its checksum and an id of more than 16 bits raise an error.
 """
 
 from __future__ import annotations
@@ -32,64 +33,90 @@ from trackweave.llm.rows import HASH, KEY, with_key
 from trackweave.llm.words import Remembered, Words, encoded, slices
 
 BLOCK, LANES, END_ID = 2048, 4096, 1
-TWO, ONE, LOW = 1 << 10, 1 << 10, 16 << 8
+SLOTS = 1 << 10  # guesses of an order; two contexts that share one take turns
 TOP = 1 << 12
+FLOOR, RATE = 64, 4
+KNOWN, NEW = 1 + 8 + 128, 1 + 16  # nodes of the two nibble trees: places in the list of ids so far, upper byte of new ids
 
 
 @lru_cache(1)
-def curves() -> tuple[np.ndarray, np.ndarray]:
-    """Logit (times 256) of a 12-bit probability, and back from -2047..2047."""
-    stretch = np.array([round(256 * math.log((i + 0.5) / (TOP - i - 0.5))) for i in range(TOP)], np.int64)
-    squash = np.array([round(TOP / (1 + math.exp(-i / 256))) for i in range(-2047, 2048)], np.int64)
-    return np.clip(stretch, -2047, 2047), np.clip(squash, 1, TOP - 1)
+def curves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logit (times 256) of a 12-bit probability; back from -2047..2047; where cumulative frequencies go after each of 16 symbols."""
+    stretch = np.array([round(256 * math.log((i + 0.5) / (TOP - i - 0.5))) for i in range(TOP)], np.int32)
+    squash = np.array([round(TOP / (1 + math.exp(-i / 256))) for i in range(-2047, 2048)], np.int32)
+    k = np.arange(16)
+    goal = np.where(k[None, :] <= k[:, None], k * FLOOR, (1 << 16) - (16 - k) * FLOOR).astype(np.int32)
+    return np.clip(stretch, -2047, 2047), np.clip(squash, 1, TOP - 1), goal
 
 
 class Coder:
-    """A carry-free range coder per lane; `bits` encodes them, or decodes when there is input."""
+    """A range coder per lane: 48 bits of state, symbols of frequencies out of 65536, units of 16 bits, carries settled at the end."""
 
     def __init__(self, lanes: int, payload: list[bytes] | None = None):
-        self.low, self.high = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.out: list[tuple[np.ndarray, np.ndarray]] = []
-        self.input = None
-        if payload is not None:
-            size = np.array([len(p) for p in payload], np.int64)
-            self.input = np.frombuffer(b"".join(payload) + b"\0" * 8, np.uint8)
-            self.at = np.cumsum(size) - size
-            self.code = np.zeros(lanes, np.int64)
-            for _ in range(4):
-                self.code = self.code << 8 | self.input[self.at]
-                self.at += 1
-
-    def step(self, lane: np.ndarray, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """chance of a one, of 65536, for each of the lanes."""
-        low, high = self.low[lane], self.high[lane]
-        mid = low + ((high - low) >> 16) * chance + ((((high - low) & 0xFFFF) * chance) >> 16)
-        if self.input is not None:
-            bit = self.code[lane] <= mid
-        low, high = np.where(bit, low, mid + 1), np.where(bit, mid, high)
-        at = np.flatnonzero((low ^ high) < 1 << 24)
-        while len(at):
-            own = lane[at]
-            if self.input is None:
-                self.out.append((own, (high[at] >> 24).astype(np.uint8)))
+        self.range, self.low = np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
+        self.decoding = payload is not None
+        if payload is None:
+            self.at, self.units = np.zeros(lanes, np.int64), np.zeros((lanes, 256), np.int32)
+            return
+        padded = [p + b"\0" * (6 + len(p) % 2) for p in payload]
+        size = np.array([len(p) // 2 for p in padded], np.int64)
+        self.units = np.frombuffer(b"".join(padded), ">u2").astype(np.int64)
+        self.at = np.cumsum(size) - size
+        for _ in range(3):
+            self.low = self.low << 16 | self.units[self.at]
+            self.at += 1
+
+    def step(self, lane: np.ndarray, share: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Codes the symbol [start, start + size) in these lanes; `share` is a 65536th of their range.  Decoding, `low` counts from the range's start."""
+        low = self.low[lane]
+        low += -share * start if self.decoding else share * start
+        width = share * size
+        small = np.flatnonzero(width < 1 << 32)
+        if len(small):
+            own = lane[small]
+            at = self.at[own]
+            if self.decoding:
+                low[small] = low[small] << 16 | self.units[np.minimum(at, len(self.units) - 1)]
             else:
-                self.code[own] = (self.code[own] << 8 & 0xFFFFFFFF) | self.input[np.minimum(self.at[own], len(self.input) - 1)]
-                self.at[own] += 1
-            low[at] = low[at] << 8 & 0xFFFFFFFF
-            high[at] = (high[at] << 8 & 0xFFFFFFFF) | 255
-            at = at[(low[at] ^ high[at]) < 1 << 24]
-        self.low[lane], self.high[lane] = low, high
+                if at.max() >= self.units.shape[1]:
+                    self.units = np.concatenate([self.units, np.zeros_like(self.units)], axis=1)
+                self.units[own, at] = low[small] >> 32
+                low[small] = (low[small] & 0xFFFFFFFF) << 16
+            self.at[own] = at + 1
+            width[small] <<= 16
+        self.low[lane], self.range[lane] = low, width
+
+    def bit(self, lane: np.ndarray, chance: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
+        """chance of a one, of 65536."""
+        share = self.range[lane] >> 16
+        bit = self.low[lane] < share * chance if truth is None else truth
+        self.step(lane, share, np.where(bit, 0, chance), np.where(bit, chance, 65536 - chance))
         return bit
 
     def finish(self) -> list[bytes]:
-        lanes = len(self.low)
-        for shift in (24, 16, 8, 0):
-            self.out.append((np.arange(lanes), (self.low >> shift & 255).astype(np.uint8)))
-        lane, byte = (np.concatenate(x) for x in zip(*self.out))
-        order = np.argsort(lane, kind="stable")
-        cuts = np.cumsum(np.bincount(lane, minlength=lanes))
-        data = byte[order].tobytes()
-        return [data[a:b] for a, b in zip(np.append(0, cuts[:-1]), cuts)]
+        lanes = np.arange(len(self.low))
+        if len(lanes) and self.at.max() >= self.units.shape[1]:
+            self.units = np.concatenate([self.units, np.zeros_like(self.units)], axis=1)
+        self.units[lanes, self.at] = (self.low + 0xFFFFFFFF) >> 32  # zeros follow
+        while True:
+            carry = self.units >> 16
+            if not carry.any():
+                break
+            self.units &= 0xFFFF
+            self.units[:, :-1] += carry[:, 1:]
+        return [row[:n + 1].astype(">u2").tobytes() for row, n in zip(self.units, self.at)]
+
+
+def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per block: is the id the first of its kind, and its place in the list of distinct ids so far."""
+    fresh, place = np.empty(ids.shape, bool), np.empty(ids.shape, np.int32)
+    first, own = np.zeros(1 << 16, np.int32), np.arange(ids.shape[1], dtype=np.int32)
+    for k, row in enumerate(ids):
+        first[row[::-1]] = own[::-1]
+        at = first[row]
+        fresh[k] = at == own
+        place[k] = (np.cumsum(fresh[k], dtype=np.int32) - 1)[at]
+    return fresh, place
 
 
 def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes] | None = None):
@@ -97,72 +124,112 @@ def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes]
     lanes = len(sizes)
     coder = Coder(lanes, payload)
     decode = payload is not None
-    ids = np.zeros((lanes, int(sizes.max(initial=0))), np.int32) if decode else ids
-    stretch, squash = curves()
-    guess2, trust2 = np.full(lanes * TWO, -1, np.int32), np.zeros(lanes * TWO, np.int8)
-    guess1, trust1 = np.full(lanes * ONE, -1, np.int32), np.zeros(lanes * ONE, np.int8)
-    high_bits, low_bits = np.full(lanes * 256, 32768, np.int32), np.full(lanes * LOW, 32768, np.uint16)
-    # estimates of a flag: by trust of its own guess, by trust of the other order's, by the id before
-    flags = [np.full((lanes * 64, 3), TOP // 2 << 4, np.int32) for _ in range(2)]
-    weights = [np.full((lanes, 3), 22000, np.int64) for _ in range(2)]
+    longest = int(sizes.max(initial=0))
+    if decode:
+        ids, listed, count = np.zeros((lanes, longest), np.int32), np.zeros((lanes, max(longest, 1)), np.uint16), np.zeros(lanes, np.int64)
+    else:
+        if ids.size and (ids.min() < 0 or ids.max() >= 1 << 16):
+            raise ValueError("ids of more than 16 bits")
+        fresh_of, place_of = (x.T.copy() for x in places(ids))
+        columns = ids.T.astype(np.int32, order="C")
+    stretch, squash, goal = curves()
+    guesses = [np.full(lanes * SLOTS, -16, np.int32) for _ in range(2)]  # an id and 4 bits of trust
+    nodes = np.tile((np.arange(16) * 4096).astype(np.uint16), (lanes * (KNOWN + NEW), 1))
+    cells = nodes.reshape(-1)
+    # estimates of a flag: by trust of its own guess and whether the orders agree, by trust of the other order's, by the flags before
+    flags = [[np.full(lanes * 32, 1 << 15, np.int32) for _ in range(3)] for _ in range(2)]
+    weights = [[np.full(lanes, 22000, np.int32) for _ in range(3)] for _ in range(2)]
+    past = [np.zeros(lanes, np.int32) for _ in range(2)]
+    novel, news = np.full(lanes * 16, 1 << 15, np.int32), np.zeros(lanes, np.int32)
     last1, last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def flag(which, lane, contexts, truth):
-        table, weight = flags[which], weights[which]
-        at = lane[:, None] * 64 + contexts
-        p = table[at, np.arange(3)]
-        s = stretch[p >> 4]
-        dot = np.clip((s * weight[lane]).sum(axis=1) >> 16, -2047, 2047)
-        mixed = squash[dot + 2047]
-        bit = coder.step(lane, mixed << 4, truth)
-        miss = (bit.astype(np.int64) << 12) - mixed
-        weight[lane] += (s * miss[:, None] * 6 + 512) >> 10
-        table[at, np.arange(3)] = p + ((bit.astype(np.int32)[:, None] * 65535 - p) >> 4)
+    def flag(which, lane, first, second, truth):
+        history = past[which][lane]
+        at = [lane * 32 + first, lane * 32 + second, lane * 32 + history]
+        p = [t[x] for t, x in zip(flags[which], at)]
+        s = [stretch[x >> 4] for x in p]
+        w = [x[lane] for x in weights[which]]
+        mixed = squash[np.clip((s[0] * w[0] + s[1] * w[1] + s[2] * w[2]) >> 16, -2047, 2047) + 2047]
+        bit = coder.bit(lane, mixed.astype(np.int64) << 4, truth)
+        one = bit.astype(np.int32)
+        miss, full = ((one << 12) - mixed) * 6, one * 65535
+        for k in range(3):
+            weights[which][k][lane] = np.clip(w[k] + ((s[k] * miss + 512) >> 10), -200_000, 200_000)
+            flags[which][k][at[k]] = p[k] + ((full - p[k]) >> 4)
+        past[which][lane] = (history << 1 & 31) | one
         return bit
 
-    for i in range(ids.shape[1]):
-        lane = np.arange(int(np.searchsorted(-sizes, -i, "left")))
+    def nibble(lane, node, symbol, raw=None):
+        """One of 16 by the node's frequencies; lanes of `raw` have 256 equally likely ones instead."""
+        share = coder.range[lane] >> 16
+        at = lane * (KNOWN + NEW) + node
+        if decode:
+            value = np.minimum(coder.low[lane] // share, 65535)
+            below = nodes[at] <= value.astype(np.uint16)[:, None]
+            symbol = np.bitwise_count(np.packbits(below, axis=1).view(np.uint16))[:, 0].astype(np.int64) - 1
+        start = cells[at * 16 + (symbol & 15)].astype(np.int64)
+        size = np.where(symbol & 15 == 15, 65536, cells[at * 16 + np.minimum((symbol & 15) + 1, 15)].astype(np.int64)) - start
+        if raw is not None:
+            if decode:
+                symbol = np.where(raw, value >> 8, symbol)
+            start, size = np.where(raw, symbol << 8, start), np.where(raw, 256, size)
+            at, seen = at[~raw], symbol[~raw]
+        else:
+            seen = symbol
+        coder.step(lane, share, start, size)
+        row = nodes[at].astype(np.int32)
+        row += (goal[seen] - row) >> RATE
+        nodes[at] = row
+        return symbol
+
+    width, lane = -1, np.zeros(0, np.int64)
+    for i in range(longest):
+        active = int(np.searchsorted(-sizes, -i, "left"))
+        if active != width:
+            width, lane = active, np.arange(active)
         a, b = last1[lane], last2[lane]
-        at2 = lane * TWO + ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 15) % TWO
-        at1 = lane * ONE + (a * 0x9E3779B1 >> 17) % ONE
-        g2, g1 = guess2[at2].astype(np.int64), guess1[at1].astype(np.int64)
-        t2, t1 = trust2[at2].astype(np.int64), trust1[at1].astype(np.int64)
-        x = np.zeros(len(lane), np.int64) if decode else ids[lane, i].astype(np.int64)
-        hit = flag(0, lane, np.stack([t2, 16 + t1, 32 + (a & 31)], axis=1), None if decode else x == g2)
+        at2 = lane * SLOTS + ((a * 0x9E3779B1 + b * 0x85EBCA77 >> 15) & (SLOTS - 1))
+        at1 = lane * SLOTS + ((a * 0x9E3779B1 >> 17) & (SLOTS - 1))
+        e2, e1 = guesses[0][at2], guesses[1][at1]
+        g2, g1, t2, t1 = e2 >> 4, e1 >> 4, e2 & 15, e1 & 15
+        x = np.full(width, -1, np.int32) if decode else columns[i, :width]
+        agree = (g1 == g2).astype(np.int32) << 4
+        hit = np.zeros(width, bool)
+        own = np.flatnonzero(g2 >= 0)
+        if len(own):
+            hit[own] = flag(0, own, t2[own] + agree[own], t1[own], None if decode else x[own] == g2[own])
         if decode:
             x[hit] = g2[hit]
-        rest = np.flatnonzero(~hit)
-        open_ = rest[g1[rest] != g2[rest]]
-        if len(open_):
-            second = flag(1, open_, np.stack([t1[open_], 16 + t2[open_], 32 + (a[open_] & 31)], axis=1), None if decode else x[open_] == g1[open_])
+        own = np.flatnonzero(~hit & (g1 >= 0) & (g1 != g2))
+        if len(own):
+            second = flag(1, own, t1[own], t2[own] + 16, None if decode else x[own] == g1[own])
+            hit[own] = second
             if decode:
-                x[open_[second]] = g1[open_[second]]
-            done = np.zeros(len(lane), bool)
-            done[open_[second]] = True
-            rest = rest[~done[rest]]
+                x[own[second]] = g1[own[second]]
+        rest = np.flatnonzero(~hit)
         if len(rest):
-            node, value = np.ones(len(rest), np.int64), x[rest]
-            for place in range(8):
-                at = rest * 256 + node
-                p = high_bits[at]
-                bit = coder.step(rest, np.clip(p, 64, 65472).astype(np.int64), None if decode else (value >> (15 - place) & 1) == 1)
-                high_bits[at] = p + ((bit * 65535 - p) >> 5)
-                node = node * 2 + bit
-            top, node = node - 256, np.ones(len(rest), np.int64)
-            for place in range(8):
-                at = rest * LOW + ((top & 15) << 8) + node
-                p = low_bits[at].astype(np.int32)
-                bit = coder.step(rest, np.clip(p, 64, 65472).astype(np.int64), None if decode else (value >> (7 - place) & 1) == 1)
-                low_bits[at] = p + ((bit * 65535 - p) >> 4)
-                node = node * 2 + bit
+            at = rest * 16 + news[rest]
+            p = novel[at]
+            fresh = coder.bit(rest, np.clip(p, 64, 65472).astype(np.int64), None if decode else fresh_of[i, rest])
+            novel[at] = p + ((fresh * 65535 - p) >> 4)
+            news[rest] = (news[rest] << 1 & 15) | fresh
+            # 16 bits of a new id, 11 of a place: two nibbles each, then the lower byte or a third nibble
+            value = None if decode else np.where(fresh, columns[i, rest], place_of[i, rest] << 4).astype(np.int64)
+            top = nibble(rest, np.where(fresh, KNOWN, 0), None if decode else value >> 12)
+            next_ = nibble(rest, np.where(fresh, KNOWN + 1, 1) + top, None if decode else value >> 8 & 15)
+            lower = nibble(rest, np.where(fresh, 0, 9 + (top << 4 | next_)), None if decode else np.where(fresh, value & 255, value >> 4 & 15), fresh)
             if decode:
-                x[rest] = top << 8 | (node - 256)
+                added, known = rest[fresh], ~fresh
+                place = (top << 8 | next_ << 4 | lower)[known]
+                x[rest[known]] = listed[rest[known], np.minimum(place, longest - 1)]
+                x[added] = (top << 12 | next_ << 8 | lower)[fresh]
+                listed[added, count[added]] = x[added]
+                count[added] += 1
         if decode:
-            ids[lane, i] = x
-        for guess, trust, at, g, t in ((guess2, trust2, at2, g2, t2), (guess1, trust1, at1, g1, t1)):
+            ids[:width, i] = x
+        for table, at, e, g, t in ((guesses[0], at2, e2, g2, t2), (guesses[1], at1, e1, g1, t1)):
             same = g == x
-            trust[at] = np.where(same, np.minimum(t + 1, 15), t >> 1)
-            guess[at] = np.where(same | (t > 1), g, x)
+            table[at] = np.where(same | (t > 1), e & -16, x << 4) | np.where(same, np.minimum(t + 1, 15), t >> 1)
         last2[lane], last1[lane] = a, x
     return ids if decode else coder.finish()
 
