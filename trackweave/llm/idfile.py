@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackweave.llm.rows import HASH, KEY, with_key
-from trackweave.llm.words import Remembered, Words, encoded, slices
+from trackweave.llm.words import Remembered, Words, slices
 
 BLOCK, LANES, END_ID = 2048, 4096, 1
 SLOTS = 1 << 10  # guesses of an order; two contexts that share one take turns
@@ -239,11 +239,32 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def encoded_words(model: Tokenizer, words: list[bytes], some: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids in a row.  Words meet the model as in a text, many at a time with a space between
+    them (which it removes); where an id's characters start tells its word."""
+    size, flat = np.zeros(len(words), np.int64), []
+    for a in range(0, len(words), some):
+        strings = [w.decode() for w in words[a:a + some]]
+        found = model.encode(" ".join(strings), add_special_tokens=False)
+        ids = np.array(found.ids, np.int32)
+        if len(ids):
+            ends = np.cumsum([len(x) + 1 for x in strings])
+            own = np.searchsorted(ends, np.fromiter((x for x, _ in found.offsets), np.int64, len(ids)), "right")
+            size[a:a + len(strings)] = np.bincount(own, minlength=len(strings))
+        flat.append(ids)
+    return size, np.concatenate(flat) if flat else np.zeros(0, np.int32)
+
+
+@lru_cache(1)
+def remembered(path: str) -> Remembered:
+    """One for all tasks of a worker."""
+    return Remembered(partial(encoded_words, tokenizer(path)))
+
+
 def _block_rows(path: str):
     """Documents come in order; a row per block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        known = Remembered(lambda strings: list(encoded(model, [s.decode() for s in strings])))
+        known = remembered(path)
         part = TaskContext.get().partitionId()
         held, docs, waiting, number, before = [], [], 0, 0, 0
 

@@ -181,6 +181,7 @@ def covered(count: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 class Remembered:
     """Lists of integers per distinct byte string, worked out once each; at most about `limit` strings are remembered.
+    `work` returns a list for each string, or their sizes and all integers in a row.
 
     Strings are told apart by their 64-bit hash: with a quarter of a million remembered, two share one with a probability of 2e-9."""
 
@@ -206,8 +207,11 @@ class Remembered:
         new = np.flatnonzero(row < 0)
         if len(new):
             found = self.work([buf[a:b].tobytes() for a, b in zip(start[first[new]], end[first[new]])])
-            size = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter((v for x in found for v in x), np.int32, size.sum())
+            if isinstance(found, tuple):
+                size, flat = found
+            else:
+                size = np.array([len(x) for x in found], np.int64)
+                flat = np.fromiter((v for x in found for v in x), np.int32, size.sum())
             n = len(self.row)
             row[new] = np.arange(n, n + len(new))
             self.row.update(zip(distinct[new].tolist(), row[new].tolist()))
