@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from trackweave.llm.rows import HASH, KEY, with_key
 from trackweave.llm.words import Remembered, Words, slices
 
-BLOCK, LANES, END_ID = 2048, 4096, 1
+BLOCK, LANES, END_ID = 2048, 2048, 1
 SLOTS = 1 << 10  # guesses of an order; two contexts that share one take turns
 TOP = 1 << 12
 FLOOR, RATE = 64, 4
@@ -108,14 +108,14 @@ class Coder:
 
 
 def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per block: is the id the first of its kind, and its place in the list of distinct ids so far."""
-    fresh, place = np.empty(ids.shape, bool), np.empty(ids.shape, np.int32)
+    """Is the id the first of its kind in its block, and its place in the list of distinct ids so far; a column per block."""
+    fresh, place = np.empty(ids.T.shape, bool), np.empty(ids.T.shape, np.uint16)
     first, own = np.zeros(1 << 16, np.int32), np.arange(ids.shape[1], dtype=np.int32)
     for k, row in enumerate(ids):
         first[row[::-1]] = own[::-1]
         at = first[row]
-        fresh[k] = at == own
-        place[k] = (np.cumsum(fresh[k], dtype=np.int32) - 1)[at]
+        fresh[:, k] = new = at == own
+        place[:, k] = (np.cumsum(new, dtype=np.int32) - 1)[at]
     return fresh, place
 
 
@@ -130,8 +130,8 @@ def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes]
     else:
         if ids.size and (ids.min() < 0 or ids.max() >= 1 << 16):
             raise ValueError("ids of more than 16 bits")
-        fresh_of, place_of = (x.T.copy() for x in places(ids))
-        columns = ids.T.astype(np.int32, order="C")
+        fresh_of, place_of = places(ids)
+        columns = ids.T.astype(np.uint16, order="C")
     stretch, squash, goal = curves()
     guesses = [np.full(lanes * SLOTS, -16, np.int32) for _ in range(2)]  # an id and 4 bits of trust
     nodes = np.tile((np.arange(16) * 4096).astype(np.uint16), (lanes * (KNOWN + NEW), 1))
@@ -192,7 +192,7 @@ def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes]
         at1 = lane * SLOTS + ((a * 0x9E3779B1 >> 17) & (SLOTS - 1))
         e2, e1 = guesses[0][at2], guesses[1][at1]
         g2, g1, t2, t1 = e2 >> 4, e1 >> 4, e2 & 15, e1 & 15
-        x = np.full(width, -1, np.int32) if decode else columns[i, :width]
+        x = np.full(width, -1, np.int32) if decode else columns[i, :width].astype(np.int32)
         agree = (g1 == g2).astype(np.int32) << 4
         hit = np.zeros(width, bool)
         own = np.flatnonzero(g2 >= 0)
@@ -214,7 +214,7 @@ def code_blocks(sizes: np.ndarray, ids: np.ndarray | None, payload: list[bytes]
             novel[at] = p + ((fresh * 65535 - p) >> 4)
             news[rest] = (news[rest] << 1 & 15) | fresh
             # 16 bits of a new id, 11 of a place: two nibbles each, then the lower byte or a third nibble
-            value = None if decode else np.where(fresh, columns[i, rest], place_of[i, rest] << 4).astype(np.int64)
+            value = None if decode else np.where(fresh, x[rest], place_of[i, rest].astype(np.int32) << 4).astype(np.int64)
             top = nibble(rest, np.where(fresh, KNOWN, 0), None if decode else value >> 12)
             next_ = nibble(rest, np.where(fresh, KNOWN + 1, 1) + top, None if decode else value >> 8 & 15)
             lower = nibble(rest, np.where(fresh, 0, 9 + (top << 4 | next_)), None if decode else np.where(fresh, value & 255, value >> 4 & 15), fresh)
@@ -258,7 +258,7 @@ def encoded_words(model: Tokenizer, words: list[bytes], some: int = 256) -> tupl
 @lru_cache(1)
 def remembered(path: str) -> Remembered:
     """One for all tasks of a worker."""
-    return Remembered(partial(encoded_words, tokenizer(path)))
+    return Remembered(partial(encoded_words, tokenizer(path)), 1 << 16)
 
 
 def _block_rows(path: str):
@@ -276,9 +276,11 @@ def _block_rows(path: str):
             if use:
                 cuts = np.append(np.arange(0, use, BLOCK), use)
                 sizes = np.diff(cuts)
+                held = []
                 lanes = np.zeros((len(sizes), BLOCK), np.int32)
                 lanes.ravel()[:use] = ids[:use]
                 payload = code_blocks(sizes, lanes[:, :int(sizes.max())])
+                del lanes
                 edge = np.cumsum([n for *_, n in docs])
                 rows, d, done = [], 0, 0
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -293,7 +295,7 @@ def _block_rows(path: str):
                     rows.append({"part": part, "block": number + k, "before": before + int(cuts[k]), "n": int(sizes[k]), "crc": zlib.crc32(ids[cuts[k]:cuts[k + 1]].astype("<u4").tobytes()), "docs": names, "counts": counts, "payload": payload[k]})
                 left = int(edge[-1]) - use
                 docs = ([(*docs[d][:3], int(edge[d]) - use)] + docs[d + 1:]) if left else []
-                held, waiting, number, before = [ids[use:]], left, number + len(sizes), before + use
+                held, waiting, number, before = [ids[use:].copy()], left, number + len(sizes), before + use
                 yield pa.RecordBatch.from_pylist(rows, schema=BLOCK_TYPE)
 
         place = 0
