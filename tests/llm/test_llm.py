@@ -275,6 +275,25 @@ def test_fertility_rejects_planted_junk(spark):
     assert all(got[i] for i, _, _ in clean)
 
 
+def test_fertility_compares_two_vocabularies(spark, docs):
+    """Counts by the second vocabulary equal the library's over whole texts; words that only the first one splits stand out."""
+    path, second = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(second)
+    for r in fertility.measure(docs, path, second).collect():
+        n = len(model.encode(r.text or "", add_special_tokens=False).ids)
+        assert r.n_second == n
+        assert r.chars_per_second == pytest.approx(r.word_chars / n if n else 0) and r.first_per_second == pytest.approx(r.n_tokens / n if n else 0)
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice(PARTS["en"]) for _ in range(rnd.randint(1, 3))) for _ in range(400)]
+    clean = [(i, " ".join(rnd.choices(words, k=rnd.randint(100, 180)))) for i in range(120)]
+    capitals = [(1000 + i, " ".join(rnd.choices(words, k=120)).upper()) for i in range(3)]
+    more = spark.createDataFrame(clean + capitals, "doc_id long, text string")
+    measured = fertility.measure(more, path, second).withColumn("base_failed", F.lit(False))
+    figures = {r.doc_id: r for r in fertility.judge(measured, fertility.bands(measured)).collect()}
+    assert all(figures[i].kept for i, _ in clean) and not any(figures[i].kept for i, _ in capitals)
+    assert min(figures[i].first_per_second for i, _ in capitals) > max(figures[i].first_per_second for i, _ in clean)
+
+
 def test_suffix_equals_the_windows(spark, docs):
     rnd = random.Random(8)
     line = lambda n: " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(n))

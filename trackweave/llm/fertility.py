@@ -1,7 +1,8 @@
-"""Quality of texts by what a public vocabulary makes of them.
+"""Quality of texts by what public vocabularies make of them.
 
-A sentence-piece vocabulary with byte fallback encodes every distinct word of a task once.  Per text: characters per token, share
-of fallback bytes, and the entropy of its tokens relative to that of as many different ones.  All texts that pass the plain rules
+A sentence-piece vocabulary with byte fallback encodes every distinct word of a task once, and a second one, of words in bytes,
+counts its tokens.  Per text: characters per token of both, tokens of the first for one of the second (text that only one of them
+knows), share of fallback bytes, and the entropy of its tokens relative to that of as many different ones.  All texts that pass the plain rules
 set the bands of their group: the quartiles of each figure (from counts in fixed bins), widened by `NEAR` interquartile ranges, at
 least by `CLOSE`.  A group is a script, a language (column lang, where there is one) and a length in powers of two, since the
 entropy falls with length.  Under `ENOUGH` texts of one language, all texts of that script and length set the bands; if they are
@@ -9,7 +10,7 @@ too few as well, all of the script, and then `WIDE` and `LEAST` hold.  A text ou
 
 Plain figures: words, code points in words, symbols, lines equal to an earlier line, words in three-word windows that occur twice.
 
-Defined cases: a null or empty text has zeros and fails; scripts are told by the letters' leading bytes; output columns replace
+Defined cases: without a second vocabulary its figures are 0 for all texts and no text fails by them; a null or empty text has zeros and fails; scripts are told by the letters' leading bytes; output columns replace
 input columns of the same name.
 """
 
@@ -24,17 +25,18 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.llm.idfile import encoded_words, tokenizer
 from trackweave.llm.rows import materialize
 from trackweave.llm.words import Remembered, Words, mix, slices, span_hashes, window_hashes, window_starts
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
-FIGURES = ("chars_per_token", "fallback_share", "relative_entropy")
-BINS, WIDE, LEAST = 512, 6.0, {"chars_per_token": 0.5, "fallback_share": 0.05, "relative_entropy": 0.1}
-ENOUGH, NEAR, CLOSE = 20, 3.0, {"chars_per_token": 0.1, "fallback_share": 0.02, "relative_entropy": 0.05}
-RANGE = {"chars_per_token": 16.0, "fallback_share": 1.0, "relative_entropy": 1.0}
+FIGURES = ("chars_per_token", "fallback_share", "relative_entropy", "chars_per_second", "first_per_second")
+BINS, WIDE, LEAST = 512, 6.0, {"chars_per_token": 0.5, "fallback_share": 0.05, "relative_entropy": 0.1, "chars_per_second": 0.5, "first_per_second": 0.25}
+ENOUGH, NEAR, CLOSE = 20, 3.0, {"chars_per_token": 0.1, "fallback_share": 0.02, "relative_entropy": 0.05, "chars_per_second": 0.1, "first_per_second": 0.1}
+RANGE = {"chars_per_token": 16.0, "fallback_share": 1.0, "relative_entropy": 1.0, "chars_per_second": 16.0, "first_per_second": 8.0}
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other")
 SHAPE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_fallback long, script string, "
-         "chars_per_token double, fallback_share double, relative_entropy double")
+         "chars_per_token double, fallback_share double, relative_entropy double, n_second long, chars_per_second double, first_per_second double")
 
 
 def script_table() -> np.ndarray:
@@ -98,9 +100,19 @@ def relative_entropy(tokens: np.ndarray, text: np.ndarray, n: np.ndarray, size:
     return np.where(n > 1, full / np.maximum(np.log2(np.clip(n, 2, size)), 1e-9), 0.0)
 
 
-def _measured(path: str):
+def second_counts(path: str) -> Remembered:
+    """How many tokens of the second vocabulary a word has."""
+    model = tokenizer(path)
+
+    def work(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.ones(len(words), np.int64), encoded_words(model, words)[0].astype(np.int32)
+    return Remembered(work)
+
+
+def _measured(path: str, second: str | None):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, is_byte = vocabulary(path)
+        counted = second_counts(second) if second else None
         known = Remembered(lambda strings: model.encode([s.decode() for s in strings], num_threads=1))
         script = script_table()
         for text in texts:
@@ -111,6 +123,7 @@ def _measured(path: str):
                 size, tokens = known.lists(words.buf, words.start, words.end, h)
                 own = np.repeat(words.text_of(), size)
                 n = np.bincount(own, minlength=len(words.count))
+                others = per_text(counted.lists(words.buf, words.start, words.end, h)[1], words.first) if counted else np.zeros(len(words.count), np.int64)
                 fallback = np.bincount(own[is_byte[tokens]], minlength=len(words.count))
                 inside = np.zeros(len(words.buf) + 1, np.int8)
                 inside[words.start] += 1
@@ -121,17 +134,18 @@ def _measured(path: str):
                 which = np.where(most.max(axis=0) > 0, most.argmax(axis=0) + 1, 0)
                 out.append([
                     words.count, chars, per_text(SYMBOLS[words.buf], words.offsets), duplicate_lines(words), repeated_words(words, h), n, fallback,
-                    np.array(SCRIPTS, object)[which], chars / np.maximum(n, 1), fallback / np.maximum(n, 1), relative_entropy(tokens.astype(np.int64), own, n, len(is_byte))])
+                    np.array(SCRIPTS, object)[which], chars / np.maximum(n, 1), fallback / np.maximum(n, 1), relative_entropy(tokens.astype(np.int64), own, n, len(is_byte)),
+                    others, chars * (others > 0) / np.maximum(others, 1), n * (others > 0) / np.maximum(others, 1)])
             names = [f.split()[0] for f in SHAPE.split(", ")]
             kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in SHAPE.split(", ")]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else [], kind) for i, kind in enumerate(kinds)], names=names)
     return run
 
 
-def measure(docs: DataFrame, path: str) -> DataFrame:
-    """All rows and columns of `docs` with the figures and base_failed."""
+def measure(docs: DataFrame, path: str, second: str | None = None) -> DataFrame:
+    """All rows and columns of `docs` with the figures and base_failed.  path: a sentence-piece vocabulary; second: one of the tokenizers library."""
     def read(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _measured(path)(it)
+        yield from _measured(path, second)(it)
 
     figures = [f.split()[0] for f in SHAPE.split(", ")]
     done = docs.withColumn("__tw_figures", F.arrow_udf(read, f"struct<{SHAPE.replace(' ', ': ').replace(',:', ',')}>")("text"))

@@ -66,7 +66,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = materialize(fertility.measure(documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model")).drop("text"))
+    measured = materialize(fertility.measure(
+        documents(spark, sf_dir).select("doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")).drop("text"))
     return fertility.judge(measured, fertility.bands(measured)).drop("lang")
 
 
