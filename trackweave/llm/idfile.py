@@ -385,22 +385,30 @@ def _crc(ids: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
 
 
+def _pushed(matrix: list[int], v: int) -> int:
+    out = 0
+    while v:
+        low = v & -v
+        out ^= matrix[low.bit_length() - 1]
+        v ^= low
+    return out
+
+
+@lru_cache(64)
+def zeros(k: int) -> list[int]:
+    """What 2^k zero bits do to each bit of a CRC-32."""
+    if k == 0:
+        return [0xEDB88320, *(1 << i for i in range(31))]
+    half = zeros(k - 1)
+    return [_pushed(half, column) for column in half]
+
+
 def crc_joined(first: int, second: int, size: int) -> int:
     """The CRC-32 of two byte strings together, from theirs and the second's size: zeros pushed through the first, by doubling."""
-    def times(matrix: list[int], v: int) -> int:
-        out = 0
-        for i in range(32):
-            if v >> i & 1:
-                out ^= matrix[i]
-        return out
-
-    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
     bits = size * 8
-    while bits:
-        if bits & 1:
-            first = times(step, first)
-        step = [times(step, column) for column in step]
-        bits >>= 1
+    for k in range(bits.bit_length()):
+        if bits >> k & 1:
+            first = _pushed(zeros(k), first)
     return first ^ second
 
 
